@@ -46,6 +46,56 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def real_id(key: str) -> Column:
+    """The doc_id behind a key _id."""
+    return F.when(F.col(key) != NO_ID, F.col(key)).alias("doc_id")
+
+
+def mark(docs: DataFrame) -> DataFrame:
+    """The whole rows of `docs` as _row, whatever their columns are called, with the keys _id and _th."""
+    keys = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text_of(docs)).alias("_th")
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), *keys)
+
+
 def lower_az(text: Column) -> Column:
     """A-Z to a-z, every other character unchanged."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def each_batch(docs: DataFrame, step, schema: str) -> DataFrame:
+    """Apply `step`, a function of one pandas frame, to the batches of `docs` within its partitions."""
+
+    def run(batches):
+        for batch in batches:
+            yield step(batch)
+
+    return docs.mapInPandas(run, schema)
+
+
+def same(before: DataFrame, after: DataFrame) -> bool:
+    """Whether two frames of two long columns hold the same rows, by their count and the sum of a hash."""
+
+    def sign(df: DataFrame):
+        return df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+
+    return sign(before) == sign(after)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of undirected edges (u, v): a row (node, root) for each node, root its least node.
+
+    Alternating large-star and small-star steps, each a partial minimum and an equality join, with a checkpoint a round:
+    the number of rounds grows with the logarithm of the longest path, and a node of high degree is never gathered.
+    """
+    now = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        after = checkpoint(small.select("e.u", "e.v").where("u <> v").distinct())
+        if same(now, after):
+            break
+        now = after
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

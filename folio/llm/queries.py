@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folio.llm import licenses, mixing, simhash
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -13,14 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from folio.llm.mixing import mix_report
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash(table(spark, sf_dir, "documents"))
+
 
-    return mix_report(table(spark, sf_dir, "documents"))
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_simhash": op2_simhash,
+        "op3_licenses": op3_licenses,
         "op9_mixing": op9_mixing,
     }
 
