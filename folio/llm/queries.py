@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import licenses, mixing, quality, secrets, simhash
+from folio.llm import flac, licenses, mixing, quality, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_report(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +44,7 @@ def queries() -> dict[str, Query]:
         "op2_simhash": op2_simhash,
         "op3_licenses": op3_licenses,
         "op4_secrets": op4_secrets,
+        "op5_flac": op5_flac,
         "op7_quality": op7_quality,
         "op9_mixing": op9_mixing,
     }
