@@ -122,7 +122,8 @@ def classes(docs: DataFrame) -> DataFrame:
 def simhash(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, fingerprint (16 lowercase hex digits), component_id (the least doc_id reachable)."""
     rows = classes(docs)
-    heads = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # Written out, so that the join deals both sides by itself and can split a component that holds many rows.
+    heads = checkpoint(rows.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     return rows.join(heads, "component").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
