@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import flac, licenses, lines, mixing, quality, secrets, simhash
+from folio.llm import flac, licenses, lines, mixing, quality, secrets, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -52,10 +56,12 @@ def queries() -> dict[str, Query]:
         "op5_flac": op5_flac,
         "op7_quality": op7_quality,
         "op9_mixing": op9_mixing,
+        "op10_substrings": op10_substrings,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": lines.REPORT_SQL,
+        "op10_substrings": substrings.REPORT_SQL,
     }
