@@ -57,11 +57,6 @@ def mark(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), *keys)
 
 
-def lower_az(text: Column) -> Column:
-    """A-Z to a-z, every other character unchanged."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def each_batch(docs: DataFrame, step, schema: str) -> DataFrame:
     """Apply `step`, a function of one pandas frame, to the batches of `docs` within its partitions."""
 

@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, in built-in functions only.
 
-A text is lower-cased (A-Z) and reduced to its words, one space between them. A document in which none of the rules'
-keywords stands is done. On the others, the rules whose keyword the text holds are run; each detection is an interval of
+A text is lower-cased and reduced to its words, one space between them. A document in which none of STEMS stands is done,
+as every rule needs one. On the others, the rules whose keyword the text holds are run; each detection is an interval of
 the reduced text with the rule's priority. A detection that lies within another of the same or a higher priority is
 suppressed; of equal intervals the higher priority stays, then the earlier rule. Labels are those of the detections left
 and of the base phrases, which are never suppressed.
@@ -15,11 +15,13 @@ doc_id stays missing; an empty table gives an empty result; other columns are ig
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import lower_az, text_of
+from folio.llm.common import text_of
 
 #: The base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -105,6 +107,10 @@ SENTENCES = (
 )
 
 
+#: Every rule's pattern has one of these in it.
+STEMS = ("license", "licence", "gpl", "wtfpl", "mpl", "cc by", "cc0", "creative", "clause", "cecill", "domain", "reserved", "confidential", "copyright", "granted", "permitted", "misrepresented", "redistribute", " org")
+
+
 @dataclass(frozen=True)
 class Rule:
     no: int
@@ -133,7 +139,8 @@ PRIORITIES = (1, 2, 3, 4)
 
 def reduced(text: Column) -> Column:
     """The words of a text, one space before, between and after them; no word: one space."""
-    words = F.trim(F.regexp_replace(lower_az(text), SEPARATORS, " "))
+    # Lower-casing letters beyond A-Z too moves no separator and, as no base phrase has a k, makes no base phrase.
+    words = F.trim(F.regexp_replace(F.lower(text), SEPARATORS, " "))
     return F.when(words == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
 
 
@@ -187,12 +194,12 @@ def scan(docs: DataFrame) -> DataFrame:
     The score is that of the surest detection left: a quarter of its priority.
     """
     found = rules()
-    gate = "|".join(sorted({r.keyword for r in found}))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), reduced(text_of(docs)).alias("_w"))
     words = F.col("_w")
     # The pieces between a phrase's places; one piece: no place.
     pieces = {p: F.when(F.contains(words, F.lit(f" {p} ")), F.split(words, rf"(?<= ){p}(?= )")).otherwise(F.array(words)) for p in BASE}
-    kept = F.when(words.rlike(f" (?:{gate}) "), resolved(detections(words, found))).otherwise(F.array().cast("array<struct<label:string,priority:int>>"))
+    gate = reduce(or_, (F.contains(words, F.lit(x)) for x in STEMS))
+    kept = F.when(gate, resolved(detections(words, found))).otherwise(F.array().cast("array<struct<label:string,priority:int>>"))
     rows = rows.withColumns({"n_words": words_in(words), **{f"_p{i}": x for i, x in enumerate(pieces.values())}, "_kept": kept})
     some = {f"_p{i}": (F.size(f"_p{i}") > 1, len(p.split()), label) for i, (p, label) in enumerate(BASE.items())}
     base = F.array_sort(F.array_compact(F.array(*(F.when(yes, F.lit(label)) for yes, _, label in some.values()))))
