@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import flac, licenses, lines, mixing, quality, secrets, simhash, substrings
+from folio.llm import flac, licenses, lines, mixing, neighbours, quality, secrets, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,10 @@ def op5_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_report(table(spark, sf_dir, "documents"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Query]:
         "op3_licenses": op3_licenses,
         "op4_secrets": op4_secrets,
         "op5_flac": op5_flac,
+        "op6_neighbours": op6_neighbours,
         "op7_quality": op7_quality,
         "op9_mixing": op9_mixing,
         "op10_substrings": op10_substrings,
