@@ -100,11 +100,17 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
     return rows.join(many, "h", "left_semi").groupBy("_id").agg(F.collect_list("h").alias("hs"))
 
 
-def segments(docs: DataFrame) -> DataFrame:
-    """The segments of documents with their repeated anchors (hs): h, c (the content's hash), content, n, _id, _th, start."""
+PLACE = ["_id", "_th", "start"]
+
+
+def segments(docs: DataFrame, content: bool) -> DataFrame:
+    """The segments of documents with their repeated anchors (hs): h, c (the content's hash), n, _id, _th, start.
+
+    With the content, only the first copy within a batch is given: a common segment has a row for each batch at most.
+    """
 
     def step(batch: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+        rows: list[tuple] = []
         for key, th, text, hs in zip(batch["_id"], batch["_th"], batch["text"], batch["hs"], strict=True):
             words = split(text)
             if len(words) < WINDOW:
@@ -116,11 +122,12 @@ def segments(docs: DataFrame) -> DataFrame:
             for low, high, h in zip(edges[own].tolist(), ends[own].tolist(), a[edges[own]].tolist(), strict=True):
                 for at in range(low, high, SEGMENT):
                     n = min(SEGMENT, high - at)
-                    content = b" ".join(words[at : at + n + WINDOW - 1])
-                    rows.append((h, xxhash.xxh64_intdigest(content) - (1 << 63), content, n, key, th, at))
-        return pd.DataFrame(rows, columns=["h", "c", "content", "n", "_id", "_th", "start"])
+                    joined = b" ".join(words[at : at + n + WINDOW - 1])
+                    rows.append((h, xxhash.xxh64_intdigest(joined) - (1 << 63), n, key, th, at, *[joined] * content))
+        out = pd.DataFrame(rows, columns=["h", "c", "n", *PLACE, *["content"] * content])
+        return out.sort_values(PLACE).drop_duplicates(["h", "c"]) if content else out
 
-    return each_batch(docs.select("_id", "_th", "text", "hs"), step, "h long, c long, content binary, n int, _id long, _th long, start int")
+    return each_batch(docs.select("_id", "_th", "text", "hs"), step, "h long, c long, n int, _id long, _th long, start int" + ", content binary" * content)
 
 
 class WaveletMatrix:
@@ -186,7 +193,10 @@ class FMIndex:
 
 
 def search(shard: pd.DataFrame) -> pd.DataFrame:
-    """The windows of each distinct segment's first copy that start earlier in another segment: h, c, runs (from, many)."""
+    """Each distinct segment of a shard: h, c, its first copy's place, and that copy's windows that start earlier in another
+    segment as runs (at, many).
+    """
+    shard = shard.sort_values(PLACE).drop_duplicates(["h", "c"]).reset_index(drop=True)
     parts = [bytes(x).split() for x in shard["content"]]
     sizes = np.array([len(p) for p in parts], np.int64)
     codes, names = pd.factorize(np.array([w for p in parts for w in p], object))
@@ -213,15 +223,12 @@ def search(shard: pd.DataFrame) -> pd.DataFrame:
             group = index.group[low[now]]
             low[now], high[now] = index.low[group], index.high[group]
             earlier[at] = first[group] < place[at]
-    rows = []
     edges = np.diff(np.concatenate(([0], earlier.astype(np.int8), [0])))
     begins, stops = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     found: dict[int, list] = {}
     for a, b in zip(begins.tolist(), stops.tolist(), strict=True):
         found.setdefault(int(owner[a]), []).append({"at": int(offset[a]), "many": b - a})
-    for i, runs in found.items():
-        rows.append((shard["h"].iat[i], shard["c"].iat[i], runs))
-    return pd.DataFrame(rows, columns=["h", "c", "runs"])
+    return shard[["h", "c", *PLACE]].assign(runs=[found.get(i, []) for i in range(len(shard))])
 
 
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -231,15 +238,12 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shards = max(1, -(-total // SHARD))
     # Dealt by _id once; the joins below and the last one read the same exchange.
     dealt = docs.repartition("_id")
-    found = segments(dealt.join(anchored, "_id"))
-    place = F.struct("_id", "_th", "start")
-    distinct = found.groupBy("h", "c").agg(F.min(place).alias("_first"), F.min("content").alias("content"))
-    distinct = distinct.select("h", "c", "content", "_first.*", F.pmod("h", F.lit(shards)).alias("shard"))
-    heads = distinct.select("h", "c", F.struct("_id", "_th", "start").alias("_first"))
-    own = distinct.groupBy("shard").applyInPandas(lambda pdf: search(pdf), "h long, c long, runs array<struct<at:int,many:int>>")
-    none = F.array().cast("array<struct<at:int,many:int>>")
-    later = found.select("h", "c", "n", "_id", "_th", "start").join(checkpoint(heads.join(own, ["h", "c"], "left")), ["h", "c"])
-    runs = F.when(place == F.col("_first"), F.coalesce("runs", none)).otherwise(F.array(F.struct(F.lit(0).alias("at"), F.col("n").alias("many"))))
+    with_anchors = dealt.join(anchored, "_id")
+    shard = F.pmod("h", F.lit(shards)).alias("shard")
+    heads = segments(with_anchors, True).groupBy(shard).applyInPandas(lambda pdf: search(pdf), "h long, c long, _id long, _th long, start int, runs array<struct<at:int,many:int>>")
+    place = F.struct(*PLACE)
+    later = segments(with_anchors, False).join(heads.select("h", "c", place.alias("_first"), "runs"), ["h", "c"])
+    runs = F.when(place == F.col("_first"), F.col("runs")).otherwise(F.array(F.struct(F.lit(0).alias("at"), F.col("n").alias("many"))))
     cuts = later.select("_id", "_th", "start", F.explode(runs).alias("_r")).select("_id", F.struct("_th", (F.col("start") + F.col("_r.at")).alias("at"), F.col("_r.many").alias("many")).alias("_c"))
     return dealt, cuts.groupBy("_id").agg(F.collect_list("_c").alias("cuts"))
 
