@@ -24,9 +24,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def load() -> None:
+    """Import the modules that register queries."""
+    from folio.plans import documents  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(_SQL)

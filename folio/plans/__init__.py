@@ -1,0 +1 @@
+"""The operators applied to tables, as queries with their SQL."""
