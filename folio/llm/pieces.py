@@ -42,6 +42,8 @@ DICTIONARY = 1_000_000
 LONG = 62
 #: Units that one task folds, about.
 TASK_UNITS = 40_000
+#: Characters of text whose units are held at once.
+CHUNK = 1 << 20
 SPACE = "▁"
 PENALTY = 10.0
 
@@ -290,7 +292,21 @@ def known(d: Dictionary, units: list[str]) -> np.ndarray:
 
 
 def lists(texts, extra, vocabulary: Vocabulary, d: Dictionary):
-    """For each text its ids, or the distinct units that neither the dictionary nor `extra` (unit to ids) has."""
+    """For each text its ids, or the distinct units that neither the dictionary nor `extra` (unit to ids) has.
+
+    Texts are worked off in runs of CHUNK characters, so a batch's units are never held at once.
+    """
+    texts, extra, at = list(texts), list(extra), 0
+    while at < len(texts):
+        end, room = at, CHUNK
+        while end < len(texts) and (end == at or room >= len(texts[end])):
+            room -= len(texts[end])
+            end += 1
+        yield from chunk_lists(texts[at:end], extra[at:end], vocabulary, d)
+        at = end
+
+
+def chunk_lists(texts, extra, vocabulary: Vocabulary, d: Dictionary):
     parts = [vocabulary.units(t) for t in texts]
     codes, names = pd.factorize(np.array([u for p in parts for u in p], object))
     at, at_text = known(d, list(names)), 0
