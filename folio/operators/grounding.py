@@ -60,11 +60,18 @@ def folded(source: str) -> tuple[str, list[tuple[int, int, int, int]]]:
     return "".join(out), parts
 
 
-@F.pandas_udf("view string, parts array<struct<view:int,view_size:int,source:int,source_size:int>>")
-def fold(texts: pd.Series) -> pd.DataFrame:
+VIEW = "view string, parts array<struct<view:int,view_size:int,source:int,source_size:int>>"
+
+
+def fold(text: Column | str) -> Column:
     """A text's view and its transformed parts; composition has no built-in function."""
-    got = [folded(t or "") for t in texts]
-    return pd.DataFrame({"view": [g[0] for g in got], "parts": [[dict(zip(("view", "view_size", "source", "source_size"), p, strict=True)) for p in g[1]] for g in got]})
+    names = ("view", "view_size", "source", "source_size")
+
+    def views(texts: pd.Series) -> pd.DataFrame:
+        got = [folded(t or "") for t in texts]
+        return pd.DataFrame({"view": [g[0] for g in got], "parts": [[dict(zip(names, p, strict=True)) for p in g[1]] for g in got]})
+
+    return F.pandas_udf(views, VIEW)(text)
 
 
 def source_place(parts: Column, place: Column, end: bool) -> Column:

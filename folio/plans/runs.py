@@ -20,7 +20,7 @@ run AS (
   SELECT event_id AS run_id, 'tenant' || user_id % 50 AS tenant_id, CASE WHEN event_id % 4 = 0 THEN 'ocr' ELSE 'extract' END AS kind,
     CASE event_type WHEN 'click' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'cancelled' END AS status,
     event_id % 4 AS attempts, user_id % 3 AS priority, ts AS created_at, ts + INTERVAL 1 HOUR AS updated_at, CASE WHEN event_type = 'view' AND event_id % 5 <> 0 THEN ts END AS started_at,
-    ts + INTERVAL 2 HOUR AS lease_until, ts + INTERVAL 10 DAY AS expires_at, 'artifact' || event_id % 5000 AS artifact_id
+    ts + INTERVAL 2 HOUR AS lease_until, ts + INTERVAL 10 DAY AS expires_at, 'artifact' || event_id // 2 AS artifact_id
   FROM events)"""
 
 
@@ -33,7 +33,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("run_id"), F.concat(F.lit("tenant"), (F.col("user_id") % 50).cast("string")).alias("tenant_id"), F.when(F.col("event_id") % 4 == 0, "ocr").otherwise("extract").alias("kind"),
         status.alias("status"), (F.col("event_id") % 4).alias("attempts"), (F.col("user_id") % 3).alias("priority"), F.col("ts").alias("created_at"), hours(1).alias("updated_at"),
         F.when((F.col("event_type") == "view") & (F.col("event_id") % 5 != 0), F.col("ts")).alias("started_at"), hours(2).alias("lease_until"), hours(240).alias("expires_at"),
-        F.concat(F.lit("artifact"), (F.col("event_id") % 5000).cast("string")).alias("artifact_id"),
+        F.concat(F.lit("artifact"), F.floor(F.col("event_id") / 2).cast("string")).alias("artifact_id"),
     )
 
 

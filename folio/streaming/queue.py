@@ -1,0 +1,59 @@
+"""The run queue over a stream of commands, one state a run.
+
+Commands are rows (run_id, command, worker_id, at): submit, claim, heartbeat, release, finish, fail, cancel. Each run's
+commands go through its state in order of time; what comes out is one row a command: run_id, at, command, accepted, status,
+attempts, worker_id.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+OUT = "run_id string, at double, command string, accepted boolean, status string, attempts int, worker_id string"
+STATE = "status string, attempts int, worker_id string, lease_until double"
+TERMINAL = ("succeeded", "failed", "cancelled")
+LEASE_S = 300.0
+
+
+def applied(state: tuple, command: str, worker: str | None, at: float, most: int) -> tuple[tuple, bool]:
+    """The state after a command and whether it was accepted. A refused command changes nothing."""
+    status, attempts, holder, lease = state
+    mine = status == "running" and holder == worker and at <= lease
+    if command == "submit":
+        return (("queued", 0, None, 0.0), True) if status is None else (state, False)
+    if command == "claim":
+        free = status == "queued" or (status == "running" and lease < at)
+        if free and attempts >= most:
+            return ("failed", attempts, None, 0.0), False
+        return (("running", attempts + 1, worker, at + LEASE_S), True) if free else (state, False)
+    if command == "heartbeat":
+        return ((status, attempts, holder, at + LEASE_S), True) if mine else (state, False)
+    if command == "release":
+        return (("queued", max(attempts - 1, 0), None, 0.0), True) if status == "running" and holder == worker else (state, False)
+    if command in ("finish", "fail"):
+        end = "succeeded" if command == "finish" else "failed"
+        return ((end, attempts, None, 0.0), True) if status == "running" and holder == worker else (state, False)
+    if command == "cancel":
+        return (("cancelled", attempts, None, 0.0), True) if status in ("queued", "running") else (state, status == "cancelled")
+    return state, False
+
+
+def queue(commands: DataFrame, most: int = 3) -> DataFrame:
+    """The queue's answers to a stream of commands."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        state = tuple(group.get) if group.exists else (None, 0, None, 0.0)
+        rows = pd.concat(list(batches)).sort_values("at", kind="stable")
+        out = []
+        for command, worker, at in zip(rows["command"], rows["worker_id"], rows["at"], strict=True):
+            state, accepted = applied(state, command, worker, float(at), most)
+            out.append((key[0], float(at), command, accepted, state[0], state[1], state[2]))
+        if state[0] is not None:
+            group.update(state)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+
+    return commands.groupBy("run_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
