@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from folio.llm.common import checkpoint, keyed, real_id
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DICTIONARY = 1_000_000
+DICTIONARY = 500_000
 LONG = 62
 #: Units that one task folds, about.
 TASK_UNITS = 40_000
@@ -187,11 +188,6 @@ def bit(place: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), place)
 
 
-def inner(edge: Column) -> Column:
-    """The places within an edge, as bits."""
-    return bit(edge["stop"]) - bit(edge["start"] + 1)
-
-
 def viterbi(edges: Column) -> Column:
     """The places on the path with the largest sum of scores, as bits. Edges are sorted by stop, then start."""
     none = F.struct(F.lit(0.0).alias("sum"), F.lit(1).cast("long").alias("places"))
@@ -216,28 +212,29 @@ def merging(size: Column) -> Column:
     zero = F.lit(0).cast("long")
 
     def merge(places: Column, _: Column) -> Column:
-        # The first edge between two places with one place within: that place goes.
-        fits = lambda e: (places.bitwiseAND(bit(e["start"]) + bit(e["stop"])) == bit(e["start"]) + bit(e["stop"])) & (F.bit_count(places.bitwiseAND(inner(e))) == 1)
-        gone = F.aggregate(F.col("_long"), zero, lambda got, e: F.when(got != 0, got).when(fits(e), places.bitwiseAND(inner(e))).otherwise(zero))
-        return places.bitwiseAND(F.bitwise_not(gone))
+        # The first edge between two places with one place within: that place goes. Without such an edge nothing changes.
+        fits = lambda e: (places.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(places.bitwiseAND(e["inner"])) == 1)
+        first = F.get(F.filter("_long", fits), F.lit(0))["inner"]
+        return places.bitwiseAND(F.bitwise_not(F.coalesce(first, zero)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), bit(size + 1) - 1, merge)
+    return F.aggregate(F.slice(F.sequence(F.lit(1), size), F.lit(1), F.least(size - 1, F.size("_long"))), bit(size + 1) - 1, merge)
 
 
 def encoded_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(unit, ids): the relational lattice. `units` are distinct and dealt by unit, so grouping deals nothing again."""
     size = F.length("unit")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), size - i)), lambda n: F.struct(i.alias("start"), (i + n).alias("stop"), F.substring(F.col("unit"), i + 1, n).alias("piece")))))
-    lattice = units.select("unit", F.explode(spans).alias("_s")).select("unit", "_s.*")
+    lattice = units.select("unit", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+    lattice = lattice.select("unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), size - F.col("start")))).alias("_n"))
+    lattice = lattice.select("unit", "start", (F.col("start") + F.col("_n")).alias("stop"), F.substring(F.col("unit"), F.col("start") + 1, F.col("_n")).alias("piece"))
     # The piece table is the vocabulary: a fixed size, whatever the input.
     lattice = lattice.join(F.broadcast(piece_table(units.sparkSession, vocabulary)), "piece", "left").where("id IS NOT NULL OR stop = start + 1")
     key = ["stop", "start"] if not vocabulary.merging else [(-F.col("score")).alias("rank"), "start", "stop"]
-    edge = F.struct(*key, F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(vocabulary.penalty)).alias("score"))
+    masks = (bit(F.col("start")) + bit(F.col("stop"))).alias("ends"), (bit(F.col("stop")) - bit(F.col("start") + 1)).alias("inner")
+    edge = F.struct(*key, F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(vocabulary.penalty)).alias("score"), *masks)
     edges = lattice.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("_edges"))
-    edges = edges.withColumn("_long", F.filter("_edges", lambda e: e["stop"] > e["start"] + 1))
+    edges = edges.withColumn("_long", F.filter("_edges", lambda e: e["inner"] != 0))
     found = edges.withColumn("_places", merging(F.length("unit")) if vocabulary.merging else viterbi(F.col("_edges")))
-    ends = lambda e: bit(e["start"]) + bit(e["stop"])
-    on = F.filter("_edges", lambda e: (F.col("_places").bitwiseAND(ends(e)) == ends(e)) & (F.col("_places").bitwiseAND(inner(e)) == 0))
+    on = F.filter("_edges", lambda e: (F.col("_places").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("_places").bitwiseAND(e["inner"]) == 0))
     ordered = F.array_sort(F.transform(on, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id"))))
     # Below 0: a character that is no piece, by its place from 1.
     found = found.select("unit", F.transform(ordered, lambda e: F.when(e["id"] < 0, -e["start"] - 1).otherwise(e["id"])).alias("_ids"))
@@ -269,13 +266,14 @@ def dictionary(frequent: DataFrame, vocabulary: Vocabulary) -> Dictionary:
     def step(batch: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"h": hashed(list(batch["unit"])).view(np.int64), "ids": [np.asarray(i, np.int32).tobytes() for i in batch["ids"]]})
 
-    # At most DICTIONARY rows of some 20 bytes.
-    got = per_batch(encoded_units(dealt(frequent), vocabulary), step, "h long, ids binary").toPandas()
-    h = got["h"].to_numpy(np.int64).view(np.uint64)
+    # At most DICTIONARY rows of some 30 bytes, as Arrow columns.
+    got = per_batch(encoded_units(dealt(frequent), vocabulary), step, "h long, ids binary").toArrow().combine_chunks()
+    h = got["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
-    parts = got["ids"].to_numpy()[order]
-    starts = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts]))).astype(np.int64)
-    return Dictionary(h[order], starts, np.frombuffer(b"".join(parts), np.int32))
+    sorted_ids = got["ids"].combine_chunks().take(order)
+    sizes = pc.binary_length(sorted_ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    raw = b"".join(x.as_buffer() for x in sorted_ids)
+    return Dictionary(h[order], np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), np.frombuffer(raw, np.int32))
 
 
 def hashed(units: list[str]) -> np.ndarray:
