@@ -279,7 +279,7 @@ def decoded_frames(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
         k = order[on] > j
         coefs[j, on[k]] = signed(bits.take(pos[on[k]], precision[k]), precision[k])
         pos[on[k]] += precision[k]
-    for o in range(1, 5):
+    for o in range(1, min(top, 4) + 1):
         for j, c in enumerate(FIXED[o]):
             coefs[j, fixed & (order == o)] = c
     once = np.flatnonzero(constant)

@@ -43,6 +43,8 @@ DICTIONARY = 500_000
 LONG = 62
 #: Units that one task folds, about.
 TASK_UNITS = 40_000
+#: Distinct units that a task counts before it passes them on.
+COUNTED = 50_000
 #: Characters of text whose units are held at once.
 CHUNK = 1 << 20
 SPACE = "▁"
@@ -168,16 +170,23 @@ def per_batch(df: DataFrame, step, schema: str) -> DataFrame:
 
 
 def counted(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(unit, n): how often each unit of at most LONG characters stands in the corpus; counted by batch first."""
+    """(unit, n): how often each unit of at most LONG characters stands in the corpus; counted by COUNTED units at a time first."""
 
-    def step(batch: pd.DataFrame) -> pd.DataFrame:
-        counts: Counter[str] = Counter()
-        for text in batch["text"]:
-            counts.update(vocabulary.units(text))
+    def flushed(counts: Counter) -> pd.DataFrame:
         rows = [(u, n) for u, n in counts.items() if len(u) <= LONG]
         return pd.DataFrame(rows, columns=["unit", "n"])
 
-    return per_batch(docs.select("text"), step, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    def run(batches):
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                counts.update(vocabulary.units(text))
+                if len(counts) > COUNTED:
+                    yield flushed(counts)
+                    counts = Counter()
+        yield flushed(counts)
+
+    return docs.select("text").mapInPandas(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def piece_table(spark, vocabulary: Vocabulary) -> DataFrame:

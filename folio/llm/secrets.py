@@ -35,6 +35,13 @@ TOKEN = r"[A-Za-z0-9+/_.=-]{20,}"
 TRAIN_TOKEN = r"[A-Za-z0-9+/_.=-]{4,}"
 SAMPLE_DOCS = 2000
 DIGESTS = 4000
+#: Labelled by hand: ordinary identifiers, so that a corpus without any still has a model of them. Each counts ORDINARY_WEIGHT times.
+ORDINARY = (
+    "internationalization", "configuration_manager", "getUserNameFromSession", "max_retry_count", "application.properties", "department/organization", "characteristics", "responsibilities", "SerializationException",
+    "java.util.concurrent.atomic", "src/main/resources/templates", "background-color-transparent", "AUTHENTICATION_REQUIRED", "createTableIfNotExists", "user_account_settings", "representation", "numberOfElements",
+    "com.example.service.implementation", "test_connection_timeout_error", "node_modules/typescript/lib", "acknowledgements", "version-2.14.0-release-notes", "include/linux/netdevice.h", "ThreadPoolExecutorFactory",
+)
+ORDINARY_WEIGHT = 200
 #: Nats per transition by which a token must be likelier as a random string.
 THRESHOLD = 0.3
 SEED = 4
@@ -84,6 +91,8 @@ def samples(docs: DataFrame) -> DataFrame:
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256)
     words = F.array(digest, F.base64(F.unhex(digest)), F.upper(F.conv(F.substring(digest, 1, 15), 16, 36)), F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", ""))
     made = docs.sparkSession.range(DIGESTS).select(F.explode(words).alias("word"), F.lit(True).alias("random"))
+    listed = docs.sparkSession.createDataFrame([(w,) for w in ORDINARY], "word string").select("word", F.explode(F.sequence(F.lit(1), F.lit(ORDINARY_WEIGHT))).alias("_i"), F.lit(False).alias("random"))
+    made = made.unionByName(listed.drop("_i"))
     return rows.select(F.explode(marked).alias("word"), F.lit(True).alias("random")).unionByName(rows.select(F.explode(rest).alias("word"), F.lit(False).alias("random"))).unionByName(made)
 
 
