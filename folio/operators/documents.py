@@ -139,3 +139,45 @@ def parser_for(docs: DataFrame, registry: DataFrame) -> DataFrame:
     met = docs.join(F.broadcast(takers), "media_type", "left").withColumn("_fits", F.size(F.array_except("needs", F.coalesce("supplies", F.array().cast("array<string>")))) == 0)
     best = F.min(F.when(F.col("parser_id").isNotNull() & F.col("_fits"), F.struct("priority", "parser_id")))
     return met.groupBy("document_id").agg(best["parser_id"].alias("parser_id")).withColumn("refusal", F.when(F.col("parser_id").isNull(), "no_parser"))
+
+
+def grouped_chars(chars: DataFrame) -> DataFrame:
+    """Words of characters in order: document_id, line, ord, word.
+
+    chars(document_id, at, char): white space and control characters end a word, a line end ends the line, and U+FFFE is a
+    hyphen that ends both.
+    """
+    by = Window.partitionBy("document_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    soft = F.col("char") == "￾"
+    gap = F.col("char").rlike(rf"\A[\p{{Cc}}{T.SPACE}]\z")
+    rows = chars.select("document_id", "at", F.when(soft, "-").otherwise(F.col("char")).alias("char"), gap.alias("_gap"), (F.col("char").isin("\n") | soft).cast("int").alias("_line"), (gap | soft).cast("int").alias("_word"))
+    rows = rows.withColumns({"line": F.coalesce(F.sum("_line").over(by), F.lit(0)), "_w": F.coalesce(F.sum("_word").over(by), F.lit(0))}).where("NOT _gap")
+    words = rows.groupBy("document_id", "line", "_w").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "char"))), lambda x: x["char"]), "").alias("word"))
+    return words.select("document_id", "line", (F.row_number().over(Window.partitionBy("document_id", "line").orderBy("_w")) - 1).alias("ord"), "word")
+
+
+def tokens_in(spans: DataFrame, tokens: DataFrame, width: int = 256) -> DataFrame:
+    """The tokens that each span touches: the spans' columns, ord, token_start, token_end.
+
+    A range join by cells of `width` code points: a span and a token meet in the cells that both touch, and count in the
+    first of them.
+    """
+    cells = lambda a, b: F.sequence(F.floor(a / width), F.greatest(F.floor((b - 1) / width), F.floor(a / width)))
+    left = spans.withColumn("_cell", F.explode(cells(F.col("span_start"), F.col("span_end"))))
+    right = tokens.select("document_id", "ord", F.col("span_start").alias("token_start"), F.col("span_end").alias("token_end")).withColumn("_cell", F.explode(cells(F.col("token_start"), F.col("token_end"))))
+    met = left.join(right, ["document_id", "_cell"]).where(overlaps(F.col("span_start"), F.col("span_end"), F.col("token_start"), F.col("token_end")))
+    return met.where(F.col("_cell") == F.floor(F.greatest("span_start", "token_start") / width)).drop("_cell")
+
+
+def page_references(tokens: DataFrame, pages: DataFrame) -> DataFrame:
+    """Tokens whose page is missing or doesn't hold them: document_id, span_start, reason."""
+    own = pages.select("document_id", "page_index", F.col("span_start").alias("_a"), F.col("span_end").alias("_b"))
+    rows = tokens.join(own, ["document_id", "page_index"], "left")
+    reason = F.when(F.col("_a").isNull(), "no_page").when((F.col("span_start") < F.col("_a")) | (F.col("span_end") > F.col("_b")), "outside_page")
+    return rows.select("document_id", "span_start", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def origins(parts: DataFrame) -> DataFrame:
+    """Documents whose parts are out of order or overlap in the source: parts(document_id, part, origin_start, origin_end)."""
+    before = F.lag("origin_end").over(Window.partitionBy("document_id").orderBy("part"))
+    return parts.withColumn("_b", before).where(F.col("origin_start") < F.col("_b")).select("document_id").distinct()

@@ -199,3 +199,46 @@ def token_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", T.estimated_tokens(F.col("text")).alias("tokens"))
     return rows.withColumn("refused", F.col("tokens") > 20000)
+
+
+@query("grouped_chars", r"""
+WITH ch AS (SELECT conv_id AS document_id, i AS pos, substr(text, i, 1) AS c FROM conversations, unnest(range(1, length(text) + 1)) AS u(i) WHERE turn = 0),
+flag AS (SELECT *, regexp_full_match(c, '[\p{Cc}\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]') AS gap FROM ch),
+sums AS (
+  SELECT *, coalesce(sum((c = chr(10))::INT) OVER w, 0)::BIGINT AS line, coalesce(sum(gap::INT) OVER w, 0) AS word_no FROM flag
+  WINDOW w AS (PARTITION BY document_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT document_id, line, row_number() OVER (PARTITION BY document_id, line ORDER BY word_no)::INT - 1 AS ord, word
+FROM (SELECT document_id, line, word_no, string_agg(c, '' ORDER BY pos) AS word FROM sums WHERE NOT gap GROUP BY ALL)
+""")
+def grouped_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First turns, character by character, put together to words and lines."""
+    chars = F.filter(F.split("text", ""), lambda c: c != "")
+    rows = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("document_id"), F.posexplode(chars).alias("at", "char"))
+    return D.grouped_chars(rows)
+
+
+@query("locate_spans", f"""
+WITH {HITS},
+part AS (SELECT doc_id AS document_id, k AS ord, k * 7 AS a, least(k * 7 + 6, length(text)) AS b FROM documents, unnest(range(cast(ceil(length(text) / 7.0) AS BIGINT))) AS u(k))
+SELECT h.document_id, h.needle_id, h.span_start, h.span_end, ord, a AS token_start, b AS token_end FROM hit h JOIN part p ON p.document_id = h.document_id AND h.span_start < b AND h.span_end > a AND a < b
+""")
+def locate_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of six characters that a found passage touches."""
+    rows = docs(spark, sf_dir)
+    last = F.ceil(F.length("text") / 7) - 1
+    pieces = rows.where("text <> ''").select("document_id", F.length("text").alias("_n"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("ord"))
+    pieces = pieces.select("document_id", "ord", (F.col("ord") * 7).alias("span_start"), F.least(F.col("ord") * 7 + 6, F.col("_n").cast("long")).alias("span_end"))
+    return D.tokens_in(find_exact_spans(spark, sf_dir), pieces)
+
+
+@query("page_references", f"""
+WITH {TILES}, token AS (SELECT document_id, page_index + CASE WHEN document_id % 50 = 0 THEN 1 ELSE 0 END AS page_index, span_start + CASE WHEN document_id % 20 = 0 THEN -1 ELSE 0 END AS a, span_end AS b FROM tile)
+SELECT t.document_id, t.a AS span_start, CASE WHEN p.page_index IS NULL THEN 'no_page' ELSE 'outside_page' END AS reason
+FROM token t LEFT JOIN tile p ON p.document_id = t.document_id AND p.page_index = t.page_index WHERE p.page_index IS NULL OR t.a < p.span_start OR t.b > p.span_end
+""")
+def page_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as tokens of their own, some of them on a wrong page or beginning too early."""
+    pages = D.tiles(docs(spark, sf_dir), PAGE)
+    key = F.col("document_id")
+    tokens = pages.select("document_id", (F.col("page_index") + F.when(key % 50 == 0, 1).otherwise(0)).alias("page_index"), (F.col("span_start") - F.when(key % 20 == 0, 1).otherwise(0)).alias("span_start"), "span_end")
+    return D.page_references(tokens, pages)
