@@ -43,6 +43,8 @@ DICTIONARY = 500_000
 LONG = 62
 #: Units that one task folds, about.
 TASK_UNITS = 40_000
+#: Rows of a batch that are worked off at once.
+ROWS = 512
 #: Distinct units that a task counts before it passes them on.
 COUNTED = 50_000
 #: Characters of text whose units are held at once.
@@ -162,9 +164,12 @@ def cuts(pieces) -> str:
 
 
 def per_batch(df: DataFrame, step, schema: str) -> DataFrame:
+    """Apply `step` to runs of at most ROWS rows, so that what it makes of them is never held for a whole batch."""
+
     def run(batches):
         for batch in batches:
-            yield step(batch)
+            for at in range(0, len(batch), ROWS):
+                yield step(batch.iloc[at : at + ROWS])
 
     return df.mapInPandas(run, schema)
 
@@ -342,8 +347,8 @@ def chunk_lists(texts, extra, vocabulary: Vocabulary, d: Dictionary):
         yield (np.concatenate(pieces) if pieces else np.zeros(0, np.int32)), ()
 
 
-def encoded(docs: DataFrame, model: str = MODEL, most: int = DICTIONARY) -> DataFrame:
-    """_id, _th, z (the text, compressed) and ids (little-endian 32-bit pieces) of every row."""
+def encoded(docs: DataFrame, model: str = MODEL, most: int = DICTIONARY, step=lambda text, ids, vocabulary: (ids.tobytes(),), columns: str = "ids binary") -> DataFrame:
+    """_id and what `step` makes of each row's text and ids; by itself the ids as little-endian 32-bit numbers."""
     vocabulary, spark = Vocabulary.load(model), docs.sparkSession
     rows = keyed(docs).select("_id", "_th", "text")
     units = checkpoint(counted(rows, vocabulary))
@@ -362,44 +367,34 @@ def encoded(docs: DataFrame, model: str = MODEL, most: int = DICTIONARY) -> Data
             out.append((key, th, pack.compress(text.encode("utf-8", "surrogatepass")), list(lacking)))
         return pd.DataFrame(out, columns=["_id", "_th", "z", "lacking"])
 
+    names = [c.split()[0] for c in columns.split(", ")]
+
     def last(batch: pd.DataFrame) -> pd.DataFrame:
         open_ = zstandard.ZstdDecompressor()
         texts = [open_.decompress(z).decode("utf-8", "surrogatepass") for z in batch["z"]]
         extra = [{x["unit"]: x["ids"] for x in e} if e is not None else {} for e in batch["extra"]]
-        ids = [i.tobytes() for i, _ in lists(texts, extra, vocabulary, d.value)]
-        return pd.DataFrame({"_id": batch["_id"], "_th": batch["_th"], "z": batch["z"], "ids": ids})
+        rows = [(key, *step(text, ids, vocabulary)) for key, text, (ids, _) in zip(batch["_id"], texts, lists(texts, extra, vocabulary, d.value), strict=True)]
+        return pd.DataFrame(rows, columns=["_id", *names])
 
     begun = per_batch(rows, first, "_id long, _th long, z binary, lacking array<string>")
     rare = units.where(F.col("n") < least)
     wanted = begun.select("_id", "_th", F.explode("lacking").alias("unit")).distinct()
     found = wanted.join(encoded_units(dealt(rare.select("unit")), vocabulary), "unit").groupBy("_id", "_th").agg(F.collect_list(F.struct("unit", "ids")).alias("extra"))
-    return per_batch(begun.drop("lacking").join(found, ["_id", "_th"], "left"), last, "_id long, _th long, z binary, ids binary")
-
-
-def finished(docs: DataFrame, model: str, step, columns: str) -> DataFrame:
-    """Decode every row and return `columns` as `step` makes them of doc key, text, ids and decoded text."""
-    vocabulary = Vocabulary.load(model)
-
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        open_, out = zstandard.ZstdDecompressor(), []
-        for key, z, raw in zip(batch["_id"], batch["z"], batch["ids"], strict=True):
-            ids = np.frombuffer(raw, np.int32)
-            out.append((key, *step(open_.decompress(z).decode("utf-8", "surrogatepass"), ids, vocabulary.decode(ids.tolist()))))
-        return pd.DataFrame(out, columns=["_id", *(c.split()[0] for c in columns.split(", "))])
-
-    return per_batch(encoded(docs, model), run, f"_id long, {columns}").select(real_id("_id"), *(c.split()[0] for c in columns.split(", ")))
+    return per_batch(begun.drop("lacking").join(found, ["_id", "_th"], "left"), last, f"_id long, {columns}").select("_id", *names)
 
 
 def piece_report(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """One row a document: doc_id, n_pieces, ids_sha256 (of the ids in decimal, comma-joined), decoded_sha256, exact (decoding gives the text)."""
 
-    def step(text, ids, decoded):
-        written = ",".join(map(str, ids.tolist()))
+    def step(text: str, ids: np.ndarray, vocabulary: Vocabulary) -> tuple:
+        written, decoded = ",".join(map(str, ids.tolist())), vocabulary.decode(ids.tolist())
         return len(ids), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest(), decoded == text
 
-    return finished(docs, model, step, "n_pieces long, ids_sha256 string, decoded_sha256 string, exact boolean")
+    out = encoded(docs, model, step=step, columns="n_pieces long, ids_sha256 string, decoded_sha256 string, exact boolean")
+    return out.select(real_id("_id"), "n_pieces", "ids_sha256", "decoded_sha256", "exact")
 
 
 def tokenised(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """One row a document: doc_id, n_pieces, ids, text (decoded from the ids)."""
-    return finished(docs, model, lambda text, ids, decoded: (len(ids), ids.tolist(), decoded), "n_pieces long, ids array<int>, text string")
+    out = encoded(docs, model, step=lambda text, ids, vocabulary: (len(ids), ids.tolist(), vocabulary.decode(ids.tolist())), columns="n_pieces long, ids array<int>, text string")
+    return out.select(real_id("_id"), "n_pieces", "ids", "text")
