@@ -67,6 +67,13 @@ def each_batch(docs: DataFrame, step, schema: str) -> DataFrame:
     return docs.mapInPandas(run, schema)
 
 
+def least_hashed(df: DataFrame, n: int, seed: int, *columns: Column | str) -> DataFrame:
+    """The rows of least keyed hash, n of them (more only where hashes are equal): only hashes are ordered, not the rows."""
+    rows = df.withColumn("_lh", F.xxhash64(F.lit(seed), *columns))
+    most = rows.select("_lh").orderBy("_lh").limit(n).agg(F.max("_lh")).first()[0]
+    return rows.where(F.lit(False) if most is None else F.col("_lh") <= most).drop("_lh")
+
+
 def same(before: DataFrame, after: DataFrame) -> bool:
     """Whether two frames of two long columns hold the same rows, by their count and the sum of a hash."""
 

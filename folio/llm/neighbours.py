@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import checkpoint
+from folio.llm.common import checkpoint, least_hashed
 
 K = 5
 EVERY = 50
@@ -84,7 +84,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 def fit(each: DataFrame) -> Index:
     """Rotation, centroids and the number of probes, from the sample."""
     many = each.count()
-    got = each.select("x").orderBy(F.xxhash64(F.lit(SEED), "x"), "x").limit(SAMPLE).collect()  # at most SAMPLE vectors
+    got = least_hashed(each.select("x"), SAMPLE, SEED, "x").orderBy("x").collect()  # SAMPLE vectors, as they are distinct
     x = np.array([r["x"] for r in got], float)
     rng = np.random.default_rng(SEED)
     rotation = np.linalg.qr(rng.normal(size=(x.shape[1], x.shape[1])))[0]

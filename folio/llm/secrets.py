@@ -21,7 +21,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import text_of
+from folio.llm.common import least_hashed, text_of
 
 #: The base kinds in order, their patterns and the least length of what they mark.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -81,8 +81,8 @@ def base_spans(text: Column) -> list[Column]:
 
 def samples(docs: DataFrame) -> DataFrame:
     """The labelled samples (word, random): digests and marked values are random, other tokens of the texts ordinary."""
-    text = text_of(docs)
-    rows = docs.select(text.alias("text"), F.xxhash64(F.lit(SEED), text).alias("_h")).orderBy("_h", "text").limit(SAMPLE_DOCS)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    rows = least_hashed(rows, SAMPLE_DOCS, SEED, "doc_id", "text").select("text")
     marked = F.concat(
         F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("text", F.lit(rf"{ACCESS}(?<=[A-Z0-9]{{{LEAST['access']}}})"), F.lit(0)),
         F.regexp_extract_all("text", F.lit(rf"[0-9a-f]{{{LEAST['hex']},}}"), F.lit(0)),
