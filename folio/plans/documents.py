@@ -202,7 +202,7 @@ def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("grouped_chars", r"""
-WITH ch AS (SELECT conv_id AS document_id, i AS pos, substr(text, i, 1) AS c FROM conversations, unnest(range(1, length(text) + 1)) AS u(i) WHERE turn = 0),
+WITH ch AS (SELECT conv_id AS document_id, turn * 10000000 + i AS pos, substr(text || chr(10), i, 1) AS c FROM conversations, unnest(range(1, length(text) + 2)) AS u(i)),
 flag AS (SELECT *, regexp_full_match(c, '[\p{Cc}\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]') AS gap FROM ch),
 sums AS (
   SELECT *, coalesce(sum((c = chr(10))::INT) OVER w, 0)::BIGINT AS line, coalesce(sum(gap::INT) OVER w, 0) AS word_no FROM flag
@@ -211,10 +211,10 @@ SELECT document_id, line, row_number() OVER (PARTITION BY document_id, line ORDE
 FROM (SELECT document_id, line, word_no, string_agg(c, '' ORDER BY pos) AS word FROM sums WHERE NOT gap GROUP BY ALL)
 """)
 def grouped_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First turns, character by character, put together to words and lines."""
-    chars = F.filter(F.split("text", ""), lambda c: c != "")
-    rows = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("document_id"), F.posexplode(chars).alias("at", "char"))
-    return D.grouped_chars(rows)
+    """Turns, character by character, put together to words and lines."""
+    chars = F.filter(F.split(F.concat("text", F.lit("\n")), ""), lambda c: c != "")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), "turn", F.posexplode(chars).alias("_i", "char"))
+    return D.grouped_chars(rows.select("document_id", F.struct("turn", "_i").alias("at"), "char"))
 
 
 @query("locate_spans", f"""
