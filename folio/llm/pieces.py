@@ -222,14 +222,17 @@ def viterbi(edges: Column) -> Column:
 
 
 def merging(size: Column) -> Column:
-    """The places left when neighbours are merged, as bits, by the edges in _long: sorted by score downwards, then start."""
+    """The places left when neighbours are merged, as bits, by the edges in _long: their inner places, best score first, then start."""
     zero = F.lit(0).cast("long")
 
     def merge(places: Column, _: Column) -> Column:
         # The first edge between two places with one place within: that place goes. Without such an edge nothing changes.
-        fits = lambda e: (places.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(places.bitwiseAND(e["inner"])) == 1)
-        first = F.get(F.filter("_long", fits), F.lit(0))["inner"]
-        return places.bitwiseAND(F.bitwise_not(F.coalesce(first, zero)))
+        def first(found: Column, inner: Column) -> Column:
+            whole = inner.bitwiseOR(F.shiftleft(inner, 1)).bitwiseOR(F.shiftright(inner, 1))
+            fits = (F.bit_count(places.bitwiseAND(whole)) == 3) & (F.bit_count(places.bitwiseAND(inner)) == 1)
+            return F.when(found != 0, found).when(fits, inner).otherwise(zero)
+
+        return places.bitwiseAND(F.bitwise_not(F.aggregate("_long", zero, first)))
 
     return F.aggregate(F.slice(F.sequence(F.lit(1), size), F.lit(1), F.least(size - 1, F.size("_long"))), bit(size + 1) - 1, merge)
 
@@ -246,10 +249,10 @@ def encoded_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     masks = (bit(F.col("start")) + bit(F.col("stop"))).alias("ends"), (bit(F.col("stop")) - bit(F.col("start") + 1)).alias("inner")
     edge = F.struct(*key, F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(vocabulary.penalty)).alias("score"), *masks)
     edges = lattice.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("_edges"))
-    edges = edges.withColumn("_long", F.filter("_edges", lambda e: e["inner"] != 0))
+    edges = edges.withColumn("_long", F.filter(F.transform("_edges", lambda e: e["inner"]), lambda inner: inner != 0))
     found = edges.withColumn("_places", merging(F.length("unit")) if vocabulary.merging else viterbi(F.col("_edges")))
     on = F.filter("_edges", lambda e: (F.col("_places").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("_places").bitwiseAND(e["inner"]) == 0))
-    ordered = F.array_sort(F.transform(on, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id"))))
+    ordered = F.sort_array(F.transform(on, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id"))))
     # Below 0: a character that is no piece, by its place from 1.
     found = found.select("unit", F.transform(ordered, lambda e: F.when(e["id"] < 0, -e["start"] - 1).otherwise(e["id"])).alias("_ids"))
     bytes_of = F.array(*(F.lit(i) for i in vocabulary.byte_ids))
@@ -350,7 +353,7 @@ def chunk_lists(texts, extra, vocabulary: Vocabulary, d: Dictionary):
 def encoded(docs: DataFrame, model: str = MODEL, most: int = DICTIONARY, step=lambda text, ids, vocabulary: (ids.tobytes(),), columns: str = "ids binary") -> DataFrame:
     """_id and what `step` makes of each row's text and ids; by itself the ids as little-endian 32-bit numbers."""
     vocabulary, spark = Vocabulary.load(model), docs.sparkSession
-    rows = keyed(docs).select("_id", "_th", "text")
+    rows = keyed(docs).select("_id", "text")
     units = checkpoint(counted(rows, vocabulary))
     # The least count that at most `most` units reach; counts are few and small numbers, units are not gathered.
     by_count = units.select(F.least("n", F.lit(1 << 20)).alias("n")).groupBy("n").count().collect()  # at most 2^20 rows
@@ -362,25 +365,27 @@ def encoded(docs: DataFrame, model: str = MODEL, most: int = DICTIONARY, step=la
     d = spark.sparkContext.broadcast(dictionary(units.where(F.col("n") >= least), vocabulary))
 
     def first(batch: pd.DataFrame) -> pd.DataFrame:
-        pack, out = zstandard.ZstdCompressor(level=1), []
-        for key, th, text, (_, lacking) in zip(batch["_id"], batch["_th"], batch["text"], lists(batch["text"], [{}] * len(batch), vocabulary, d.value), strict=True):
-            out.append((key, th, pack.compress(text.encode("utf-8", "surrogatepass")), list(lacking)))
-        return pd.DataFrame(out, columns=["_id", "_th", "z", "lacking"])
+        pack = zstandard.ZstdCompressor(level=1)
+        found = lists(batch["text"], [{}] * len(batch), vocabulary, d.value)
+        parts = [[pack.compress(t.encode("utf-8", "surrogatepass")), *(u.encode() for u in lacking)] for t, (_, lacking) in zip(batch["text"], found, strict=True)]
+        return pd.DataFrame({"_id": batch["_id"], "parts": parts})
 
     names = [c.split()[0] for c in columns.split(", ")]
 
     def last(batch: pd.DataFrame) -> pd.DataFrame:
         open_ = zstandard.ZstdDecompressor()
-        texts = [open_.decompress(z).decode("utf-8", "surrogatepass") for z in batch["z"]]
+        texts = [open_.decompress(p[0]).decode("utf-8", "surrogatepass") for p in batch["parts"]]
         extra = [{x["unit"]: x["ids"] for x in e} if e is not None else {} for e in batch["extra"]]
         rows = [(key, *step(text, ids, vocabulary)) for key, text, (ids, _) in zip(batch["_id"], texts, lists(texts, extra, vocabulary, d.value), strict=True)]
         return pd.DataFrame(rows, columns=["_id", *names])
 
-    begun = per_batch(rows, first, "_id long, _th long, z binary, lacking array<string>")
+    # The text and the units that the dictionary lacks are one column, so that both readers below share one exchange and
+    # the texts are cut once. Rows of one _id share their units.
+    begun = per_batch(rows, first, "_id long, parts array<binary>").repartition("_id")
     rare = units.where(F.col("n") < least)
-    wanted = begun.select("_id", "_th", F.explode("lacking").alias("unit")).distinct()
-    found = wanted.join(encoded_units(dealt(rare.select("unit")), vocabulary), "unit").groupBy("_id", "_th").agg(F.collect_list(F.struct("unit", "ids")).alias("extra"))
-    return per_batch(begun.drop("lacking").join(found, ["_id", "_th"], "left"), last, f"_id long, {columns}").select("_id", *names)
+    wanted = begun.select("_id", F.explode(F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0)))).alias("_u")).select("_id", F.col("_u").cast("string").alias("unit")).distinct()
+    found = wanted.join(encoded_units(dealt(rare.select("unit")), vocabulary), "unit").groupBy("_id").agg(F.collect_list(F.struct("unit", "ids")).alias("extra"))
+    return per_batch(begun.join(found, "_id", "left"), last, f"_id long, {columns}").select("_id", *names)
 
 
 def piece_report(docs: DataFrame, model: str = MODEL) -> DataFrame:
