@@ -33,7 +33,7 @@ HIDDEN, GATE = 24, 12
 EPOCHS, BATCH, RATE = 40, 128, 0.01
 SEED = 7
 #: Bytes of text whose features are computed at once.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 
 def byte_classes() -> np.ndarray:
