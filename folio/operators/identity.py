@@ -6,15 +6,14 @@ content_id) is the store.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.text import canonical, content_id
 from folio.operators.lineage import checkpoint
 
-#: Steps of a lineage; a longer chain is a cycle.
-MAX_STEPS = 16
-
 
 def document_id(blob_id: Column, parser: str, version: str, options_hash: str) -> Column:
     return content_id(canonical(v=F.lit("1"), blob_id=blob_id, parser_id=F.lit(parser), parser_version=F.lit(version), options_hash=F.lit(options_hash)))
@@ -53,7 +52,7 @@ def lineage(store: DataFrame, start: DataFrame) -> DataFrame:
     edges = store.select("artifact_id", "stage", "input_artifact_id")
     now = start.select(F.col("artifact_id").alias("root_id"), "artifact_id", F.array().cast("array<string>").alias("_seen"))
     out = None
-    for step in range(MAX_STEPS):
+    for step in itertools.count():
         rows = now.join(edges, "artifact_id")
         mine = rows.select("root_id", F.lit(step).alias("step"), "artifact_id", "stage")
         out = mine if out is None else out.unionByName(mine)
