@@ -1,7 +1,8 @@
 """Grounding: where claimed values stand in texts, exactly or within an edit distance.
 
-claims(document_id, field_path, claim) are located in docs(document_id, text). Both are folded to views first; spans are
-in the view. A claim's best place is that of highest similarity, then least start, then least length.
+claims(document_id, field_path, claim) are located in docs(document_id, text). `ground` folds both to views first and
+gives spans in the text; `exact` and `fuzzy` take texts as they are. A claim's best place is that of highest similarity,
+then least start, then least length.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.operators.lineage import checkpoint
 
 THRESHOLD = 0.9
 BUDGET = 1500
@@ -89,6 +91,23 @@ def source_place(parts: Column, place: Column, end: bool) -> Column:
     return F.coalesce(found["at"], place + found["shift"])
 
 
+def viewed(docs: DataFrame) -> DataFrame:
+    """Documents with their views as text, and the views' transformed parts as _parts."""
+    return docs.select("document_id", fold("text").alias("_v")).select("document_id", F.col("_v.view").alias("text"), F.col("_v.parts").alias("_parts"))
+
+
+def folded_claims(claims: DataFrame) -> DataFrame:
+    """Claims in the form of the views; a missing one becomes empty."""
+    return claims.withColumn("claim", fold("claim")["view"])
+
+
+def sourced(places: DataFrame, views: DataFrame) -> DataFrame:
+    """Places in views as places in the texts."""
+    met = places.join(views.select("document_id", "_parts"), "document_id")
+    at = {"span_start": source_place(F.col("_parts"), F.col("span_start"), False), "span_end": source_place(F.col("_parts"), F.col("span_end"), True)}
+    return met.withColumns(at).drop("_parts")
+
+
 def exact(docs: DataFrame, claims: DataFrame) -> DataFrame:
     """document_id, field_path, span_start, span_end, score 1 of every place where a claim stands word for word."""
     met = docs.join(claims.where("trim(claim) <> ''"), "document_id")
@@ -106,35 +125,55 @@ def candidate_starts(text: Column, claim: Column, k: Column, budget: int = BUDGE
 
     The first budget + 1 starts are given; one more than the budget says that there are others.
     """
-    size = F.length(claim)
-    width = F.floor(size / (k + 1)).cast("int")
 
-    def of(i: Column) -> Column:
-        block = F.substring(claim, i * width + 1, F.when(i == k, size).otherwise(width))
-        # Overlapping places: the blocks are short, so each place is looked at.
-        span = F.length(block)
-        places = F.filter(F.sequence(F.lit(0), F.greatest(F.length(text) - span, F.lit(0))), lambda p: F.substring(text, p + 1, span) == block)
-        return F.flatten(F.transform(places, lambda p: F.filter(F.sequence(p - i * width - k, p - i * width + k), lambda s: s >= 0)))
+    def starts(texts: pd.Series, claims: pd.Series, ks: pd.Series) -> pd.Series:
+        return pd.Series([block_starts(t, c, int(n), budget) for t, c, n in zip(texts, claims, ks, strict=True)], dtype=object)
 
-    everywhere = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)))
-    blocks = F.transform(F.sequence(F.lit(0), k), of)
-    return F.slice(F.when(k + 1 > size, everywhere).otherwise(F.array_sort(F.array_distinct(F.flatten(blocks)))), 1, budget + 1)
+    return F.pandas_udf(starts, "array<int>")(text, claim, k)
 
 
-def fuzzy(docs: DataFrame, claims: DataFrame, threshold: float = THRESHOLD, budget: int = BUDGET) -> DataFrame:
-    """Every place within the threshold: document_id, field_path, span_start, span_end, score, truncated."""
+def block_starts(text: str, claim: str, k: int, budget: int) -> list[int]:
+    size = len(claim)
+    if k + 1 > size:
+        return list(range(min(max(len(text), 1), budget + 1)))
+    width, found = size // (k + 1), set()
+    for i in range(k + 1):
+        block = claim[i * width : size if i == k else (i + 1) * width]
+        # Overlapping places too.
+        at = text.find(block)
+        while at >= 0:
+            found.update(range(max(at - i * width - k, 0), at - i * width + k + 1))
+            at = text.find(block, at + 1)
+    return sorted(found)[: budget + 1]
+
+
+def searches(docs: DataFrame, claims: DataFrame, threshold: float = THRESHOLD, budget: int = BUDGET) -> DataFrame:
+    """Where each claim is to be looked for: document_id, field_path, claim, _k, _starts, and truncated if there are other starts."""
     met = docs.join(claims.where("trim(claim) <> ''"), "document_id").withColumn("_k", edits(F.length("claim"), threshold))
     met = met.withColumn("_starts", candidate_starts(F.col("text"), F.col("claim"), F.col("_k"), budget))
-    rows = met.select("document_id", "field_path", "text", "claim", "_k", (F.size("_starts") > budget).alias("truncated"), F.explode(F.slice("_starts", 1, budget)).alias("span_start"))
+    return met.select("document_id", "field_path", "claim", "_k", F.slice("_starts", 1, budget).alias("_starts"), (F.size("_starts") > budget).alias("truncated"))
+
+
+def near(docs: DataFrame, asked: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Every place within the threshold of the searches: document_id, field_path, span_start, span_end, score, truncated."""
+    rows = docs.select("document_id", "text").join(asked, "document_id").select("document_id", "field_path", "text", "claim", "_k", "truncated", F.explode("_starts").alias("span_start"))
+    rows = rows.withColumn("_piece", F.substring("text", F.col("span_start") + 1, F.length("claim") + F.col("_k"))).drop("text")
+    # Few bytes but many distances: a number of partitions that isn't coalesced.
+    rows = rows.repartition(docs.sparkSession.sparkContext.defaultParallelism * 4)
     sizes = F.sequence(F.greatest(F.length("claim") - F.col("_k"), F.lit(1)), F.length("claim") + F.col("_k"))
-    rows = rows.withColumn("_n", F.explode(sizes)).where(F.col("span_start") + F.col("_n") <= F.length("text"))
+    rows = rows.withColumn("_n", F.explode(sizes)).where(F.col("_n") <= F.length("_piece"))
     longest = F.greatest(F.length("claim"), F.col("_n"))
     most = F.ceil((1 - F.lit(float(threshold))) * longest).cast("int")
-    d = F.call_function("levenshtein", "claim", F.substring(F.col("text"), F.col("span_start") + 1, F.col("_n")), most)
+    d = F.call_function("levenshtein", "claim", F.substring(F.col("_piece"), F.lit(1), F.col("_n")), most)
     rows = rows.withColumn("_d", d).where("_d >= 0").withColumn("score", 1 - F.col("_d") / longest.cast("double")).where(F.col("score") >= threshold)
     return rows.select("document_id", "field_path", "span_start", (F.col("span_start") + F.col("_n")).alias("span_end"), "score", "truncated")
 
 
+def fuzzy(docs: DataFrame, claims: DataFrame, threshold: float = THRESHOLD, budget: int = BUDGET) -> DataFrame:
+    """Every place within the threshold: document_id, field_path, span_start, span_end, score, truncated."""
+    return near(docs, searches(docs, claims, threshold, budget), threshold)
+
+
 def best(places: DataFrame, runners_up: int = RUNNERS_UP) -> DataFrame:
     """The best place of each claim, and how many of the next ones there are (up to `runners_up`)."""
     by = Window.partitionBy("document_id", "field_path").orderBy(F.desc("score"), "span_start", F.col("span_end") - F.col("span_start"))
@@ -143,13 +182,22 @@ def best(places: DataFrame, runners_up: int = RUNNERS_UP) -> DataFrame:
     return rows.groupBy("document_id", "field_path").agg(first.alias("_b"), (F.count("*") - 1).alias("alternatives")).select("document_id", "field_path", "_b.*", "alternatives")
 
 
-def ground(docs: DataFrame, claims: DataFrame, threshold: float = THRESHOLD, budget: int = BUDGET) -> DataFrame:
-    """One row a claim: status (exact, fuzzy, ungrounded), span_start, span_end, score, alternatives. Fuzzy only where no exact place is."""
-    sure = best(exact(docs, claims)).withColumn("status", F.lit("exact"))
-    rest = claims.join(sure, ["document_id", "field_path"], "left_anti")
-    near = best(fuzzy(docs, rest, threshold, budget)).withColumn("status", F.lit("fuzzy"))
-    out = claims.select("document_id", "field_path").join(sure.unionByName(near), ["document_id", "field_path"], "left")
-    return out.withColumns({"status": F.coalesce("status", F.lit("ungrounded")), "alternatives": F.coalesce("alternatives", F.lit(0).cast("long"))})
+def ground(docs: DataFrame, claims: DataFrame, threshold: float = THRESHOLD, budget: int = BUDGET, folding: bool = True) -> DataFrame:
+    """One row a claim: status (exact, fuzzy, ungrounded), span_start, span_end, score, alternatives, truncated. Fuzzy only where no exact place is.
+
+    Truncated: the budget cut the search, so a better place may stand further on. Without folding, texts and claims are
+    compared as they are.
+    """
+    by = ["document_id", "field_path"]
+    asked = folded_claims(claims) if folding else claims
+    # Each document with claims is folded once.
+    texts = checkpoint(viewed(docs.join(claims.select("document_id").distinct(), "document_id", "left_semi"))) if folding else docs
+    sure = checkpoint(best(exact(texts, asked)).withColumn("status", F.lit("exact")))
+    looked = checkpoint(searches(texts, asked.join(sure, by, "left_anti"), threshold, budget))
+    found = sure.unionByName(best(near(texts, looked, threshold)).withColumn("status", F.lit("fuzzy")))
+    found = sourced(found, texts) if folding else found
+    out = claims.select(*by).join(found, by, "left").join(looked.select(*by, "truncated"), by, "left")
+    return out.withColumns({"status": F.coalesce("status", F.lit("ungrounded")), "alternatives": F.coalesce("alternatives", F.lit(0).cast("long")), "truncated": F.coalesce("truncated", F.lit(False))})
 
 
 def exclusive(places: DataFrame) -> DataFrame:
@@ -173,7 +221,7 @@ def exclusive(places: DataFrame) -> DataFrame:
 
 
 def counts(outcomes: DataFrame) -> DataFrame:
-    """How many claims are exact, fuzzy and ungrounded, and the share that is grounded (null without claims)."""
+    """How many claims are exact, fuzzy and ungrounded, how many searches were cut, and the share that is grounded (null without claims)."""
     n = lambda s: F.count_if(F.col("status") == s)
-    sums = outcomes.agg(n("exact").alias("exact"), n("fuzzy").alias("fuzzy"), n("ungrounded").alias("ungrounded"))
+    sums = outcomes.agg(n("exact").alias("exact"), n("fuzzy").alias("fuzzy"), n("ungrounded").alias("ungrounded"), F.count_if("truncated").alias("truncated"))
     return sums.withColumn("grounding_rate", F.try_divide((F.col("exact") + F.col("fuzzy")).cast("double"), (F.col("exact") + F.col("fuzzy") + F.col("ungrounded")).cast("double")))

@@ -44,7 +44,8 @@ def claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, asked = claims(spark, sf_dir)
-    return G.ground(rows, asked)
+    # The SQL compares texts as they are.
+    return G.ground(rows, asked, folding=False)
 
 
 @query("ground_claims", f"WITH {CLAIMS} SELECT * FROM outcome")
@@ -59,7 +60,7 @@ SELECT count(*) FILTER (WHERE status = 'exact')::BIGINT AS exact, count(*) FILTE
 FROM outcome
 """)
 def grounding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.counts(outcomes(spark, sf_dir))
+    return G.counts(outcomes(spark, sf_dir)).drop("truncated")
 
 
 @query("folded_views")
@@ -75,6 +76,7 @@ def exclusive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").cast("int").alias("entry"), "text")
     whole = turns.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry", "text"))), lambda x: x["text"]), "\n").alias("text"))
     asked = turns.select("document_id", F.concat(F.lit("turns["), F.col("entry").cast("string"), F.lit("].word")).alias("field_path"), F.regexp_extract("text", r"\w+", 0).alias("claim"))
-    places = G.exact(whole, asked)
+    views = G.viewed(whole)
+    places = G.sourced(G.exact(views, G.folded_claims(asked)), views)
     entry = F.regexp_extract("field_path", r"\[(\d+)\]", 1).cast("int")
     return G.exclusive(places.select("document_id", F.lit("turns[].word").alias("slot"), entry.alias("entry"), "span_start", "span_end", "score"))
