@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.catalogue import query
 from folio.operators import grounding as G
+from folio.operators.lineage import checkpoint
 from folio.plans.documents import HITS, docs, hits
 from folio.plans.tables import table
 
@@ -63,6 +64,27 @@ def grounding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.counts(outcomes(spark, sf_dir)).drop("truncated")
 
 
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcomes of whole passages as claims on all documents that hold them: as they are, with a wrong character, and another text."""
+    needles = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("needle_id"), F.col("text").alias("_b"))
+    found = hits(spark, sf_dir).select("document_id", "needle_id").distinct().join(needles, "needle_id")
+    wrong = F.concat(F.substring("_b", 1, 12), F.lit("#"), F.expr("substring(_b, 14)"))
+    claim = F.when(F.col("needle_id") % 3 == 0, F.col("_b")).when(F.col("needle_id") % 3 == 1, wrong).otherwise("no such text stands anywhere")
+    asked = found.select("document_id", F.concat(F.lit("field"), F.col("needle_id").cast("string")).alias("field_path"), claim.alias("claim"))
+    return G.ground(docs(spark, sf_dir), checkpoint(asked))
+
+
+@query("ground_passages")
+def ground_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole passages located in all documents, beyond ASCII too, in folded views. DuckDB's edit distance counts bytes, so no SQL."""
+    return passages(spark, sf_dir)
+
+
+@query("passage_counts")
+def passage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.counts(passages(spark, sf_dir))
+
+
 @query("folded_views")
 def folded_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text's view: its size and how many parts of the text it changes. Composition has no SQL form."""

@@ -3,7 +3,9 @@
 import pytest
 
 from folio.operators import grounding as G
+from folio.plans import grounding as P
 
+SF = "/root/testdata/sf0.001"
 TEXT = "Der Betrag – 1.234,50 €, zahlbar bis zum Ende des\n  Monats “März” – naïve soft\u00adware, o\ufb03ce am-\nount; 合計金額は千二百円です。終わり"
 CLAIMS = [
     "zum Ende des Monats “März”", "software, office amount", "zahlbar  bis\nzum Ende", "Betrag – 1.234,50 €, zahlbar bis", "合計金額は千二百円です。", "合計金額は千三百円です。",
@@ -59,3 +61,8 @@ def test_a_cut_search_is_told(spark, claim):
     out = G.ground(docs, claims, budget=10)
     assert {r.field_path: r.truncated for r in out.collect()} == {"x": True, "y": False}
     assert G.counts(out).first().truncated == 1
+
+
+def test_passages_take_all_documents(spark):
+    rows = P.ground_passages(spark, SF)
+    assert rows.count() == P.hits(spark, SF).select("document_id", "needle_id").distinct().count() > P.outcomes(spark, SF).count()
