@@ -6,8 +6,10 @@ content_id) is the store.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,43 @@ def artifact_id(source: Column, processor: str, version: str, options_hash: str)
 
 
 def set_id(rows: DataFrame, by: list[str], member: str) -> DataFrame:
-    """The id of a set of ids: the hash of its members' hashes in order. Members are gathered by set, so sets must be bounded."""
-    return rows.groupBy(*by).agg(content_id(F.array_join(F.array_sort(F.collect_list(member)), ",")).alias("set_id"), F.count("*").alias("members"))
+    """The id of a set of ids: the hash of its members' hashes in order.
+
+    Members are sorted by Spark, which may spill, and streamed through one hash a set: a set is never gathered. A missing
+    member counts but gives nothing to the hash; a set of nothing else has no id.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    rows = rows.select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.col(member).cast("string").alias("_m"))
+    # By the keys alone, so that a set lies in one partition.
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_last("_m"))
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    out = dealt.mapInArrow(hashed_sets, f"{kinds}, set_id string, members long")
+    return out.select(*(F.col(k).alias(c) for c, k in zip(by, keys, strict=True)), "set_id", "members")
+
+
+def hashed_sets(batches):
+    """One row a set, of batches with the sets' keys and _m in order."""
+    now, digest, members, some = None, None, 0, False
+
+    def row():
+        return [*([x] for x in now), ["sha256:" + digest.hexdigest() if some else None], [members]]
+
+    schema = None
+    for batch in batches:
+        if schema is None:
+            schema = pa.schema([*(f for f in batch.schema if f.name != "_m"), ("set_id", pa.string()), ("members", pa.int64())])
+        *columns, values = (c.to_pylist() for c in batch.columns)
+        for *key, m in zip(*columns, values, strict=True):
+            if key != now:
+                if now is not None:
+                    yield pa.record_batch([pa.array(x, f.type) for x, f in zip(row(), schema, strict=True)], schema=schema)
+                now, digest, members, some = key, hashlib.sha256(), 0, False
+            members += 1
+            if m is not None:
+                digest.update(("," * some + m).encode())
+                some = True
+    if now is not None:
+        yield pa.record_batch([pa.array(x, f.type) for x, f in zip(row(), schema, strict=True)], schema=schema)
 
 
 def planned(ids: DataFrame, store: DataFrame) -> DataFrame:

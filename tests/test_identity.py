@@ -1,3 +1,5 @@
+import hashlib
+
 from folio.operators import identity as I
 
 STORE = "artifact_id string, stage string, input_artifact_id string"
@@ -11,3 +13,15 @@ def test_lineage_follows_long_chains_and_ends_cycles(spark):
     want = [(str(i), n, str(i - n)) for i in range(21) for n in range(i + 1)]
     want += [("a", 0, "a"), ("a", 1, "b"), ("a", 2, "c"), ("b", 0, "b"), ("b", 1, "c"), ("c", 0, "c"), ("c", 1, "b"), ("own", 0, "own")]
     assert got == sorted(want)
+
+
+def test_set_ids_without_gathering(spark):
+    rows = [(i % 3 if i % 3 else None, "a,b"[i % 2 :: 2], f"m{i * 7919 % 5000}" if i % 11 else None) for i in range(5000)] + [(7, "x", None)]
+    df = spark.createDataFrame(rows, "k int, g string, m string")
+    out = I.set_id(df, ["k", "g"], "m")
+    want = {}
+    for k, g, m in rows:
+        want.setdefault((k, g), []).append(m)
+    ids = lambda ms: "sha256:" + hashlib.sha256(",".join(sorted(m for m in ms if m is not None)).encode()).hexdigest() if any(ms) else None
+    assert {(r.k, r.g): (r.set_id, r.members) for r in out.collect()} == {s: (ids(ms), len(ms)) for s, ms in want.items()}
+    assert "collect_list" not in out._jdf.queryExecution().toString()
