@@ -7,7 +7,9 @@ windows have equal anchors.
 1. Every document gives its distinct anchors. An anchor that stands once in the corpus has no repeated window; only
    repeated ones go on (a partial count and a semi-join).
 2. Runs of windows with one repeated anchor are segments. Equal segments are one row with the place of the first copy; all
-   windows of later copies are repeated.
+   windows of later copies are repeated. An anchor with more than SHARD distinct segments is hot (a passage in many
+   contexts): each of its windows is a segment of its own, met by the hash of the whole window instead of the anchor, and
+   needs no index.
 3. Distinct segments are dealt to shards by their anchor. A shard builds an FM-index of its segments: a suffix array by
    prefix doubling, the Burrows-Wheeler transform, a wavelet matrix with packed bits and block counts. The segments are
    streamed through it from their last word backwards, all at once: a step takes the interval of the words matched so far
@@ -41,7 +43,7 @@ WINDOW = 20
 GRAM = 5
 #: Windows of a segment at most; longer runs are cut.
 SEGMENT = 64
-#: Segments of a shard, about.
+#: Segments of a shard, about, and of one anchor at most.
 SHARD = 20_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -72,7 +74,7 @@ def anchors(g: np.ndarray) -> np.ndarray:
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(h, _id, n): each document's distinct anchors, n is 2 if the anchor's words stand there more than once."""
+    """(h, _id, n): each document's distinct anchors, n is how often the anchor's words stand there."""
 
     def step(batch: pd.DataFrame) -> pd.DataFrame:
         hs, ids, ns = [], [], []
@@ -83,7 +85,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                 own = np.unique(anchors(g))
                 all_, counts = np.unique(g, return_counts=True)
                 hs.append(own)
-                ns.append(np.minimum(counts[np.searchsorted(all_, own)], 2))
+                ns.append(counts[np.searchsorted(all_, own)])
                 ids.append(np.full(len(own), key))
         flat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
         return pd.DataFrame({"h": flat(hs, np.uint64).view(np.int64), "_id": flat(ids, np.int64), "n": flat(ns, np.int32)})
@@ -92,12 +94,25 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """(_id, hs): the anchors of each document that stand more than once in the corpus."""
+    """(_id, hs, many): the anchors of each document that stand more than once in the corpus, and those of them that stand more than SHARD times."""
     # Dealt once, by anchor, for the count and the semi-join: a document has an anchor once, so no anchor has more rows
     # than there are documents.
     rows = anchor_rows(docs).repartition("h")
-    many = rows.groupBy("h").agg(F.sum("n").alias("_n")).where("_n > 1").select("h")
-    return rows.join(many, "h", "left_semi").groupBy("_id").agg(F.collect_list("h").alias("hs"))
+    many = rows.groupBy("h").agg(F.sum("n").alias("_n")).where("_n > 1").select("h", (F.col("_n") > SHARD).alias("_many"))
+    return rows.join(many, "h").groupBy("_id").agg(F.collect_list("h").alias("hs"), F.collect_list(F.when(F.col("_many"), F.col("h"))).alias("many"))
+
+
+def hot_anchors(docs: DataFrame, anchored: DataFrame) -> np.ndarray:
+    """The anchors with more than SHARD distinct segments, sorted.
+
+    A segment holds its anchor's words, so only anchors that stand more than SHARD times are asked. Both lists are bounded
+    by the words of the corpus divided by SHARD.
+    """
+    asked = np.array([r.h for r in anchored.select(F.explode("many").alias("h")).distinct().collect()], np.int64)
+    if not len(asked):
+        return asked
+    found = segments(docs.join(anchored.where(F.size("many") > 0).select("_id", F.col("many").alias("hs")), "_id"), False).select("h", "c").distinct()
+    return np.sort(np.array([r.h for r in found.groupBy("h").count().where(F.col("count") > SHARD).select("h").collect()], np.int64))
 
 
 PLACE = ["_id", "_th", "start"]
@@ -130,6 +145,24 @@ def segments(docs: DataFrame, content: bool) -> DataFrame:
     return each_batch(docs.select("_id", "_th", "text", "hs"), step, "h long, c long, n int, _id long, _th long, start int" + ", content binary" * content)
 
 
+def hot_windows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """The windows with a hot anchor, as segments of one window: h is a second hash of the window's words."""
+    listed = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def step(batch: pd.DataFrame) -> pd.DataFrame:
+        rows: list[tuple] = []
+        for key, th, text in zip(batch["_id"], batch["_th"], batch["text"], strict=True):
+            words = split(text)
+            if len(words) < WINDOW:
+                continue
+            for at in np.flatnonzero(np.isin(anchors(grams(words)).view(np.int64), listed.value)).tolist():
+                joined = b" ".join(words[at : at + WINDOW])
+                rows.append((xxhash.xxh64_intdigest(joined, 1) - (1 << 63), xxhash.xxh64_intdigest(joined) - (1 << 63), 1, key, th, at))
+        return pd.DataFrame(rows, columns=["h", "c", "n", *PLACE])
+
+    return each_batch(docs.select("_id", "_th", "text"), step, "h long, c long, n int, _id long, _th long, start int")
+
+
 class WaveletMatrix:
     """Ranks of symbols in a sequence; a level's bits are packed in words of 64 with a count before each."""
 
@@ -238,11 +271,24 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shards = max(1, -(-total // SHARD))
     # Dealt by _id once; the joins below and the last one read the same exchange.
     dealt = docs.repartition("_id")
-    with_anchors = dealt.join(anchored, "_id")
+    hot = hot_anchors(docs, anchored)
+    if len(hot):
+        listed = F.broadcast(docs.sparkSession.createDataFrame([(int(h),) for h in hot], "_hot long"))
+        held = anchored.where(F.size("many") > 0).select("_id", F.explode("many").alias("_hot")).join(listed, "_hot").groupBy("_id").agg(F.collect_list("_hot").alias("_hot"))
+        held = checkpoint(held)
+        holders = dealt.join(held.select("_id"), "_id")
+        anchored = anchored.join(held, "_id", "left").select("_id", F.when(F.col("_hot").isNull(), F.col("hs")).otherwise(F.array_except("hs", "_hot")).alias("hs"))
+    with_anchors = dealt.join(anchored.select("_id", "hs"), "_id")
     shard = F.pmod("h", F.lit(shards)).alias("shard")
     heads = segments(with_anchors, True).groupBy(shard).applyInPandas(lambda pdf: search(pdf), "h long, c long, _id long, _th long, start int, runs array<struct<at:int,many:int>>")
     place = F.struct(*PLACE)
-    later = segments(with_anchors, False).join(heads.select("h", "c", place.alias("_first"), "runs"), ["h", "c"])
+    heads, rows = heads.select("h", "c", place.alias("_first"), "runs"), segments(with_anchors, False)
+    if len(hot):
+        windows = hot_windows(holders, hot)
+        firsts = windows.groupBy("h", "c").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+        heads = heads.unionByName(firsts.select("h", "c", "_first", F.array().cast("array<struct<at:int,many:int>>").alias("runs")))
+        rows = rows.unionByName(windows)
+    later = rows.join(heads, ["h", "c"])
     runs = F.when(place == F.col("_first"), F.col("runs")).otherwise(F.array(F.struct(F.lit(0).alias("at"), F.col("n").alias("many"))))
     cuts = later.select("_id", "_th", "start", F.explode(runs).alias("_r")).select("_id", F.struct("_th", (F.col("start") + F.col("_r.at")).alias("at"), F.col("_r.many").alias("many")).alias("_c"))
     return dealt, cuts.groupBy("_id").agg(F.collect_list("_c").alias("cuts"))
