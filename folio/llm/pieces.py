@@ -8,16 +8,16 @@ last piece begins earlier. A vocabulary trained by merging (the public 32k one)
 sum isn't SentencePiece's result; there the fold merges over the same lattice, step by step the neighbours whose edge has
 the best score. Either way the ids are SentencePiece's own. A character that is no piece is written as byte pieces.
 
-Encoded units come back to the texts in two ways. Frequent ones (those above a count that at most DICTIONARY units reach)
-are sent to every task; the others are joined by unit with the documents that hold them. So what is broadcast has a fixed
-bound and no unit is left out.
+The texts are cut once. A unit that stands in the dictionary (the DICTIONARY most frequent units of a bounded sample of
+rows, encoded by the same lattice and sent to every task) is written as its number there; the others are gaps. Every
+row's numbers and the units in its gaps go through one exchange, by row: the distinct units of all gaps are encoded by
+the lattice, joined with the gaps, and the gaps filled. The dictionary saves shuffling and decides no result.
 
 Decoding gives back the text exactly, but for U+2581, which stands for a space.
 
 Cases: a missing or empty text has no pieces; repeated rows give equal results; a missing doc_id stays missing; units
 longer than LONG characters are encoded by the same rules in Python, as the fold keeps a unit's places in the bits of one
-number; an empty table
-gives an empty result; other columns are ignored.
+number; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,28 +27,32 @@ import heapq
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import checkpoint, keyed, real_id
+from folio.llm.common import keyed, real_id
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DICTIONARY = 500_000
+#: Rows whose units the dictionary is chosen from, about.
+SAMPLE = 50_000
 LONG = 62
-#: Units that one task folds, about.
+#: Units that one task folds, about, and rows of one task between the passes over texts.
 TASK_UNITS = 40_000
-#: Rows of a batch that are worked off at once.
-ROWS = 512
+TASK_ROWS = 4096
+#: Rows of a batch that are worked off at once, and bytes of their packed units.
+ROWS = 256
+PACKED = 1 << 20
 #: Distinct units that a task counts before it passes them on.
 COUNTED = 50_000
-#: Characters of text whose units are held at once.
-CHUNK = 1 << 20
 SPACE = "▁"
 PENALTY = 10.0
 
@@ -139,7 +143,7 @@ class Vocabulary:
         return out
 
     def decode(self, ids) -> str:
-        return b"".join(self.texts[i] for i in ids).decode("utf-8", "replace")[1:]
+        return b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
 def cuts(pieces) -> str:
@@ -160,18 +164,7 @@ def cuts(pieces) -> str:
     if across or len(odd) > 200:
         return rf"{SPACE}*[^{SPACE}]+|{SPACE}+"
     odd_chars = "".join(map(re.escape, sorted(odd)))
-    return rf"{SPACE}*(?:(?![{odd_chars}])[^\W\d_])+|{SPACE}*(?:[^\w{SPACE}]|[\d_{odd_chars}])+|{SPACE}+" if odd else rf"{SPACE}*[^\W\d_]+|{SPACE}*[^\w{SPACE}\d]+|{SPACE}*[\d_]+|{SPACE}+"
-
-
-def per_batch(df: DataFrame, step, schema: str) -> DataFrame:
-    """Apply `step` to runs of at most ROWS rows, so that what it makes of them is never held for a whole batch."""
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                yield step(batch.iloc[at : at + ROWS])
-
-    return df.mapInPandas(run, schema)
+    return rf"{SPACE}*[^\W\d_{odd_chars}]+|{SPACE}*(?:[^\w{SPACE}]|[\d_{odd_chars}])+|{SPACE}+" if odd else rf"{SPACE}*[^\W\d_]+|{SPACE}*[^\w{SPACE}\d]+|{SPACE}*[\d_]+|{SPACE}+"
 
 
 def counted(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -194,8 +187,21 @@ def counted(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return docs.select("text").mapInPandas(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
+def late_pieces(pieces: dict[str, tuple[int, float]]) -> set[str]:
+    """The pieces that may make a better one fit when they are merged: the other part of it is a piece or a character."""
+    late = set()
+    for whole, (_, score) in pieces.items():
+        for k in range(1, len(whole)):
+            for part, other in ((whole[:k], whole[k:]), (whole[k:], whole[:k])):
+                if part in pieces and pieces[part][1] < score and (len(other) == 1 or other in pieces):
+                    late.add(part)
+    return late
+
+
 def piece_table(spark, vocabulary: Vocabulary) -> DataFrame:
-    return spark.createDataFrame(pd.DataFrame([(p, i, s) for p, (i, s) in vocabulary.pieces.items()], columns=["piece", "id", "score"]), "piece string, id int, score double")
+    late = late_pieces(vocabulary.pieces)
+    rows = [(p, i, s, p in late) for p, (i, s) in vocabulary.pieces.items()]
+    return spark.createDataFrame(pd.DataFrame(rows, columns=["piece", "id", "score", "late"]), "piece string, id int, score double, late boolean")
 
 
 def bit(place: Column) -> Column:
@@ -221,20 +227,31 @@ def viterbi(edges: Column) -> Column:
     return F.aggregate(edges, start, add, lambda s: s["best"]["places"])
 
 
+def fits(places: Column, e: Column) -> Column:
+    """Whether an edge joins two neighbours: its ends are places, and one place lies within (`mask`: the places from end to end)."""
+    return (F.bit_count(places.bitwiseAND(e["mask"])) == 3) & (places.bitwiseAND(e["ends"]) == e["ends"])
+
+
 def merging(size: Column) -> Column:
-    """The places left when neighbours are merged, as bits, by the edges in _long: their inner places, best score first, then start."""
-    zero = F.lit(0).cast("long")
+    """The places left when neighbours are merged, as bits, by the edges in _long: best score first, then start.
 
-    def merge(places: Column, _: Column) -> Column:
-        # The first edge between two places with one place within: that place goes. Without such an edge nothing changes.
-        def first(found: Column, inner: Column) -> Column:
-            whole = inner.bitwiseOR(F.shiftleft(inner, 1)).bitwiseOR(F.shiftright(inner, 1))
-            fits = (F.bit_count(places.bitwiseAND(whole)) == 3) & (F.bit_count(places.bitwiseAND(inner)) == 1)
-            return F.when(found != 0, found).when(fits, inner).otherwise(zero)
+    One sweep over the edges in their order merges what fits. That is the whole result unless a merge makes an edge fit
+    that the sweep has passed already, which is looked for where the merged piece is a part of a better one; then (rare)
+    the edges are gone through from the start for every merge.
+    """
+    none = F.struct((bit(size + 1) - 1).alias("places"), F.lit(False).alias("late"))
+
+    def step(state: Column, e: Column) -> Column:
+        left = state["places"].bitwiseAND(F.bitwise_not(e["inner"]))
+        late = state["late"] | (e["late"] & F.exists("_long", lambda f: (f["at"] < e["at"]) & fits(left, f)))
+        return F.when(fits(state["places"], e), F.struct(left.alias("places"), late.alias("late"))).otherwise(state)
 
-        return places.bitwiseAND(F.bitwise_not(F.aggregate("_long", zero, first)))
+    def first(places: Column, _: Column) -> Column:
+        inner = F.aggregate("_long", F.lit(0).cast("long"), lambda found, e: F.when((found == 0) & fits(places, e), e["inner"]).otherwise(found))
+        return places.bitwiseAND(F.bitwise_not(inner))
 
-    return F.aggregate(F.slice(F.sequence(F.lit(1), size), F.lit(1), F.least(size - 1, F.size("_long"))), bit(size + 1) - 1, merge)
+    one_by_one = F.aggregate(F.sequence(F.lit(1), size), bit(size + 1) - 1, first)
+    return F.aggregate("_long", none, step, lambda s: F.when(s["late"], one_by_one).otherwise(s["places"]))
 
 
 def encoded_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -246,12 +263,13 @@ def encoded_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     # The piece table is the vocabulary: a fixed size, whatever the input.
     lattice = lattice.join(F.broadcast(piece_table(units.sparkSession, vocabulary)), "piece", "left").where("id IS NOT NULL OR stop = start + 1")
     key = ["stop", "start"] if not vocabulary.merging else [(-F.col("score")).alias("rank"), "start", "stop"]
-    masks = (bit(F.col("start")) + bit(F.col("stop"))).alias("ends"), (bit(F.col("stop")) - bit(F.col("start") + 1)).alias("inner")
-    edge = F.struct(*key, F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(vocabulary.penalty)).alias("score"), *masks)
+    masks = (bit(F.col("start")) + bit(F.col("stop"))).alias("ends"), (bit(F.col("stop")) - bit(F.col("start")) + bit(F.col("stop"))).alias("mask"), (bit(F.col("stop")) - bit(F.col("start") + 1)).alias("inner")
+    edge = F.struct(*key, F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(vocabulary.penalty)).alias("score"), F.coalesce("late", F.lit(False)).alias("late"), *masks)
     edges = lattice.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("_edges"))
-    edges = edges.withColumn("_long", F.filter(F.transform("_edges", lambda e: e["inner"]), lambda inner: inner != 0))
+    long = F.filter("_edges", lambda e: e["inner"] != 0)
+    edges = edges.withColumn("_long", F.transform(long, lambda e, at: F.struct(at.alias("at"), e["ends"].alias("ends"), e["mask"].alias("mask"), e["inner"].alias("inner"), e["late"].alias("late"))))
     found = edges.withColumn("_places", merging(F.length("unit")) if vocabulary.merging else viterbi(F.col("_edges")))
-    on = F.filter("_edges", lambda e: (F.col("_places").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("_places").bitwiseAND(e["inner"]) == 0))
+    on = F.filter("_edges", lambda e: F.col("_places").bitwiseAND(e["mask"]) == e["ends"])
     ordered = F.sort_array(F.transform(on, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id"))))
     # Below 0: a character that is no piece, by its place from 1.
     found = found.select("unit", F.transform(ordered, lambda e: F.when(e["id"] < 0, -e["start"] - 1).otherwise(e["id"])).alias("_ids"))
@@ -272,128 +290,157 @@ def dealt(units: DataFrame) -> DataFrame:
 
 @dataclass
 class Dictionary:
-    """Encoded frequent units by a 64-bit hash of the unit: sorted hashes, and each unit's ids from `starts` on."""
+    """Encoded frequent units: unit i has the ids from starts[i] on."""
 
-    hashes: np.ndarray
+    units: list[str]
     starts: np.ndarray
     ids: np.ndarray
 
+    @cached_property
+    def numbers(self) -> dict[str, int]:
+        """Each unit's number, from 1."""
+        return {u: i for i, u in enumerate(self.units, 1)}
 
-def dictionary(frequent: DataFrame, vocabulary: Vocabulary) -> Dictionary:
-    def step(batch: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"h": hashed(list(batch["unit"])).view(np.int64), "ids": [np.asarray(i, np.int32).tobytes() for i in batch["ids"]]})
-
-    # At most DICTIONARY rows of some 30 bytes, as Arrow columns.
-    got = per_batch(encoded_units(dealt(frequent), vocabulary), step, "h long, ids binary").toArrow().combine_chunks()
-    h = got["h"].to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    sorted_ids = got["ids"].combine_chunks().take(order)
-    sizes = pc.binary_length(sorted_ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-    raw = b"".join(x.as_buffer() for x in sorted_ids)
-    return Dictionary(h[order], np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), np.frombuffer(raw, np.int32))
+    def __getstate__(self):
+        return {"units": self.units, "starts": self.starts, "ids": self.ids}
 
 
-def hashed(units: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(u) for u in units), np.uint64, len(units))
+def frequent(rows: DataFrame, vocabulary: Vocabulary, most: int) -> DataFrame:
+    """The distinct units of the sample that stand most often there: those above a count that at most `most` units reach."""
+    share = min(1.0, SAMPLE / max(1, rows.count()))
+    sample = rows.where(F.shiftrightunsigned(F.xxhash64(F.lit(8), "_id", "_th"), 32) <= int(share * (1 << 32)))
+    units = counted(sample, vocabulary).persist()
+    # Counts are few and small numbers, units are not gathered: at most 2^20 rows.
+    by_count = units.select(F.least("n", F.lit(1 << 20)).alias("n")).groupBy("n").count().collect()
+    least, room = (1 << 20) + 1, most
+    for n, many in sorted(((r["n"], r["count"]) for r in by_count), reverse=True):
+        if room < many:
+            break
+        least, room = n, room - many
+    return units.where(F.col("n") >= least)
 
 
-def known(d: Dictionary, units: list[str]) -> np.ndarray:
-    """The index of each unit in the dictionary, or -1."""
-    h = hashed(units)
-    if not len(d.hashes):
-        return np.full(len(units), -1)
-    at = np.minimum(np.searchsorted(d.hashes, h), len(d.hashes) - 1)
-    return np.where(d.hashes[at] == h, at, -1)
+def dictionary(rows: DataFrame, vocabulary: Vocabulary, most: int) -> Dictionary:
+    units = frequent(rows, vocabulary, most)
+    # At most `most` rows of some 30 bytes each, as Arrow columns; frequent units get small numbers.
+    counts = units.toArrow()
+    got = encoded_units(dealt(units), vocabulary).toArrow().sort_by("unit")
+    units.unpersist()
+    order = pc.sort_indices(counts.sort_by("unit"), [("n", "descending")])
+    ids = got["ids"].take(order).combine_chunks()
+    return Dictionary(got["unit"].take(order).to_pylist(), ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy())
 
 
-def lists(texts, extra, vocabulary: Vocabulary, d: Dictionary):
-    """For each text its ids, or the distinct units that neither the dictionary nor `extra` (unit to ids) has.
+def packed(key: int, text: str, vocabulary: Vocabulary, numbers: dict[str, int], pack) -> list[bytes]:
+    """A row as its _id, its text's SHA-256 and its units' numbers, the ids of its long units, and the units in its gaps.
 
-    Texts are worked off in runs of CHUNK characters, so a batch's units are never held at once.
+    Numbers above the dictionary's stand for the gaps: its first unit, its second, and so on. A long unit's place among
+    the gaps is empty; its ids are in the second part, after its place and their number.
     """
-    texts, extra, at = list(texts), list(extra), 0
-    while at < len(texts):
-        end, room = at, CHUNK
-        while end < len(texts) and (end == at or room >= len(texts[end])):
-            room -= len(texts[end])
-            end += 1
-        yield from chunk_lists(texts[at:end], extra[at:end], vocabulary, d)
-        at = end
-
-
-def chunk_lists(texts, extra, vocabulary: Vocabulary, d: Dictionary):
-    parts = [vocabulary.units(t) for t in texts]
-    codes, names = pd.factorize(np.array([u for p in parts for u in p], object))
-    at, at_text = known(d, list(names)), 0
-    own = {}
-    for i in np.flatnonzero(at < 0):
-        if len(names[i]) > LONG:
-            own[i] = np.array(vocabulary.encode_unit(names[i]), np.int32)
-    for p, more in zip(parts, extra, strict=True):
-        mine = codes[at_text : at_text + len(p)]
-        at_text += len(p)
-        where = at[mine]
-        gaps = np.flatnonzero(where < 0)
-        lacking = [names[i] for i in dict.fromkeys(mine[gaps].tolist()) if i not in own and names[i] not in more]
-        if lacking:
-            yield None, lacking
-            continue
-        pieces, last = [], 0
-        for g in [*gaps.tolist(), len(mine)]:
-            w = where[last:g]
-            n = d.starts[w + 1] - d.starts[w]
-            if len(w):
-                pieces.append(d.ids[np.repeat(d.starts[w] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
-            if g < len(mine):
-                pieces.append(own[mine[g]] if mine[g] in own else np.asarray(more[names[mine[g]]], np.int32))
-            last = g + 1
-        yield (np.concatenate(pieces) if pieces else np.zeros(0, np.int32)), ()
-
-
-def encoded(docs: DataFrame, model: str = MODEL, most: int = DICTIONARY, step=lambda text, ids, vocabulary: (ids.tobytes(),), columns: str = "ids binary") -> DataFrame:
-    """_id and what `step` makes of each row's text and ids; by itself the ids as little-endian 32-bit numbers."""
+    units = vocabulary.units(text)
+    codes = np.fromiter(map(numbers.get, units, repeat(0)), np.uint32, len(units))
+    at = np.flatnonzero(codes == 0)
+    gaps: dict[str, int] = {}
+    codes[at] = [len(numbers) + 1 + gaps.setdefault(units[i], len(gaps)) for i in at.tolist()]
+    own: list[int] = []
+    for u in gaps:
+        if len(u) > LONG:
+            ids = vocabulary.encode_unit(u)
+            own += [gaps[u], len(ids), *ids]
+    # First all low bytes, then the next: frequent units have small numbers, so the higher bytes are mostly zero.
+    body = codes.view(np.uint8).reshape(-1, 4).T.tobytes()
+    return [key.to_bytes(8, "little", signed=True) + hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest() + pack(body), np.array(own, np.int32).tobytes(), *(b"" if len(u) > LONG else u.encode() for u in gaps)]
+
+
+def filled(parts: list[list[bytes]], found: list, vocabulary: Vocabulary, d: Dictionary) -> list[np.ndarray]:
+    """The ids of rows from their parts and what the join found for their gaps (place, ids)."""
+    unpack, n_known = zstandard.ZstdDecompressor().decompress, len(d.units)
+    more: list = []
+    codes = []
+    for p, answers in zip(parts, found, strict=True):
+        mine = np.frombuffer(unpack(p[0][40:]), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64) - 1
+        mine[mine >= n_known] += len(more)
+        codes.append(mine)
+        gaps: list = [None] * (len(p) - 2)
+        for k, ids in answers or ():
+            # Two rows of one key would find each other's units too: then a gap has two answers, or one too many.
+            if k < len(gaps):
+                gaps[k] = ids if gaps[k] is None else ()
+        own, at = np.frombuffer(p[1], np.int32), 0
+        while at < len(own):
+            gaps[own[at]] = own[at + 2 : at + 2 + own[at + 1]]
+            at += 2 + own[at + 1]
+        more += [ids if ids is not None and len(ids) else vocabulary.encode_unit(u.decode()) for ids, u in zip(gaps, p[2:], strict=True)]
+    sizes = np.concatenate([np.diff(d.starts), np.fromiter(map(len, more), np.int64, len(more))])
+    starts = np.concatenate([d.starts[:-1], d.starts[-1] + np.cumsum(sizes[n_known:]) - sizes[n_known:]])
+    table = np.concatenate([d.ids, *(np.asarray(m, np.int32) for m in more)])
+    out = []
+    for mine in codes:
+        n = sizes[mine]
+        out.append(table[np.repeat(starts[mine] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))])
+    return out
+
+
+def row_key() -> Column:
+    """A row's key, by which its gaps come back to it; repeated rows are told apart by their partition, so no key gathers them."""
+    return F.xxhash64(F.spark_partition_id(), "_id", "_th")
+
+
+def runs(batch: pa.RecordBatch):
+    """A batch in runs of at most ROWS rows and about PACKED bytes of parts."""
+    at = 0
+    while at < batch.num_rows:
+        n = min(ROWS, batch.num_rows - at)
+        while n > 1 and batch.slice(at, n).nbytes > PACKED:
+            n //= 2
+        yield batch.slice(at, n)
+        at += n
+
+
+def encoded(docs: DataFrame, model: str = MODEL, most: int = DICTIONARY, step=lambda ids, sha, vocabulary: (ids.tobytes(),), columns: str = "ids binary") -> DataFrame:
+    """_id and what `step` makes of each row's ids and its text's SHA-256; by itself the ids as little-endian 32-bit numbers."""
     vocabulary, spark = Vocabulary.load(model), docs.sparkSession
-    rows = keyed(docs).select("_id", "text")
-    units = checkpoint(counted(rows, vocabulary))
-    # The least count that at most `most` units reach; counts are few and small numbers, units are not gathered.
-    by_count = units.select(F.least("n", F.lit(1 << 20)).alias("n")).groupBy("n").count().collect()  # at most 2^20 rows
-    least, room = (1 << 20) + 1, most
-    for n, many in sorted(((r["n"], r["count"]) for r in by_count), reverse=True):
-        if room < many:
-            break
-        least, room = n, room - many
-    d = spark.sparkContext.broadcast(dictionary(units.where(F.col("n") >= least), vocabulary))
+    rows = keyed(docs).select("_id", "_th", "text")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
+    d = spark.sparkContext.broadcast(dictionary(rows, vocabulary, most))
 
-    def first(batch: pd.DataFrame) -> pd.DataFrame:
-        pack = zstandard.ZstdCompressor(level=1)
-        found = lists(batch["text"], [{}] * len(batch), vocabulary, d.value)
-        parts = [[pack.compress(t.encode("utf-8", "surrogatepass")), *(u.encode() for u in lacking)] for t, (_, lacking) in zip(batch["text"], found, strict=True)]
-        return pd.DataFrame({"_id": batch["_id"], "parts": parts})
+    def first(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            for run in runs(batch):
+                parts = [packed(i, t, vocabulary, d.value.numbers, pack) for i, t in zip(run["_id"].to_pylist(), run["text"].to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([run["_key"], pa.array(parts, pa.list_(pa.binary()))], ["_key", "parts"])
 
     names = [c.split()[0] for c in columns.split(", ")]
 
-    def last(batch: pd.DataFrame) -> pd.DataFrame:
-        open_ = zstandard.ZstdDecompressor()
-        texts = [open_.decompress(p[0]).decode("utf-8", "surrogatepass") for p in batch["parts"]]
-        extra = [{x["unit"]: x["ids"] for x in e} if e is not None else {} for e in batch["extra"]]
-        rows = [(key, *step(text, ids, vocabulary)) for key, text, (ids, _) in zip(batch["_id"], texts, lists(texts, extra, vocabulary, d.value), strict=True)]
-        return pd.DataFrame(rows, columns=["_id", *names])
-
-    # The text and the units that the dictionary lacks are one column, so that both readers below share one exchange and
-    # the texts are cut once. Rows of one _id share their units.
-    begun = per_batch(rows, first, "_id long, parts array<binary>").repartition("_id")
-    rare = units.where(F.col("n") < least)
-    wanted = begun.select("_id", F.explode(F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0)))).alias("_u")).select("_id", F.col("_u").cast("string").alias("unit")).distinct()
-    found = wanted.join(encoded_units(dealt(rare.select("unit")), vocabulary), "unit").groupBy("_id").agg(F.collect_list(F.struct("unit", "ids")).alias("extra"))
-    return per_batch(begun.join(found, "_id", "left"), last, f"_id long, {columns}").select("_id", *names)
+    def last(batches):
+        for batch in batches:
+            for run in runs(batch):
+                parts = run["parts"].to_pylist()
+                found = [list(zip(k, i, strict=True)) if k is not None else () for k, i in zip(run["k"].to_pylist(), run["found"].to_pylist(), strict=True)]
+                made = [(int.from_bytes(p[0][:8], "little", signed=True), *step(ids, p[0][8:40], vocabulary)) for p, ids in zip(parts, filled(parts, found, vocabulary, d.value), strict=True)]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*made, strict=True))), ["_id", *names])
+
+    keys = rows.withColumn("_key", row_key()).select("_key", "_id", "text")
+    # One column has all parts, the key is declared as never missing, and gaps are exploded with their empties, so that both
+    # readers read the same exchange: otherwise columns and filters would be pushed below it for one of them, and the texts
+    # cut twice.
+    begun = keys.mapInArrow(first, "_key long NOT NULL, parts array<binary>").repartition(tasks, "_key")
+    gaps = begun.select("_key", F.posexplode_outer(F.slice("parts", 3, F.greatest(F.size("parts") - 2, F.lit(0)))).alias("k", "_u"))
+    gaps = gaps.select("_key", "k", F.col("_u").cast("string").alias("unit")).where("length(unit) > 0")
+    units = gaps.select("unit").repartition(tasks, "unit").distinct()
+    answers = gaps.join(encoded_units(units, vocabulary), "unit").select("_key", F.struct("k", "ids").alias("_a"))
+    answers = answers.repartition(tasks, "_key").groupBy("_key").agg(F.collect_set("_a").alias("_a")).select("_key", F.col("_a.k").alias("k"), F.col("_a.ids").alias("found"))
+    return begun.join(answers, "_key", "left").select("parts", "k", "found").mapInArrow(last, f"_id long, {columns}").select("_id", *names)
 
 
 def piece_report(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """One row a document: doc_id, n_pieces, ids_sha256 (of the ids in decimal, comma-joined), decoded_sha256, exact (decoding gives the text)."""
 
-    def step(text: str, ids: np.ndarray, vocabulary: Vocabulary) -> tuple:
-        written, decoded = ",".join(map(str, ids.tolist())), vocabulary.decode(ids.tolist())
-        return len(ids), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest(), decoded == text
+    def step(ids: np.ndarray, sha: bytes, vocabulary: Vocabulary) -> tuple:
+        ids = ids.tolist()
+        decoded = hashlib.sha256(vocabulary.decode(ids).encode("utf-8", "surrogatepass"))
+        return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), decoded.hexdigest(), decoded.digest() == sha
 
     out = encoded(docs, model, step=step, columns="n_pieces long, ids_sha256 string, decoded_sha256 string, exact boolean")
     return out.select(real_id("_id"), "n_pieces", "ids_sha256", "decoded_sha256", "exact")
@@ -401,5 +448,5 @@ def piece_report(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 def tokenised(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """One row a document: doc_id, n_pieces, ids, text (decoded from the ids)."""
-    out = encoded(docs, model, step=lambda text, ids, vocabulary: (len(ids), ids.tolist(), vocabulary.decode(ids.tolist())), columns="n_pieces long, ids array<int>, text string")
+    out = encoded(docs, model, step=lambda ids, sha, vocabulary: (len(ids), ids, vocabulary.decode(ids.tolist())), columns="n_pieces long, ids array<int>, text string")
     return out.select(real_id("_id"), "n_pieces", "ids", "text")

@@ -249,10 +249,45 @@ def test_unigram_vocabularies_take_the_viterbi_path(spark, tmp_path):
             assert score(got[d]) == pytest.approx(score(own.encode(t)))
 
 
+def test_merges_that_make_a_passed_edge_fit(spark, tmp_path):
+    """Better pieces whose parts are worse: the sweep alone would leave them apart."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    with open(pieces.MODEL, "rb") as f:
+        model.ParseFromString(f.read())
+    longest = sorted((p for p in model.pieces if p.type == 1), key=lambda p: len(p.piece))
+    for p, score in zip(longest, sorted((p.score for p in longest)), strict=True):
+        p.score = score  # the longer, the better
+    path = str(tmp_path / "late.model")
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
+    vocabulary = pieces.Vocabulary.load(path)
+    words = [w for t in TEXTS if t for w in vocabulary.units(t) if len(w) <= pieces.LONG]
+    got = {r.unit: list(r.ids) for r in pieces.encoded_units(spark.createDataFrame([(w,) for w in dict.fromkeys(words)], "unit string"), vocabulary).collect()}
+    assert got == {w: vocabulary.encode_unit(w) for w in words}
+    texts = [t for t in TEXTS if t and len(t) < 60]
+    assert [own.encode(t) for t in texts] == [[i for u in vocabulary.units(t) for i in vocabulary.encode_unit(u)] for t in texts]
+    assert pieces.late_pieces(vocabulary.pieces)
+
+
+def test_rows_of_one_key_do_not_mix(spark, monkeypatch):
+    """Every row with one key, as if all hashes met: gaps with two answers are encoded in place."""
+    monkeypatch.setattr(pieces, "row_key", lambda: F.lit(1).cast("long"))
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    got = {r._id: np.frombuffer(r.ids, np.int32).tolist() for r in pieces.encoded(df, most=3).collect()}
+    vocabulary = pieces.Vocabulary.load()
+    assert got == {d: [i for u in vocabulary.units(t or "") for i in vocabulary.encode_unit(u)] for d, t in enumerate(TEXTS)}
+
+
 def test_piece_report_of_odd_rows(spark, reference):
     df = clashing(odd(spark))
     rows = pieces.piece_report(df).collect()
     assert len(rows) == df.count() and all(r.exact for r in rows)
     assert pieces.piece_report(empty(spark)).count() == 0
+    assert pieces.tokenised(df).count() == df.count() and pieces.tokenised(empty(spark)).count() == 0
+    assert [(r.n_pieces, list(r.ids), r.text) for r in pieces.tokenised(df.where("text IS NULL")).collect()] == [(0, [], "")] * 2
     out = pieces.tokenised(df.where("doc_id = 1")).first()
     assert out.ids == reference.encode(out.text) and out.n_pieces == len(out.ids)
