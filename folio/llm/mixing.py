@@ -38,8 +38,11 @@ BLOCK_WORDS = 4096
 SHARD_WORDS = 1 << 20
 #: The vector of source quotas is held by the driver and each task; more sources than this are refused.
 MAX_SOURCES = 100_000
-#: Documents in one group of the running sums.
+#: Documents in one group of the running sums, and groups whose sums are taken at once.
 GROUP_DOCS = 512
+GROUPS = 4096
+#: numpy draws from this many at most.
+DRAWABLE = 10**9
 SEED = 20
 
 
@@ -104,7 +107,7 @@ def start_rank(n: int, step: int, turn: int, k: int) -> int:
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source and size of each row with a hash that orders rows within their source.
 
-    _th covers the row's other columns too, so only rows that are equal in all of them share a key.
+    _th covers all columns of the row, so only rows that are equal in all of them share a key.
     """
     text = text_of(docs)
     return docs.select(
@@ -117,7 +120,10 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def row_hash(docs: DataFrame) -> Column:
-    return F.xxhash64(*(docs[c].cast("string") for c in ("text", "source")))
+    """A hash of all columns; a missing value is told apart from one in the next column, and maps are hashed as JSON."""
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    held = [F.to_json(F.struct(c)) if "map<" in kind or kind == "variant" else c for c, (_, kind) in zip(columns, docs.dtypes, strict=True)]
+    return F.xxhash64(*held, *(c.isNull() for c in columns))
 
 
 def quotas(docs: DataFrame, block: int = BLOCK_WORDS) -> tuple[list[Quota], int]:
@@ -143,17 +149,22 @@ def placed(rows: DataFrame, given: list[Quota], n_rows: int) -> DataFrame:
         [(q.source, q.index, q.size, q.target, q.n, q.step, q.passes, q.full, q.rest) for q in given],
         "_name string, _s int, source_size long, target double, _n long, _step long, _passes int, _full long, _rest long",
     )
-    # One row a source: at most MAX_SOURCES of some 100 bytes.
+    # One row a source: at most MAX_SOURCES of some 100 bytes, as checked in quotas().
     rows = rows.join(F.broadcast(facts), rows["_source"].eqNullSafe(facts["_name"])).drop("_source", "_name")
     order = F.xxhash64(F.lit(SEED), "_id", "_th")
     rows = rows.withColumn("_o", order).withColumn("_g", F.floor(F.shiftrightunsigned("_o", 24) * n_groups / F.lit(float(1 << 40))))
-    sums = rows.groupBy("_s", "_g").agg(F.sum("size").alias("_words"))
-    before = Window.partitionBy("_s").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_s", "_g", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_base"))
+    # In two levels: GROUPS groups at a time, so that no window holds all groups of a source.
+    sums = rows.groupBy("_s", "_g").agg(F.sum("size").alias("_words")).withColumn("_h", F.floor(F.col("_g") / GROUPS))
+    tops = sums.groupBy("_s", "_h").agg(F.sum("_words").alias("_words"))
+    before = lambda *by: F.coalesce(F.sum("_words").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tops = tops.select("_s", "_h", before("_s", "_h").alias("_top"))
+    sums = sums.withColumn("_in", before("_s", "_h", "_g")).join(tops.hint("merge"), ["_s", "_h"])
+    sums = sums.select("_s", "_g", (F.col("_top") + F.col("_in")).alias("_base"))
     within = Window.partitionBy("_s", "_g").orderBy("_o", "_id", "_th")
     rows = rows.withColumn("_at", F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rows = rows.withColumn("_row", F.row_number().over(within))
-    return rows.join(sums, ["_s", "_g"]).withColumn("_at", F.col("_at") + F.col("_base")).drop("_base", "_o")
+    # Sums and draws grow with the input, so neither is broadcast.
+    return rows.join(sums.hint("merge"), ["_s", "_g"]).withColumn("_at", F.col("_at") + F.col("_base")).drop("_base", "_o")
 
 
 def drawn(rows: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
@@ -179,15 +190,40 @@ def drawn(rows: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     return rows.withColumn("_part", F.explode_outer(found)).select("*", "_part.*").drop("_part")
 
 
-def split(counts: np.ndarray, shards: int, shard: int, seed: int = SEED) -> np.ndarray:
-    """The leaf `shard` of the splitting tree over `shards` leaves of near equal size."""
-    total, low, high = int(counts.sum()), 0, shards
+def drawn_left(counts: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
+    """A multivariate-hypergeometric sample of `take` draws.
+
+    From DRAWABLE draws on (over 4 * 10^12 words) numpy refuses; there each source's share comes from the normal
+    distribution of the same mean and variance, rounded and held to what is possible, so the sums stay exact.
+    """
+    if counts.sum() < DRAWABLE:
+        return rng.multivariate_hypergeometric(counts, take, method="marginals")
+    out, rest = np.zeros_like(counts), int(counts.sum())
+    for i, n in enumerate(counts.tolist()):
+        mean = take * (n / rest) if rest else 0.0
+        spread = math.sqrt(max(0.0, mean * (1 - n / rest) * ((rest - take) / max(1, rest - 1)))) if rest else 0.0
+        out[i] = min(max(round(mean + spread * rng.standard_normal()), take - (rest - n), 0), n, take)
+        take, rest = take - int(out[i]), rest - n
+    return out
+
+
+def leaf(counts: np.ndarray, shards: int, shard: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """The leaf `shard` of the splitting tree over `shards` leaves of near equal size, and the sum of the leaves before it."""
+    total, low, high, before = int(counts.sum()), 0, shards, np.zeros_like(counts)
     while high - low > 1:
         mid = (low + high) // 2
         take = total * mid // shards - total * low // shards
-        left = np.random.default_rng([seed, low, high]).multivariate_hypergeometric(counts, take, method="marginals")
-        counts, low, high = (left, low, mid) if shard < mid else (counts - left, mid, high)
-    return counts
+        left = drawn_left(counts, take, np.random.default_rng([seed, low, high]))
+        if shard < mid:
+            counts, high = left, mid
+        else:
+            counts, before, low = counts - left, before + left, mid
+    return counts, before
+
+
+def split(counts: np.ndarray, shards: int, shard: int, seed: int = SEED) -> np.ndarray:
+    """The leaf alone."""
+    return leaf(counts, shards, shard, seed)[0]
 
 
 def shard_draws(spark, given: list[Quota], shards: int) -> DataFrame:
@@ -197,13 +233,12 @@ def shard_draws(spark, given: list[Quota], shards: int) -> DataFrame:
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard in batch["id"]:
-                got = split(counts, shards, int(shard))
+                got, before = leaf(counts, shards, int(shard))
                 some = np.flatnonzero(got)
-                yield pd.DataFrame({"shard": np.full(len(some), shard), "_s": some.astype(np.int32), "_many": got[some]})
+                yield pd.DataFrame({"shard": np.full(len(some), shard), "_s": some.astype(np.int32), "_from": before[some], "_to": before[some] + got[some] - 1})
 
-    quota_rows = spark.range(shards).mapInPandas(leaves, "shard long, _s int, _many long")
-    ends = F.sum("_many").over(Window.partitionBy("_s").orderBy("shard"))
-    return quota_rows.withColumn("_end", ends).select("_s", "shard", F.explode(F.sequence(F.col("_end") - F.col("_many"), F.col("_end") - 1)).alias("_t"))
+    ranges = spark.range(shards).mapInPandas(leaves, "shard long, _s int, _from long, _to long")
+    return ranges.select("_s", "shard", F.explode(F.sequence("_from", "_to")).alias("_t"))
 
 
 def mix_plan(docs: DataFrame, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -216,7 +251,7 @@ def mix_plan(docs: DataFrame, block: int = BLOCK_WORDS, shard_words: int = SHARD
     given, n_rows = quotas(rows, block)
     shards = max(1, math.ceil(sum(q.target for q in given) / shard_words))
     parts = drawn(placed(rows, given, n_rows), block)
-    parts = parts.join(shard_draws(docs.sparkSession, given, shards), ["_s", "_t"], "left")
+    parts = parts.join(shard_draws(docs.sparkSession, given, shards).hint("merge"), ["_s", "_t"], "left")
     return parts.select(
         "doc_id", "size", "source_size", "target", "shard", F.xxhash64(F.lit(SEED), "_s", "_t").alias("place"),
         F.col("_from").alias("word_from"), F.col("_to").alias("word_to"), "_s", "_g", "_row", "_id", "_th",
@@ -237,16 +272,16 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORD
     """The mixed documents: `docs`' own columns, one row for each pass that takes words of a document, in shard order.
 
     A document taken whole keeps its text; one that is taken in part has the words taken, in order, joined by spaces.
-    Rows that agree in doc_id, text and source stand for one another.
+    Rows that agree in all columns stand for one another.
     """
     columns = docs.columns
     plan = mix_plan(docs, block, shard_words).where("shard IS NOT NULL")
     parts = plan.groupBy("_s", "_g", "_row", "_id", "_th").agg(F.first("size").alias("_size"), F.sort_array(F.collect_list(F.struct("word_from", "word_to", "shard", "place"))).alias("_parts"))
     # A pass takes a word once, so the i-th part that starts at a word belongs to the i-th pass.
-    parts = parts.groupBy("_id", "_th").agg(F.collect_list(F.struct("_size", "_parts")).alias("_rows"))
     whole = docs.withColumns({"_id": F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), "_th": row_hash(docs)})
-    whole = whole.groupBy("_id", "_th").agg(*(F.first(F.struct(*(whole[f"`{c}`"] for c in columns))).alias("_doc"),))
-    out = whole.join(parts, ["_id", "_th"]).select("_doc", F.explode("_rows").alias("_r")).select("_doc", "_r.*")
+    # Rows of one key are equal in all columns, so any of them is the first.
+    whole = whole.groupBy("_id", "_th").agg(F.first(F.struct(*(whole[f"`{c}`"] for c in columns))).alias("_doc"))
+    out = parts.join(whole, ["_id", "_th"]).select("_doc", "_size", "_parts", "_id", "_th")
     words = F.regexp_extract_all(F.coalesce(F.col("_doc.text"), F.lit("")), F.lit(WORD), F.lit(0))
     full = F.filter("_parts", lambda p: p["word_from"] == 0)
     taken = F.aggregate("_parts", F.lit(0).cast("long"), lambda a, p: a + p["word_to"] - p["word_from"])
@@ -259,7 +294,9 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORD
     edges = F.array_sort(F.array_distinct(F.flatten(F.transform("_parts", lambda p: F.array(p["word_from"], p["word_to"])))))
     spans = F.transform(F.sequence(F.lit(1), F.greatest(F.size(edges) - 1, F.lit(1))), lambda i: F.struct(F.element_at(edges, i).alias("a"), F.element_at(edges, F.least(i + 1, F.size(edges))).alias("b")))
     covered = F.filter(spans, lambda s: F.size(F.filter("_parts", lambda p: (p["word_from"] <= s["a"]) & (p["word_to"] >= s["b"]))) > F.col("_passes"))
-    text = F.array_join(F.flatten(F.transform(covered, lambda s: F.slice(words, (s["a"] + 1).cast("int"), (s["b"] - s["a"]).cast("int")))), " ")
+    # The text is cut into words once, not once a span.
+    cut = lambda w: F.flatten(F.transform(covered, lambda s: F.slice(w, (s["a"] + 1).cast("int"), (s["b"] - s["a"]).cast("int"))))
+    text = F.array_join(F.get(F.transform(F.array(words), cut), 0), " ")
     out = out.withColumn("_text", F.when(F.col("_copy") <= F.col("_passes"), F.col("_doc.text")).otherwise(text))
     kind = docs.schema["text"].dataType
     place = F.element_at("_parts", 1)
