@@ -6,9 +6,10 @@ order 0, a linear predictor of order ORDER fitted to the frame, or plain samples
 headers, the CRC-16 of frames and the MD5, decodes Rice residuals (any partition order, both parameter sizes, escapes)
 and constant, plain, fixed and linear subframes.
 
-Work is vectorised over frames: the n-th residual of all frames of a batch is read in one step, so Python runs BLOCK steps a
-batch and not one a sample. Texts of a batch are worked off in pieces of CHUNK bytes, which bounds memory; a single longer
-text is a piece of its own, at some 60 times its size.
+Work is vectorised over frames: the n-th residual of FRAMES frames is read in one step, so Python runs BLOCK steps for
+them and not one a sample. Texts are worked off in pieces of CHUNK bytes, and frames FRAMES at a time, so that a long
+text needs no more than its own size, its stream's and some 60 times CHUNK. The format's seek table holds 932,067 points,
+so a text may have 954 MB; a row of twice that is beyond what Spark and Arrow pass on.
 
 Cases: a missing or empty text is 64 zero bytes; repeated rows give equal values; a missing doc_id stays missing; an empty
 table gives an empty result; other columns are ignored.
@@ -34,7 +35,9 @@ RATE = 8000
 ORDER = 4
 PRECISION = 12
 CHUNK = 1 << 22
+FRAMES = CHUNK // BLOCK
 HEAD = 4 + 4 + 34 + 4  # marker, STREAMINFO with its header, the seek table's header
+NUMBERED = (0x80, 0x800, 0x10000, 0x200000, 0x4000000)  # fixed values: from here on a frame's number takes a byte more
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))  # fixed values: the format's predictors
 
 
@@ -131,9 +134,11 @@ def frames(x: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> tuple[np.nd
     warm = np.where(lin, ORDER, 0)
     # Header fields of 8 bits, then the subframe's, then the samples', then padding and the checksum.
     lead = [np.full(n, 0xFF), np.full(n, 0xF8), np.full(n, 0x70), np.full(n, 0x02)]
-    long, longer = numbers >= 0x80, numbers >= 0x800
-    lead += [np.where(longer, 0xE0 | (numbers >> 12), np.where(long, 0xC0 | (numbers >> 6), numbers)), 0x80 | ((numbers >> 6) & 0x3F), 0x80 | (numbers & 0x3F), (sizes - 1) >> 8, (sizes - 1) & 0xFF]
-    lead_on = np.stack([np.ones(n, bool)] * 5 + [longer, long] + [np.ones(n, bool)] * 2, 1)
+    # The number's bytes as in UTF-8, up to six: so many lie after the first.
+    after = sum((numbers >= least).astype(np.int64) for least in NUMBERED)
+    first_byte = np.where(after == 0, numbers, (0xFF80 >> after) & 0xFF | numbers >> 6 * after)
+    lead += [first_byte, *(0x80 | (numbers >> 6 * j) & 0x3F for j in range(4, -1, -1)), (sizes - 1) >> 8, (sizes - 1) & 0xFF]
+    lead_on = np.stack([np.ones(n, bool)] * 5 + [after > j for j in range(4, -1, -1)] + [np.ones(n, bool)] * 2, 1)
     lead = np.stack(lead, 1)
     head = lead[lead_on].astype(np.uint8)
     head_sizes = lead_on.sum(1)
@@ -160,16 +165,20 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     """A FLAC stream of each payload (one byte or more); a byte b is the sample b - 128."""
     sizes = np.array([len(p) for p in payloads], np.int64)
     many = -(-sizes // BLOCK)
-    if int(many.max(initial=0)) > 0xFFFF:
-        raise ValueError("a payload has more frames than the writer numbers")
     owner = np.repeat(np.arange(len(sizes)), many)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
     counts = np.minimum(BLOCK, sizes[owner] - number * BLOCK)
-    x = np.zeros((len(owner), BLOCK), np.int32)
-    x[np.arange(BLOCK)[None] < counts[:, None]] = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int32) - 128
-    data, lengths = frames(x, counts, number)
+    joined, stops, written, lengths = np.frombuffer(b"".join(payloads), np.uint8), np.cumsum(counts), [], []
+    for at in range(0, len(owner), FRAMES):
+        n = counts[at : at + FRAMES]
+        x = np.zeros((len(n), BLOCK), np.int32)
+        x[np.arange(BLOCK)[None] < n[:, None]] = joined[stops[at] - n[0] : stops[at + len(n) - 1]].astype(np.int32) - 128
+        data, length = frames(x, n, number[at : at + FRAMES])
+        written.append(data.tobytes())
+        lengths.append(length)
+    lengths = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
-    raw, out, at = data.tobytes(), [], 0
+    raw, out, at = b"".join(written), [], 0
     for i, p in enumerate(payloads):
         own = slice(at, at + int(many[i]))
         begin, stop = int(ends[at] - lengths[at]), int(ends[own.stop - 1])
@@ -335,9 +344,12 @@ def decode(streams: list[bytes]) -> list[bytes]:
     starts = [b + at + points["offset"].astype(np.int64) for b, (_, _, points, at) in zip(base, heads, strict=False)]
     ends = [np.append(s[1:], base[i + 1]) for i, s in enumerate(starts)]
     flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    rows, size = decoded_frames(np.frombuffer(b"".join(streams), np.uint8), flat(starts), flat(ends))
-    raw = (rows[np.arange(rows.shape[1])[None] < size[:, None]] + 128).astype(np.uint8)
-    out, at = [], 0
+    data, starts, ends, raw = np.frombuffer(b"".join(streams), np.uint8), flat(starts), flat(ends), []
+    for at in range(0, len(starts), FRAMES):
+        low, begin, stop = starts[at], starts[at : at + FRAMES], ends[at : at + FRAMES]
+        rows, size = decoded_frames(data[low : stop[-1]], begin - low, stop - low)
+        raw.append((rows[np.arange(rows.shape[1])[None] < size[:, None]] + 128).astype(np.uint8))
+    raw, out, at = np.concatenate(raw) if raw else np.zeros(0, np.uint8), [], 0
     for total, md5, _, _ in heads:
         own = raw[at : at + total]
         if hashlib.md5((own ^ 0x80).tobytes()).digest() != md5:
@@ -394,6 +406,12 @@ def media(docs: DataFrame) -> DataFrame:
     return each_batch(keyed(docs).select("_id", "text"), step, "_id long, n_bytes long, media binary")
 
 
+def blocks(raw: bytes) -> Iterator[tuple[int, bytes]]:
+    """The PCM blocks of decoded bytes: the first sample's offset and up to BLOCK signed 8-bit samples."""
+    pcm = (np.frombuffer(raw, np.uint8) ^ 0x80).tobytes()
+    return ((at, pcm[at : at + BLOCK]) for at in range(0, len(pcm), BLOCK))
+
+
 def pcm_blocks(stored: DataFrame) -> DataFrame:
     """The PCM blocks of `media`'s rows: _id, block, first_sample, pcm (signed 8-bit samples)."""
 
@@ -401,8 +419,7 @@ def pcm_blocks(stored: DataFrame) -> DataFrame:
         rows, items = [], list(batch["media"])
         raw = [p for part in pieces(items) for p in decode(items[part])]
         for key, p in zip(batch["_id"], raw, strict=True):
-            pcm = (np.frombuffer(p, np.uint8) ^ 0x80).tobytes()
-            rows += [(key, k, at, pcm[at : at + BLOCK]) for k, at in enumerate(range(0, len(pcm), BLOCK))]
+            rows += [(key, k, at, pcm) for k, (at, pcm) in enumerate(blocks(p))]
         return pd.DataFrame(rows, columns=["_id", "block", "first_sample", "pcm"])
 
     return each_batch(stored.select("_id", "media"), step, "_id long, block long, first_sample long, pcm binary")
@@ -416,15 +433,21 @@ def feature(raw: bytes) -> str:
 
 
 def media_report(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    """One row a document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature,
+    pcm_blocks and pcm_sha256 (of the PCM blocks, each after its first sample's offset in eight bytes).
+    """
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_blocks", "pcm_sha256"]
 
     def step(batch: pd.DataFrame) -> pd.DataFrame:
         items, rows = list(batch["media"]), []
         raw = [p for part in pieces(items) for p in decode(items[part])]
         for p, m in zip(raw, items, strict=True):
-            rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature(p)))
+            n, pcm = 0, hashlib.sha256()
+            for at, samples in blocks(p):
+                n += 1
+                pcm.update(at.to_bytes(8, "big") + samples)
+            rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature(p), n, pcm.hexdigest()))
         return pd.DataFrame(rows, columns=names[1:]).assign(_id=batch["_id"].to_numpy(), n_bytes=batch["n_bytes"].to_numpy())[["_id", *names]]
 
-    kinds = "_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    kinds = "_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_blocks long, pcm_sha256 string"
     return each_batch(media(docs), step, kinds).select(real_id("_id"), *names)
