@@ -8,12 +8,14 @@ distance so far, scaled to all dimensions, with the best k-th distance known, an
 farther. The survivors are scored exactly, as the cosine of the original vectors in double precision.
 
 Equal vectors are one candidate with the KEEP least vec_ids, which is enough for any K neighbours and keeps no large group.
-Lists are cut in chunks of CHUNK vectors and queries in groups of QUERIES, so a task's work is bounded.
+Lists are cut in chunks of CHUNK vectors, and a list that more than QUERIES queries probe is scanned by QUERIES of them at a
+time, so a task's work is bounded and only crowded lists are copied.
 
 Cases: a vector that is missing, empty, zero or that holds a missing or non-finite number takes no part, nor does one
-without vec_id or one whose size isn't the commonest (of equal counts the least); rows that agree in vec_id and vector are
-one row; an empty table gives an empty result; with fewer than K candidates all found are returned; other columns are
-ignored.
+without vec_id; vectors are compared with those of their size (another has no cosine with them): the commonest size (of
+equal counts the least) has the centroids, any other size is one list, scanned whole; rows that agree in vec_id and
+vector are one row; an empty table gives an empty result; with fewer than K candidates all found are returned; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ KEEP = K + 1
 SAMPLE = 20_000
 TARGET = 0.97
 LIST = 512
-MAX_LISTS = 1024
+#: Sample vectors that a centroid is learned from, at least: SAMPLE / LEARNED lists at most.
+LEARNED = 8
 CHUNK = 4096
 QUERIES = 4096
 BLOCK = 16
@@ -51,9 +54,7 @@ def usable(x: Column) -> Column:
 def vectors(rows: DataFrame) -> DataFrame:
     """(vec_id, x) of the rows that take part."""
     rows = rows.select(rows["vec_id"].cast("long").alias("vec_id"), rows["embedding"].cast("array<double>").alias("x"))
-    rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("x")))
-    size = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("x") == (size["n"] if size else 0))
+    return rows.where(F.col("vec_id").isNotNull() & usable(F.col("x")))
 
 
 def distinct(rows: DataFrame) -> DataFrame:
@@ -62,34 +63,43 @@ def distinct(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= KEEP).groupBy("x").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
 
 
+def rotation(size: int) -> np.ndarray:
+    return np.linalg.qr(np.random.default_rng(SEED).normal(size=(size, size)))[0]
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 @dataclass
 class Index:
-    rotation: np.ndarray
+    size: int
     centroids: np.ndarray
     probes: int
 
-    def turned(self, x: np.ndarray) -> np.ndarray:
-        return unit(x) @ self.rotation
-
     def nearest(self, x: np.ndarray) -> np.ndarray:
-        """The lists of each vector, nearest first."""
-        return np.argsort(-(self.turned(x) @ self.centroids.T), axis=1, kind="stable")
+        """The lists of each vector of the index's size, nearest first."""
+        return np.argsort(-(unit(x) @ rotation(self.size) @ self.centroids.T), axis=1, kind="stable")
 
-
-def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    def lists(self, vectors: pd.Series, many: int) -> list[np.ndarray]:
+        """The `many` nearest lists of each vector; a vector of another size n has the list -n."""
+        out = [np.array([-len(v)]) for v in vectors]
+        own = [i for i, v in enumerate(vectors) if len(v) == self.size]
+        if own:
+            for i, near in zip(own, self.nearest(np.array([vectors.iloc[i] for i in own], float))[:, :many], strict=True):
+                out[i] = near
+        return out
 
 
 def fit(each: DataFrame) -> Index:
-    """Rotation, centroids and the number of probes, from the sample."""
-    many = each.count()
-    got = least_hashed(each.select("x"), SAMPLE, SEED, "x").orderBy("x").collect()  # SAMPLE vectors, as they are distinct
-    x = np.array([r["x"] for r in got], float)
+    """The commonest size, its centroids and the number of probes, from the sample."""
+    size, many = each.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    mine = each.where(F.size("x") == size).select("x")
+    got = least_hashed(mine, SAMPLE, SEED, "x").orderBy("x").collect()  # SAMPLE vectors, as they are distinct
     rng = np.random.default_rng(SEED)
-    rotation = np.linalg.qr(rng.normal(size=(x.shape[1], x.shape[1])))[0]
-    x = unit(x) @ rotation
-    lists = int(np.clip(many // LIST, 1, min(MAX_LISTS, len(x))))
+    x = unit(np.array([r["x"] for r in got], float)) @ rotation(size)
+    lists = int(np.clip(many // LIST, 1, max(1, len(x) // LEARNED)))
     centroids = x[rng.permutation(len(x))[:lists]]
     for _ in range(ROUNDS):
         own = (x @ centroids.T).argmax(1)
@@ -104,7 +114,11 @@ def fit(each: DataFrame) -> Index:
     best = np.argpartition(-near, min(K, len(x) - 1), axis=1)[:, :K]
     place = np.argsort(np.argsort(-(x[asked] @ centroids.T), axis=1, kind="stable"), axis=1, kind="stable")
     needed = np.sort(np.take_along_axis(place, own[best], axis=1).ravel()) + 1
-    return Index(rotation, centroids, int(needed[min(len(needed) - 1, int(np.ceil(TARGET * len(needed))))]))
+    return Index(size, centroids, int(needed[min(len(needed) - 1, int(np.ceil(TARGET * len(needed))))]))
+
+
+def raw(vectors) -> list[bytes]:
+    return [np.asarray(v, float).tobytes() for v in vectors]
 
 
 def assigned(each: DataFrame, index: Index) -> DataFrame:
@@ -112,9 +126,8 @@ def assigned(each: DataFrame, index: Index) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            x = np.array(batch["x"].tolist(), float).reshape(len(batch), -1)
-            own = index.nearest(x)[:, 0] if len(x) else np.zeros(0, int)
-            yield pd.DataFrame({"list": own, "ids": batch["ids"], "x": [r.tobytes() for r in x]})
+            own = index.lists(batch["x"], 1)
+            yield pd.DataFrame({"list": [o[0] for o in own], "ids": batch["ids"], "x": raw(batch["x"])})
 
     return each.mapInPandas(run, "list int, ids array<long>, x binary")
 
@@ -124,10 +137,9 @@ def probing(asked: DataFrame, index: Index) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            x = np.array(batch["x"].tolist(), float).reshape(len(batch), -1)
-            own = index.nearest(x)[:, : index.probes] if len(x) else np.zeros((0, 1), int)
-            raw = np.array([r.tobytes() for r in x], object)
-            yield pd.DataFrame({"list": own.ravel(), "query_id": np.repeat(batch["vec_id"].to_numpy(), own.shape[1]), "x": np.repeat(raw, own.shape[1])})
+            own = index.lists(batch["x"], index.probes)
+            each = [len(o) for o in own]
+            yield pd.DataFrame({"list": np.concatenate(own) if own else [], "query_id": np.repeat(batch["vec_id"].to_numpy(), each), "x": np.repeat(np.array(raw(batch["x"]), object), each)})
 
     return asked.mapInPandas(run, "list int, query_id long, x binary")
 
@@ -152,21 +164,26 @@ def survivors(blocks: list[np.ndarray], query: np.ndarray, k: int) -> np.ndarray
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The cosine of each row of a with b, summed row by row, so that equal rows give equal results."""
-    b = np.broadcast_to(b, a.shape)
+    """The cosine of each row of a with b, summed row by row, so that equal rows give equal results.
+
+    Vectors whose squares leave the range of doubles are scaled by powers of two first, which changes no digit.
+    """
+    scaled = lambda x: np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+    a, b = scaled(a), np.broadcast_to(scaled(b), a.shape)
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
-def scan_list(rows: pd.DataFrame, asked: pd.DataFrame, index: Index) -> pd.DataFrame:
+def scan_list(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     """The K nearest of a list's chunk to each query."""
     out = []
     if len(rows) and len(asked):
         x = np.frombuffer(b"".join(rows["x"]), float).reshape(len(rows), -1)
-        turned = index.turned(x)
+        turn = rotation(x.shape[1])
+        turned = unit(x) @ turn
         blocks = [np.ascontiguousarray(turned[:, a : a + BLOCK]) for a in range(0, x.shape[1], BLOCK)]
         q = np.frombuffer(b"".join(asked["x"]), float).reshape(len(asked), -1)
         ids = list(rows["ids"])
-        for query_id, query, turned_query in zip(asked["query_id"], q, index.turned(q), strict=True):
+        for query_id, query, turned_query in zip(asked["query_id"], q, unit(q) @ turn, strict=True):
             # One more than K, as the nearest may be the query itself.
             near = survivors(blocks, turned_query, K + 1)
             scored = ((-s, int(v)) for i, s in zip(near, cosine(x[near], query), strict=True) for v in ids[i] if v != query_id)
@@ -185,14 +202,16 @@ def search(embeddings: DataFrame, every: int = EVERY) -> DataFrame:
     index = fit(each)
     listed = checkpoint(assigned(each, index))
     asked = rows.where(F.col("vec_id") % every == 0).distinct()
-    groups = max(1, -(-asked.count() // QUERIES))
-    # One row a list, at most MAX_LISTS.
+    probes = checkpoint(probing(asked, index))
+    # One row a list: SAMPLE / LEARNED and one for each further size. In chunks by vectors, in parts by queries.
     chunks = listed.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    own = listed.join(F.broadcast(chunks), "list").withColumn("chunk", F.pmod(F.xxhash64("x"), F.col("chunks")).cast("int"))
-    own = own.select("list", "chunk", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "ids", "x")
-    probes = probing(asked, index).join(F.broadcast(chunks), "list")
-    probes = probes.select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("part"), "query_id", "x")
+    parts = probes.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
+    cut = checkpoint(chunks.join(parts, "list"))
+    every_ = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    slot = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    own = listed.join(cut, "list").select("list", slot("x", F.col("chunks")).alias("chunk"), every_(F.col("parts")).alias("part"), "ids", "x")
+    probes = probes.join(cut, "list").select("list", every_(F.col("chunks")).alias("chunk"), slot("query_id", F.col("parts")).alias("part"), "query_id", "x")
     keys = ["list", "chunk", "part"]
-    found = own.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(lambda a, b: scan_list(a, b, index), "query_id long, vec_id long, score double")
+    found = own.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(scan_list, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= K).select("query_id", "rank", "vec_id", "score")
