@@ -6,7 +6,9 @@ indexed under its 32 one-wildcard variants (the half with one bit deleted, and w
 one bit share a variant, and an equality join of variants followed by a check of the distance finds all links.
 
 Only distinct fingerprints are joined. A variant that many fingerprints share is not paired off: its members are indexed
-further, by quarters of the other half with one bit deleted, so that only members near each other meet.
+further, by quarters of the other half with one bit deleted, so that only members near each other meet. Members of one
+such index entry agree in all but 18 bits; where it is still crowded, each member asks for the 987 fingerprints that
+differ from it in one to three of these bits, by an equality join. So no group is paired off beyond THRONG members.
 
 Cases: a missing or empty text has fingerprint zero and is linked like any other; repeated rows share a component; a
 missing doc_id counts last for component_id (a component of missing ids alone has a missing one); an empty table gives
@@ -15,6 +17,8 @@ an empty result; other columns are ignored by `simhash` and kept by `near_dedup`
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -28,6 +32,10 @@ SEED = 42
 DISTANCE = 3
 #: Variants with more members than this are indexed further before members are compared.
 CROWD = 32
+#: Members of an index entry that are paired off at most; beyond it, neighbours are asked for.
+THRONG = 1024
+#: Distinct fingerprints whose variants one task makes, about.
+TASK_ROWS = 20_000
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
 
@@ -102,20 +110,38 @@ def pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
     return met.where(distance(F.col("u"), F.col("v")) <= DISTANCE).select("u", "v").distinct()
 
 
+def asked(rows: DataFrame) -> DataFrame:
+    """Edges between members (key, sub, fp) of thronged entries: every fp joined with those that differ in 1 to DISTANCE of the entry's 18 free bits."""
+    one = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
+    j, s = F.shiftright("key", 32), F.shiftright("sub", 16)
+    # The bits left out of the half and of the other half's quarter, and the other quarter's.
+    base = F.when(j < 32, 32).otherwise(0)
+    free = F.array(one(j), one(base + s), *(one(base + F.when(s < 16, 16).otherwise(0) + i) for i in range(16)))
+    picks = [c for n in range(1, DISTANCE + 1) for c in combinations(range(18), n)]
+    masks = F.transform(F.array(*(F.array(*(F.lit(i) for i in c)) for c in picks)), lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(F.get("_free", i))))
+    wanted = rows.withColumn("_free", free).select("fp", F.explode(masks).alias("_m")).select(F.col("fp").alias("u"), F.col("fp").bitwiseXOR(F.col("_m")).alias("v")).where("u > v")
+    members = rows.select(F.col("fp").alias("v")).distinct()
+    return wanted.join(members, "v", "left_semi").select("u", "v").distinct()
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Edges (u, v) between distinct fingerprints that differ in at most DISTANCE bits."""
     index = variants(fps)
     counts = index.groupBy("key").count().where("count > 1")
     shared = checkpoint(index.join(counts, "key"))
     near = pairs(shared.where(F.col("count") <= CROWD).select("key", "fp"), ["key"])
-    far = pairs(finer(shared.where(F.col("count") > CROWD).select("key", "fp")), ["key", "sub"])
-    return near.unionByName(far).distinct()
+    fine = finer(shared.where(F.col("count") > CROWD).select("key", "fp"))
+    fine = checkpoint(fine.join(fine.groupBy("key", "sub").count().where("count > 1"), ["key", "sub"]))
+    far = pairs(fine.where(F.col("count") <= THRONG).select("key", "sub", "fp"), ["key", "sub"])
+    return near.unionByName(far).unionByName(asked(fine.where(F.col("count") > THRONG))).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """_id, _th, doc_id, fp and component (the least fingerprint linked) of every row."""
     rows = checkpoint(fingerprints(docs))
-    found = components(links(rows.select("fp").distinct()))
+    # Each gives 64 variants: a number of partitions by rows, which isn't coalesced by bytes.
+    tasks = max(1, -(-rows.count() // TASK_ROWS))
+    found = components(links(rows.select("fp").repartition(tasks, "fp").distinct()))
     return rows.join(found, rows["fp"] == found["node"], "left").select("doc_id", "_id", "_th", "fp", F.coalesce("root", "fp").alias("component"))
 
 
