@@ -34,7 +34,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import checkpoint, each_batch, keyed, mark, real_id
@@ -74,11 +74,11 @@ def anchors(g: np.ndarray) -> np.ndarray:
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(h, _id, n): each document's distinct anchors, n is how often the anchor's words stand there."""
+    """(h, _k, n): each document's distinct anchors, n is how often the anchor's words stand there."""
 
     def step(batch: pd.DataFrame) -> pd.DataFrame:
         hs, ids, ns = [], [], []
-        for key, text in zip(batch["_id"], batch["text"], strict=True):
+        for key, text in zip(batch["_k"], batch["text"], strict=True):
             words = split(text)
             if len(words) >= WINDOW:
                 g = grams(words)
@@ -88,18 +88,18 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                 ns.append(counts[np.searchsorted(all_, own)])
                 ids.append(np.full(len(own), key))
         flat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        return pd.DataFrame({"h": flat(hs, np.uint64).view(np.int64), "_id": flat(ids, np.int64), "n": flat(ns, np.int32)})
+        return pd.DataFrame({"h": flat(hs, np.uint64).view(np.int64), "_k": flat(ids, np.int64), "n": flat(ns, np.int32)})
 
-    return each_batch(docs.select("_id", "text"), step, "h long, _id long, n int")
+    return each_batch(docs.select("_k", "text"), step, "h long, _k long, n int")
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """(_id, hs, many): the anchors of each document that stand more than once in the corpus, and those of them that stand more than SHARD times."""
+    """(_k, hs, many): the anchors of each document that stand more than once in the corpus, and those of them that stand more than SHARD times."""
     # Dealt once, by anchor, for the count and the semi-join: a document has an anchor once, so no anchor has more rows
     # than there are documents.
     rows = anchor_rows(docs).repartition("h")
     many = rows.groupBy("h").agg(F.sum("n").alias("_n")).where("_n > 1").select("h", (F.col("_n") > SHARD).alias("_many"))
-    return rows.join(many, "h").groupBy("_id").agg(F.collect_list("h").alias("hs"), F.collect_list(F.when(F.col("_many"), F.col("h"))).alias("many"))
+    return rows.join(many, "h").groupBy("_k").agg(F.collect_set("h").alias("hs"), F.collect_set(F.when(F.col("_many"), F.col("h"))).alias("many"))
 
 
 def hot_anchors(docs: DataFrame, anchored: DataFrame) -> np.ndarray:
@@ -111,13 +111,18 @@ def hot_anchors(docs: DataFrame, anchored: DataFrame) -> np.ndarray:
     asked = np.array([r.h for r in anchored.select(F.explode("many").alias("h")).distinct().collect()], np.int64)
     if not len(asked):
         return asked
-    found = segments(docs.join(anchored.where(F.size("many") > 0).select("_id", F.col("many").alias("hs")), "_id"), False).select("h", "c").distinct()
+    found = segments(docs.join(anchored.where(F.size("many") > 0).select("_k", F.col("many").alias("hs")), "_k"), False).select("h", "c").distinct()
     return np.sort(np.array([r.h for r in found.groupBy("h").count().where(F.col("count") > SHARD).select("h").collect()], np.int64))
 
 
 PLACE = ["_id", "_th", "start"]
 
 
+def key() -> Column:
+    """A document's key: rows without doc_id have keys of their own, by their texts."""
+    return F.xxhash64("_id", "_th").alias("_k")
+
+
 def segments(docs: DataFrame, content: bool) -> DataFrame:
     """The segments of documents with their repeated anchors (hs): h, c (the content's hash), n, _id, _th, start.
 
@@ -265,20 +270,20 @@ def search(shard: pd.DataFrame) -> pd.DataFrame:
 
 
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents dealt by _id, and (_id, cuts): their repeated windows as structs (_th, at, many)."""
+    """The documents dealt by _k, and (_k, cuts): their repeated windows as structs (_th, at, many)."""
     anchored = checkpoint(repeated_anchors(docs))
     total = anchored.agg(F.sum(F.size("hs"))).first()[0] or 0
     shards = max(1, -(-total // SHARD))
-    # Dealt by _id once; the joins below and the last one read the same exchange.
-    dealt = docs.repartition("_id")
+    # Dealt by _k once; the joins below and the last one read the same exchange.
+    dealt = docs.repartition("_k")
     hot = hot_anchors(docs, anchored)
     if len(hot):
         listed = F.broadcast(docs.sparkSession.createDataFrame([(int(h),) for h in hot], "_hot long"))
-        held = anchored.where(F.size("many") > 0).select("_id", F.explode("many").alias("_hot")).join(listed, "_hot").groupBy("_id").agg(F.collect_list("_hot").alias("_hot"))
+        held = anchored.where(F.size("many") > 0).select("_k", F.explode("many").alias("_hot")).join(listed, "_hot").groupBy("_k").agg(F.collect_list("_hot").alias("_hot"))
         held = checkpoint(held)
-        holders = dealt.join(held.select("_id"), "_id")
-        anchored = anchored.join(held, "_id", "left").select("_id", F.when(F.col("_hot").isNull(), F.col("hs")).otherwise(F.array_except("hs", "_hot")).alias("hs"))
-    with_anchors = dealt.join(anchored.select("_id", "hs"), "_id")
+        holders = dealt.join(held.select("_k"), "_k")
+        anchored = anchored.join(held, "_k", "left").select("_k", F.when(F.col("_hot").isNull(), F.col("hs")).otherwise(F.array_except("hs", "_hot")).alias("hs"))
+    with_anchors = dealt.join(anchored.select("_k", "hs"), "_k")
     shard = F.pmod("h", F.lit(shards)).alias("shard")
     heads = segments(with_anchors, True).groupBy(shard).applyInPandas(lambda pdf: search(pdf), "h long, c long, _id long, _th long, start int, runs array<struct<at:int,many:int>>")
     place = F.struct(*PLACE)
@@ -290,8 +295,8 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = rows.unionByName(windows)
     later = rows.join(heads, ["h", "c"])
     runs = F.when(place == F.col("_first"), F.col("runs")).otherwise(F.array(F.struct(F.lit(0).alias("at"), F.col("n").alias("many"))))
-    cuts = later.select("_id", "_th", "start", F.explode(runs).alias("_r")).select("_id", F.struct("_th", (F.col("start") + F.col("_r.at")).alias("at"), F.col("_r.many").alias("many")).alias("_c"))
-    return dealt, cuts.groupBy("_id").agg(F.collect_list("_c").alias("cuts"))
+    cuts = later.select("_id", "_th", "start", F.explode(runs).alias("_r")).select(key(), F.struct("_th", (F.col("start") + F.col("_r.at")).alias("at"), F.col("_r.many").alias("many")).alias("_c"))
+    return dealt, cuts.groupBy("_k").agg(F.collect_set("_c").alias("cuts"))
 
 
 def kept(text: str | None, th: int, cuts) -> tuple[int, int, bytes]:
@@ -309,19 +314,19 @@ def kept(text: str | None, th: int, cuts) -> tuple[int, int, bytes]:
 
 def substring_report(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256 (of the words left, joined by one space)."""
-    dealt, cuts = repeated_windows(keyed(docs).select("_id", "_th", "text"))
+    dealt, cuts = repeated_windows(keyed(docs).select("_id", "_th", key(), "text"))
 
     def step(batch: pd.DataFrame) -> pd.DataFrame:
         rows = [(key, *kept(text, th, c)) for key, th, text, c in zip(batch["_id"], batch["_th"], batch["text"], batch["cuts"], strict=True)]
         return pd.DataFrame([(a, b, c, hashlib.sha256(d).hexdigest()) for a, b, c, d in rows], columns=["_id", "n_words", "n_removed", "kept_sha256"])
 
-    out = each_batch(dealt.join(cuts, "_id", "left").select("_id", "_th", "text", "cuts"), step, "_id long, n_words long, n_removed long, kept_sha256 string")
+    out = each_batch(dealt.join(cuts, "_k", "left").select("_id", "_th", "text", "cuts"), step, "_id long, n_words long, n_removed long, kept_sha256 string")
     return out.select(real_id("_id"), "n_words", "n_removed", "kept_sha256")
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """`docs` with the words of repeated windows cut from their texts; a text that loses nothing stays as it is."""
-    _, cuts = repeated_windows(keyed(docs).select("_id", "_th", "text"))
+    _, cuts = repeated_windows(keyed(docs).select("_id", "_th", key(), "text"))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, th: pd.Series, found: pd.Series) -> pd.Series:
@@ -329,7 +334,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
         return pd.Series([t if not n else rest.decode("utf-8", "surrogatepass") for t, (_, n, rest) in zip(text, left, strict=True)], dtype=object)
 
     kind = docs.schema["text"].dataType
-    rows = mark(docs).join(cuts, "_id", "left")
+    rows = mark(docs).withColumn("_k", key()).join(cuts, "_k", "left")
     rows = rows.withColumn("_text", F.when(F.col("cuts").isNull(), F.col("_row.text")).otherwise(cut(F.col("_row.text").cast("string"), "_th", "cuts").cast(kind)))
     return rows.select(*(F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
