@@ -5,8 +5,9 @@ layer over what its characters are (shares of byte classes, of class transitions
 weighs the passages, and the document's score is a logistic function of the weighted mean of their codes. All weights are
 learned together, from document labels alone.
 
-The training sample is bounded: TRAIN_DOCS labelled rows outside the held-out fold, those of least keyed hash, with
-TRAIN_PASSAGES passages of each at most (spread over the text). Scoring reads every passage of every document.
+The training sample is bounded: labelled rows outside the held-out fold in the order of a keyed hash, TRAIN_DOCS of them and
+TRAIN_PASSAGES passages together at most; each gives all its passages, and one that would go beyond the bound is left out
+as a whole. Scoring reads every passage of every document.
 
 Cases: a missing or empty text is one empty passage and gets a score; repeated rows get repeated results; a missing
 doc_id is not held out; without any usable label every score is 0.5; an empty table gives an empty result; other columns
@@ -26,7 +27,7 @@ from folio.llm.common import each_batch, text_of
 
 PASSAGE = 512
 TRAIN_DOCS = 4000
-TRAIN_PASSAGES = 48
+TRAIN_PASSAGES = 60_000
 FOLDS = 5
 CUT = 0.3
 HIDDEN, GATE = 24, 12
@@ -162,29 +163,34 @@ def fold(docs: DataFrame) -> Column:
     return F.crc32(docs["doc_id"].cast("string").cast("binary")) % FOLDS
 
 
-def sample(docs: DataFrame, labels: DataFrame, target: str) -> pd.DataFrame:
-    """The training sample: at most TRAIN_DOCS rows (label, text) of labelled documents outside the held-out fold."""
+def sample(docs: DataFrame, labels: DataFrame, target: str) -> DataFrame:
+    """The training sample, within its bounds: rows (_h, doc_id, label, text) of labelled documents outside the held-out fold."""
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[target].cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
     known = known.where(fold(known) != 0).groupBy("doc_id").agg(F.min("label").alias("label"))
     # Twice as many labels as wanted rows, as some may have no document; at most 2 * TRAIN_DOCS rows of 12 bytes.
     known = known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(2 * TRAIN_DOCS)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    found = texts.join(F.broadcast(known), "doc_id").withColumn("_h", F.xxhash64(F.lit(SEED), "doc_id"))
-    return found.select("_h", "doc_id", "label", "text")
+    found = texts.join(F.broadcast(known), "doc_id").withColumns({"_h": F.xxhash64(F.lit(SEED), "doc_id"), "_th": F.xxhash64("text")})
+    # Three numbers a row, for 2 * TRAIN_DOCS rows (and rows that repeat a doc_id, of which one is taken).
+    sizes = found.select("_h", "doc_id", "_th", F.greatest(F.ceil(F.octet_length("text") / PASSAGE), F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("_h", "doc_id").agg(F.min(F.struct("_th", "n")).alias("_s")).orderBy("_h", "doc_id").limit(2 * TRAIN_DOCS)
+    taken, room = [], TRAIN_PASSAGES
+    for r in sizes.collect():
+        if len(taken) < TRAIN_DOCS and r["_s"]["n"] <= room:
+            taken.append((r["doc_id"], r["_s"]["_th"]))
+            room -= r["_s"]["n"]
+    wanted = docs.sparkSession.createDataFrame(taken, "doc_id long, _th long")
+    return found.join(F.broadcast(wanted), ["doc_id", "_th"]).dropDuplicates(["doc_id", "_th"]).select("_h", "doc_id", "label", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Model | None:
     def step(batch: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for text, label, key, doc_id in zip(batch["text"], batch["label"], batch["_h"], batch["doc_id"], strict=True):
-            x, _ = features([text.encode("utf-8", "surrogatepass")])
-            x = x[np.unique(np.linspace(0, len(x) - 1, TRAIN_PASSAGES).astype(int))]
-            rows.append((key, doc_id, int(label), x.tobytes()))
-        return pd.DataFrame(rows, columns=["_h", "doc_id", "label", "x"])
+        x = [features([text.encode("utf-8", "surrogatepass")])[0].tobytes() for text in batch["text"]]
+        return batch[["_h", "doc_id", "label"]].assign(x=x)
 
     bags = each_batch(sample(docs, labels, target), step, "_h long, doc_id long, label int, x binary")
-    # The bound: TRAIN_DOCS rows of TRAIN_PASSAGES * N_FEATURES floats at most.
-    got = bags.orderBy("_h", "doc_id", "x").limit(TRAIN_DOCS).collect()
+    # The bound: TRAIN_PASSAGES times N_FEATURES floats.
+    got = sorted(bags.collect(), key=lambda r: (r["_h"], r["doc_id"]))
     if not got:
         return None
     x = [np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES) for r in got]
