@@ -78,6 +78,17 @@ def test_flac_round_trip():
         assert flac.sample_range(streams[-2], first, count) == long[first : first + count]
 
 
+def test_flac_of_long_payloads_and_frame_numbers():
+    raw = [np.random.default_rng(1).integers(97, 101, 5 * flac.CHUNK // 2, dtype=np.uint8).tobytes(), b"x" * 64]
+    assert flac.decode(flac.encode(raw)) == raw
+    x, size = np.zeros((1, flac.BLOCK), np.int32) + 5, np.array([flac.BLOCK])
+    for number, lead in ((127, 1), (128, 2), (2047, 2), (2048, 3), (65535, 3), (65536, 4), (0x1FFFFF, 4), (0x200000, 5), (0x3FFFFFF, 5), (0x4000000, 6)):
+        data, length = flac.frames(x, size, np.array([number]))
+        coded = bytes(data[4 : 4 + lead])
+        assert (coded.decode("utf-8") == chr(number)) if number < 0x110000 and not 0xD800 <= number < 0xE000 else (int.from_bytes(coded[-1:], "big") & 63) == number & 63
+        assert (flac.decoded_frames(data, np.array([0]), length)[0] == 5).all()
+
+
 @pytest.mark.parametrize("place", [-1, -40, 120, 60])
 def test_flac_damage_is_found(place):
     stream = bytearray(flac.encode([("some text " * 100).encode()])[0])
@@ -158,6 +169,14 @@ def test_neighbours_of_odd_vectors(spark):
     assert [(r.query_id, r["rank"], r.vec_id) for r in few] == [(0, 1, 1)]
 
 
+def test_neighbours_of_several_sizes_and_tiny_components(spark):
+    tiny = [1e-300, 2e-300, 0.0]
+    rows = [(0, tiny), (1, [1.0, 2.0, 0.0]), (2, [0.0, 0.0, 1e300]), (50, [1.0, 1.0]), (51, [1.0, 0.9]), (52, [-1.0, 0.0])]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert [(q, k, v) for q, k, v, _ in got] == [(0, 1, 1), (0, 2, 2), (50, 1, 51), (50, 2, 52)]
+    assert got[0][3] == pytest.approx(1) and got[1][3] == 0
+
+
 # Mixing
 
 
@@ -191,6 +210,20 @@ def test_split_tree_sums_to_the_quotas():
     assert sum(leaves).tolist() == counts.tolist() and max(x.sum() for x in leaves) - min(x.sum() for x in leaves) <= 1
 
 
+def test_large_splits_and_leaves_before():
+    counts = np.array([7 * 10**9, 0, 3 * 10**9 + 1, 5])
+    leaves = [mixing.leaf(counts, 5, i) for i in range(5)]
+    assert sum(x for x, _ in leaves).tolist() == counts.tolist() and all((x >= 0).all() for x, _ in leaves)
+    assert [b.tolist() for _, b in leaves] == [sum((x for x, _ in leaves[:i]), np.zeros(4, np.int64)).tolist() for i in range(5)]
+    assert all(abs(x[0] - counts[0] / 5) < 10**6 for x, _ in leaves)
+
+
+def test_mix_keeps_rows_that_differ_in_another_column(spark):
+    rows = [(1, "some words of one text", lang, "a", None) for lang in ("en", "fr", None)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, m map<string,int>"))
+    assert {r.lang for r in out.collect()} == {"en", "fr", None}
+
+
 def test_mix_of_odd_rows(spark):
     df = clashing(odd(spark))
     rows = mixing.mix_report(df.drop("size")).collect()

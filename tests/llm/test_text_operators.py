@@ -1,6 +1,7 @@
 """Line dedup, SimHash, substrings, licences, secrets against plain versions."""
 
 import hashlib
+import itertools
 import re
 
 import pytest
@@ -258,3 +259,12 @@ def test_secrets(spark):
 @pytest.mark.parametrize(("report", "sql"), [(substrings.substring_report, substrings.REPORT_SQL), (lines.line_report, lines.REPORT_SQL)])
 def test_reports_agree_with_sql(spark, report, sql):
     agree(report(spark.read.parquet(f"{SF}/documents.parquet")), sql, SF)
+
+
+def test_thronged_entries_give_the_links_of_all_pairs(spark, monkeypatch):
+    """Fingerprints that agree in all but a few bits, with the bound on pairs so low that neighbours are asked for."""
+    monkeypatch.setattr(simhash, "CROWD", 4)
+    monkeypatch.setattr(simhash, "THRONG", 6)
+    fps = [(0x0F0F << 40) ^ sum(1 << b for b in bits) for n in range(5) for bits in itertools.combinations((0, 3, 17, 33, 48, 62), n)]
+    found = {(r.u, r.v) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
+    assert found == {(max(a, b), min(a, b)) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= 3}
