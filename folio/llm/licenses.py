@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import text_of
+from folio.llm.native import placed
 
 #: The base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -160,14 +161,13 @@ def detections(words: Column, found: tuple[Rule, ...]) -> Column:
         between = F.transform(F.split(words, rule["pattern"]), F.length)
         lengths = F.transform(F.regexp_extract_all(words, rule["pattern"], F.lit(0)), F.length)
         gaps = F.arrays_zip(between.alias("gap"), F.concat(lengths, F.array(F.lit(0))).alias("size"))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,till:int,rank:int,no:int,label:string>>").alias("all"))
+        all_ = F.filter(placed(gaps, lambda x: x["gap"] + x["size"], "struct<gap:int,size:int>"), lambda p: p["x"]["size"] > 0)
 
-        def add(state: Column, x: Column) -> Column:
-            at, size = state["at"] + x["gap"], x["size"]
-            one = F.struct(at.alias("start"), (-(at + size)).alias("till"), (-rule["priority"]).alias("rank"), rule["no"].alias("no"), rule["label"].alias("label"))
-            return F.struct((at + size).alias("at"), F.when(size > 0, F.concat(state["all"], F.array(one))).otherwise(state["all"]).alias("all"))
+        def one(p: Column) -> Column:
+            at, end = p["at"] + p["x"]["gap"], p["at"] + p["x"]["gap"] + p["x"]["size"]
+            return F.struct(at.alias("start"), (-end).alias("till"), (-rule["priority"]).alias("rank"), rule["no"].alias("no"), rule["label"].alias("label"))
 
-        return F.aggregate(gaps, start, add, lambda s: s["all"])
+        return F.transform(all_, one)
 
     fitting = F.filter(rule_array(found), lambda r: F.contains(words, r["keyword"]))
     return F.array_sort(F.flatten(F.transform(fitting, of)))
