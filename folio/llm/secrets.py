@@ -1,10 +1,10 @@
 """Secret scans by character Markov models, in built-in functions only.
 
 Base kinds are three fixed patterns. The method adds spans of kind `markov`: tokens whose characters look drawn at random
-rather than written. Two first-order Markov models over character classes are trained from labelled samples: random
+rather than written. Two first-order Markov models over 68 characters are trained from labelled samples: random
 strings (values that the base patterns mark, and digests in several alphabets) and ordinary identifiers (tokens of the
-texts that no base pattern marks). A token is a span if the log-likelihood ratio of the two models per transition is
-at least THRESHOLD.
+texts that no base pattern marks). A token of 20 characters or more that holds a digit is a span if the log-likelihood
+ratio of the two models per transition is at least THRESHOLD; words without a digit are never drawn at random.
 
 The sample is the SAMPLE_DOCS documents of least keyed hash: a bounded sample of labelled rows. The models are two tables
 over the fixed alphabet (some 4,000 pairs), so their size doesn't follow the input. Scoring happens within a row; nothing
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import least_hashed, text_of
+from folio.llm.native import placed
 
 #: The base kinds in order, their patterns and the least length of what they mark.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -52,17 +53,11 @@ def spans(text: Column, pattern: str, kind: int, keep) -> Column:
     """The leftmost non-overlapping matches that `keep` (a function of the match) accepts, as structs (start, kind, stop)."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern), F.length)
+    # The last gap is followed by no match.
     steps = F.arrays_zip(gaps.alias("gap"), found.alias("match"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("all"))
-
-    def add(state: Column, x: Column) -> Column:
-        at = state["at"] + x["gap"]
-        stop = at + F.coalesce(F.length(x["match"]), F.lit(0))
-        one = F.array(F.struct(at.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop")))
-        kept = x["match"].isNotNull() & keep(x["match"])
-        return F.struct(stop.alias("at"), F.when(kept, F.concat(state["all"], one)).otherwise(state["all"]).alias("all"))
-
-    return F.aggregate(steps, start, add, lambda s: s["all"])
+    size = lambda x: x["gap"] + F.coalesce(F.length(x["match"]), F.lit(0))
+    kept = F.filter(placed(steps, size, "struct<gap:int,match:string>"), lambda p: p["x"]["match"].isNotNull() & keep(p["x"]["match"]))
+    return F.transform(kept, lambda p: F.struct((p["at"] + p["x"]["gap"]).alias("start"), F.lit(kind).alias("kind"), (p["at"] + size(p["x"])).alias("stop")))
 
 
 def base_spans(text: Column) -> list[Column]:
