@@ -268,3 +268,23 @@ def test_thronged_entries_give_the_links_of_all_pairs(spark, monkeypatch):
     fps = [(0x0F0F << 40) ^ sum(1 << b for b in bits) for n in range(5) for bits in itertools.combinations((0, 3, 17, 33, 48, 62), n)]
     found = {(r.u, r.v) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
     assert found == {(max(a, b), min(a, b)) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= 3}
+
+
+def test_places_in_long_arrays(spark):
+    """More matches than a run of the running sums holds: every place is right."""
+    from pyspark.sql import functions as F
+
+    from folio.llm import native
+
+    n = 3 * native.RUN + 7
+    text = "".join(f"token = secret{i:07d} AKIA{'A' * 16} {'0123456789abcdef' * 2} " for i in range(n))
+    df = spark.createDataFrame([(1, text), (2, "mit license " * n), (3, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.scan(df).collect()}
+    spans = [(m.start(), k, m.end()) for k, p in (("assign", r"token = [a-z0-9]+"), ("access", r"AKIA[A-Z0-9]+"), ("hex", r"(?<![0-9a-f])[0-9a-f]{24,}")) for m in re.finditer(p, text)]
+    written = ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(spans))
+    assert (got[1].n_assign, got[1].n_access, got[1].n_hex) == (n, n, n) and got[1].base_sha256 == hashlib.sha256(written.encode()).hexdigest()
+    found = licenses.detections(licenses.reduced(F.col("text")), licenses.rules())
+    starts = df.where("doc_id = 2").select(F.transform(F.filter(found, lambda d: d["label"] == "mit"), lambda d: d["start"]).alias("s")).first().s
+    assert set(starts) == set(range(1, 12 * n, 12))
+    sizes = spark.range(1).select(native.placed(F.sequence(F.lit(1), F.lit(n)), lambda x: x, "int").alias("p"), native.placed(F.array().cast("array<int>"), lambda x: x, "int").alias("e")).first()
+    assert [(p.at, p.x) for p in sizes.p] == [(i * (i - 1) // 2, i) for i in range(1, n + 1)] and sizes.e == []
