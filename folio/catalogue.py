@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from folio.plans import conforming, declared, documents, evaluation, geometry, grounding, queue, reports, runs, validation  # noqa: F401
+    from folio.plans import conforming, declared, documents, evaluation, geometry, grounding, parsing, queue, reports, runs, validation  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

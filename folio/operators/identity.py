@@ -17,8 +17,9 @@ from folio.functions.text import canonical, content_id
 from folio.operators.lineage import checkpoint
 
 
-def document_id(blob_id: Column, parser: str, version: str, options_hash: str) -> Column:
-    return content_id(canonical(v=F.lit("1"), blob_id=blob_id, parser_id=F.lit(parser), parser_version=F.lit(version), options_hash=F.lit(options_hash)))
+def document_id(blob_id: Column, parser: str | Column, version: str | Column, options_hash: str) -> Column:
+    of = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return content_id(canonical(v=F.lit("1"), blob_id=blob_id, parser_id=of(parser), parser_version=of(version), options_hash=F.lit(options_hash)))
 
 
 def artifact_id(source: Column, processor: str, version: str, options_hash: str) -> Column:

@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
+    """A reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir.
+
+    Only a local session without that setting gets a temporary folder; on a cluster executors could not read it.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folio-checkpoint-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="folio-checkpoint-"))
     return df.checkpoint()
