@@ -8,10 +8,10 @@ last piece begins earlier. A vocabulary trained by merging (the public 32k one)
 sum isn't SentencePiece's result; there the fold merges over the same lattice, step by step the neighbours whose edge has
 the best score. Either way the ids are SentencePiece's own. A character that is no piece is written as byte pieces.
 
-The texts are cut once. A unit that stands in the dictionary (the DICTIONARY most frequent units of a bounded sample of
-rows, encoded by the same lattice and sent to every task) is written as its number there; the others are gaps. Every
-row's numbers and the units in its gaps go through one exchange, by row: the distinct units of all gaps are encoded by
-the lattice, joined with the gaps, and the gaps filled. The dictionary saves shuffling and decides no result.
+The texts are cut once. A unit that stands in the dictionary (the DICTIONARY most frequent units of some SAMPLE rows,
+encoded by the same lattice and sent to every task) is written as its number there; the others are gaps. Every row's
+numbers and the units in its gaps go through one exchange, by row: the distinct units of all gaps are encoded by the
+lattice, joined with the gaps, and the gaps filled. The dictionary saves shuffling and decides no result.
 
 Decoding gives back the text exactly, but for U+2581, which stands for a space.
 
@@ -52,7 +52,7 @@ TASK_ROWS = 4096
 ROWS = 256
 PACKED = 1 << 20
 #: Distinct units that a task counts before it passes them on.
-COUNTED = 50_000
+COUNTED = 150_000
 SPACE = "▁"
 PENALTY = 10.0
 
@@ -93,6 +93,10 @@ class Vocabulary:
     def units(self, text: str) -> list[str]:
         return re.findall(self.cut, SPACE + text.replace(" ", SPACE)) if text else []
 
+    def spaced_units(self, text: str) -> list[str]:
+        """The same with plain spaces, which keeps strings small; U+2581 counts as a space."""
+        return re.findall(self.cut.replace(SPACE, " "), " " + text.replace(SPACE, " ")) if text else []
+
     def encode_unit(self, unit: str) -> list[int]:
         """A unit's ids, in plain Python: for long units, and what the fold is tested against."""
         parts = self.merged(unit) if self.merging else self.best(unit)
@@ -171,14 +175,14 @@ def counted(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(unit, n): how often each unit of at most LONG characters stands in the corpus; counted by COUNTED units at a time first."""
 
     def flushed(counts: Counter) -> pd.DataFrame:
-        rows = [(u, n) for u, n in counts.items() if len(u) <= LONG]
+        rows = [(u.replace(" ", SPACE), n) for u, n in counts.items() if len(u) <= LONG]
         return pd.DataFrame(rows, columns=["unit", "n"])
 
     def run(batches):
         counts: Counter[str] = Counter()
         for batch in batches:
             for text in batch["text"]:
-                counts.update(vocabulary.units(text))
+                counts.update(vocabulary.spaced_units(text))
                 if len(counts) > COUNTED:
                     yield flushed(counts)
                     counts = Counter()
@@ -259,17 +263,11 @@ def encoded_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return found.select("unit", ids.alias("ids"))
 
 
-def dealt(units: DataFrame) -> DataFrame:
-    return units.repartition(max(1, -(-units.count() // TASK_UNITS)), "unit")
-
-
 @dataclass
-class Dictionary:
-    """Encoded frequent units: unit i has the ids from starts[i] on."""
+class Names:
+    """The dictionary's units, the most frequent first, with plain spaces."""
 
     units: list[str]
-    starts: np.ndarray
-    ids: np.ndarray
 
     @cached_property
     def numbers(self) -> dict[str, int]:
@@ -277,33 +275,29 @@ class Dictionary:
         return {u: i for i, u in enumerate(self.units, 1)}
 
     def __getstate__(self):
-        return {"units": self.units, "starts": self.starts, "ids": self.ids}
+        return {"units": self.units}
+
+
+@dataclass
+class Dictionary:
+    """The dictionary's ids: unit i has those from starts[i] on."""
+
+    starts: np.ndarray
+    ids: np.ndarray
 
 
-def frequent(rows: DataFrame, vocabulary: Vocabulary, most: int) -> DataFrame:
-    """The distinct units of the sample that stand most often there: those above a count that at most `most` units reach."""
+def dictionary(rows: DataFrame, vocabulary: Vocabulary, most: int) -> tuple[Names, Dictionary]:
+    """The `most` units that stand most often in the sample, and their ids."""
     share = min(1.0, SAMPLE / max(1, rows.count()))
     sample = rows.where(F.shiftrightunsigned(F.xxhash64(F.lit(8), "_id", "_th"), 32) <= int(share * (1 << 32)))
-    units = counted(sample, vocabulary).persist()
-    # Counts are few and small numbers, units are not gathered: at most 2^20 rows.
-    by_count = units.select(F.least("n", F.lit(1 << 20)).alias("n")).groupBy("n").count().collect()
-    least, room = (1 << 20) + 1, most
-    for n, many in sorted(((r["n"], r["count"]) for r in by_count), reverse=True):
-        if room < many:
-            break
-        least, room = n, room - many
-    return units.where(F.col("n") >= least)
-
-
-def dictionary(rows: DataFrame, vocabulary: Vocabulary, most: int) -> Dictionary:
-    units = frequent(rows, vocabulary, most)
     # At most `most` rows of some 30 bytes each, as Arrow columns; frequent units get small numbers.
-    counts = units.toArrow()
-    got = encoded_units(dealt(units), vocabulary).toArrow().sort_by("unit")
-    units.unpersist()
-    order = pc.sort_indices(counts.sort_by("unit"), [("n", "descending")])
-    ids = got["ids"].take(order).combine_chunks()
-    return Dictionary(got["unit"].take(order).to_pylist(), ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy())
+    top = counted(sample, vocabulary).orderBy(F.desc("n"), "unit").limit(most).select("unit").toArrow()
+    units = rows.sparkSession.createDataFrame(top).repartition(max(1, -(-top.num_rows // TASK_UNITS)), "unit")
+    got = encoded_units(units, vocabulary).toArrow().sort_by("unit")
+    back = np.empty(top.num_rows, np.int64)
+    back[pc.sort_indices(top, [("unit", "ascending")]).to_numpy()] = np.arange(top.num_rows)
+    ids = got["ids"].take(pa.array(back)).combine_chunks()
+    return Names([u.replace(SPACE, " ") for u in top["unit"].to_pylist()]), Dictionary(ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy())
 
 
 def packed(key: int, text: str, vocabulary: Vocabulary, numbers: dict[str, int], pack) -> list[bytes]:
@@ -312,7 +306,7 @@ def packed(key: int, text: str, vocabulary: Vocabulary, numbers: dict[str, int],
     Numbers above the dictionary's stand for the gaps: its first unit, its second, and so on. A long unit's place among
     the gaps is empty; its ids are in the second part, after its place and their number.
     """
-    units = vocabulary.units(text)
+    units = vocabulary.spaced_units(text)
     codes = np.fromiter(map(numbers.get, units, repeat(0)), np.uint32, len(units))
     at = np.flatnonzero(codes == 0)
     gaps: dict[str, int] = {}
@@ -320,16 +314,16 @@ def packed(key: int, text: str, vocabulary: Vocabulary, numbers: dict[str, int],
     own: list[int] = []
     for u in gaps:
         if len(u) > LONG:
-            ids = vocabulary.encode_unit(u)
+            ids = vocabulary.encode_unit(u.replace(" ", SPACE))
             own += [gaps[u], len(ids), *ids]
     # First all low bytes, then the next: frequent units have small numbers, so the higher bytes are mostly zero.
     body = codes.view(np.uint8).reshape(-1, 4).T.tobytes()
-    return [key.to_bytes(8, "little", signed=True) + hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest() + pack(body), np.array(own, np.int32).tobytes(), *(b"" if len(u) > LONG else u.encode() for u in gaps)]
+    return [key.to_bytes(8, "little", signed=True) + hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest() + pack(body), np.array(own, np.int32).tobytes(), *(b"" if len(u) > LONG else u.replace(" ", SPACE).encode() for u in gaps)]
 
 
 def filled(parts: list[list[bytes]], found: list, vocabulary: Vocabulary, d: Dictionary) -> list[np.ndarray]:
-    """The ids of rows from their parts and what the join found for their gaps (place, ids)."""
-    unpack, n_known = zstandard.ZstdDecompressor().decompress, len(d.units)
+    """The ids of rows from their parts and what the join found for their gaps (each its place, then its ids)."""
+    unpack, n_known = zstandard.ZstdDecompressor().decompress, len(d.starts) - 1
     more: list = []
     codes = []
     for p, answers in zip(parts, found, strict=True):
@@ -337,7 +331,7 @@ def filled(parts: list[list[bytes]], found: list, vocabulary: Vocabulary, d: Dic
         mine[mine >= n_known] += len(more)
         codes.append(mine)
         gaps: list = [None] * (len(p) - 2)
-        for k, ids in answers or ():
+        for k, *ids in answers or ():
             # Two rows of one key would find each other's units too: then a gap has two answers, or one too many.
             if k < len(gaps):
                 gaps[k] = ids if gaps[k] is None else ()
@@ -377,13 +371,14 @@ def encoded(docs: DataFrame, model: str = MODEL, most: int = DICTIONARY, step=la
     vocabulary, spark = Vocabulary.load(model), docs.sparkSession
     rows = keyed(docs).select("_id", "_th", "text")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
-    d = spark.sparkContext.broadcast(dictionary(rows, vocabulary, most))
+    # Two broadcasts of a fixed size: a task keeps only the one that it uses.
+    names_, d = map(spark.sparkContext.broadcast, dictionary(rows, vocabulary, most))
 
     def first(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for run in runs(batch):
-                parts = [packed(i, t, vocabulary, d.value.numbers, pack) for i, t in zip(run["_id"].to_pylist(), run["text"].to_pylist(), strict=True)]
+                parts = [packed(i, t, vocabulary, names_.value.numbers, pack) for i, t in zip(run["_id"].to_pylist(), run["text"].to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([run["_key"], pa.array(parts, pa.list_(pa.binary()))], ["_key", "parts"])
 
     names = [c.split()[0] for c in columns.split(", ")]
@@ -392,8 +387,8 @@ def encoded(docs: DataFrame, model: str = MODEL, most: int = DICTIONARY, step=la
         for batch in batches:
             for run in runs(batch):
                 parts = run["parts"].to_pylist()
-                found = [list(zip(k, i, strict=True)) if k is not None else () for k, i in zip(run["k"].to_pylist(), run["found"].to_pylist(), strict=True)]
-                made = [(int.from_bytes(p[0][:8], "little", signed=True), *step(ids, p[0][8:40], vocabulary)) for p, ids in zip(parts, filled(parts, found, vocabulary, d.value), strict=True)]
+                every = filled(parts, run["found"].to_pylist(), vocabulary, d.value)
+                made = [(int.from_bytes(p[0][:8], "little", signed=True), *step(ids, p[0][8:40], vocabulary)) for p, ids in zip(parts, every, strict=True)]
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*made, strict=True))), ["_id", *names])
 
     keys = rows.withColumn("_key", row_key()).select("_key", "_id", "text")
@@ -402,11 +397,12 @@ def encoded(docs: DataFrame, model: str = MODEL, most: int = DICTIONARY, step=la
     # cut twice.
     begun = keys.mapInArrow(first, "_key long NOT NULL, parts array<binary>").repartition(tasks, "_key")
     gaps = begun.select("_key", F.posexplode_outer(F.slice("parts", 3, F.greatest(F.size("parts") - 2, F.lit(0)))).alias("k", "_u"))
-    gaps = gaps.select("_key", "k", F.col("_u").cast("string").alias("unit")).where("length(unit) > 0")
-    units = gaps.select("unit").repartition(tasks, "unit").distinct()
-    answers = gaps.join(encoded_units(units, vocabulary), "unit").select("_key", F.struct("k", "ids").alias("_a"))
-    answers = answers.repartition(tasks, "_key").groupBy("_key").agg(F.collect_set("_a").alias("_a")).select("_key", F.col("_a.k").alias("k"), F.col("_a.ids").alias("found"))
-    return begun.join(answers, "_key", "left").select("parts", "k", "found").mapInArrow(last, f"_id long, {columns}").select("_id", *names)
+    gaps = gaps.select("_key", "k", F.col("_u").cast("string").alias("unit")).where("length(unit) > 0").repartition(tasks, "unit")
+    # The maxima only keep all columns, so that the distinct units are read from the same exchange as the gaps.
+    units = gaps.groupBy("unit").agg(F.max("_key").alias("_k"), F.max("k").alias("_n")).where((F.col("_k") >= -(2**63)) & (F.col("_n") >= 0)).select("unit")
+    answers = gaps.join(encoded_units(units, vocabulary), "unit").select("_key", F.concat(F.array("k"), "ids").alias("_a"))
+    answers = answers.repartition(tasks, "_key").groupBy("_key").agg(F.collect_set("_a").alias("found"))
+    return begun.join(answers, "_key", "left").select("parts", "found").mapInArrow(last, f"_id long, {columns}").select("_id", *names)
 
 
 def piece_report(docs: DataFrame, model: str = MODEL) -> DataFrame:
