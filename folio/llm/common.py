@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame
@@ -18,11 +19,14 @@ NO_ID = -(2**63)
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` with a reliable checkpoint.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; a folder of our own is set only where none is.
+    The folder is the one the cluster names in spark.checkpoint.dir. Only a local session without that setting gets a
+    temporary folder; on a cluster executors could not read it.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="folio-checkpoint-"))
     return df.checkpoint(eager=True)
 
