@@ -1,5 +1,5 @@
 import corpus_pipeline
-from tests.llm.helpers import clashing, odd
+from tests.llm.helpers import clashing, empty, odd
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,3 +23,16 @@ def test_stages_take_odd_rows(spark):
     for name, stage in corpus_pipeline.STAGES[:4]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.count() > 0, name
+
+
+def test_the_last_stage_takes_odd_rows(spark):
+    docs = clashing(odd(spark))
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert out.columns == ["doc_id", "n_pieces", "ids", "text"]
+    assert sorted((r.doc_id is None, r.doc_id, r.text) for r in out.collect() if r.doc_id) == sorted((r.doc_id is None, r.doc_id, r.text or "") for r in docs.collect() if r.doc_id)
+    assert out.count() == docs.count()
+
+
+def test_stages_take_empty_tables(spark):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty(spark), SF).count() == 0, name
