@@ -51,11 +51,11 @@ def schema_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("field_lookup", """
-SELECT l_orderkey, l_linenumber, l_partkey, path, CASE path WHEN 'lines.amount' THEN 'decimal' WHEN 'lines' THEN 'group' WHEN 'placed' THEN 'date' END AS type, CASE WHEN path = 'lines.amount' THEN 'lines' END AS group_path
-FROM (SELECT *, ['lines.amount', 'lines', 'placed', 'other'][l_partkey % 4 + 1] AS path FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, path, CASE path WHEN 'items.price' THEN 'decimal' WHEN 'items' THEN 'group' WHEN 'placed' THEN 'date' END AS type, CASE WHEN path = 'items.price' THEN 'items' END AS group_path
+FROM (SELECT *, ['items.price', 'items', 'placed', 'other'][l_partkey % 4 + 1] AS path FROM lineitem)
 """)
 def field_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = F.array(*(F.lit(p) for p in ("lines.amount", "lines", "placed", "other")))
+    paths = F.array(*(F.lit(p) for p in ("items.price", "items", "placed", "other")))
     asked = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.lit("order@1").alias("schema_identity"), F.try_element_at(paths, (F.col("l_partkey") % 4 + 1).cast("int")).alias("path"))
     return C.field_at(field_rows(spark, [SCHEMA]), asked).select("l_orderkey", "l_linenumber", "l_partkey", "path", "type", "group_path")
 

@@ -116,12 +116,12 @@ def comparability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.incomparable(table(spark, sf_dir, "documents").select("doc_id", facts("a").alias("before"), facts("b").alias("after"))).select("doc_id", "refusal")
 
 
-PATHS = "path AS (SELECT l_orderkey AS document_id, 'lines[' || l_linenumber % 12 || '].' || CASE WHEN l_partkey % 2 = 0 THEN 'amount' ELSE 'tax' END AS field_path, l_linenumber % 12 AS i FROM lineitem)"
+PATHS = "path AS (SELECT l_orderkey AS document_id, 'items[' || l_linenumber % 12 || '].' || CASE WHEN l_partkey % 2 = 0 THEN 'price' ELSE 'tax' END AS field_path, l_linenumber % 12 AS i FROM lineitem)"
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("l_linenumber") % 12
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.concat(F.lit("lines["), i.cast("string"), F.lit("]."), F.when(F.col("l_partkey") % 2 == 0, "amount").otherwise("tax")).alias("field_path"), i.alias("i"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.concat(F.lit("items["), i.cast("string"), F.lit("]."), F.when(F.col("l_partkey") % 2 == 0, "price").otherwise("tax")).alias("field_path"), i.alias("i"))
 
 
 @query("outcome_order", f"WITH {PATHS} SELECT document_id, field_path, row_number() OVER (PARTITION BY document_id ORDER BY i, field_path)::INT AS rank FROM (SELECT DISTINCT * FROM path)")
@@ -132,12 +132,12 @@ def outcome_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("compared_paths", f"""
 WITH {PATHS}
-SELECT document_id, field_path, CASE WHEN i % 3 <> 0 THEN 'lines[' || i + document_id % 2 || '].' || string_split(field_path, '.')[2] END AS compared_path FROM (SELECT DISTINCT * FROM path)
+SELECT document_id, field_path, CASE WHEN i % 3 <> 0 THEN 'items[' || i + document_id % 2 || '].' || string_split(field_path, '.')[2] END AS compared_path FROM (SELECT DISTINCT * FROM path)
 """)
 def compared_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries that pair off with another index are compared there."""
     rows = paths(spark, sf_dir).distinct()
-    pairs = rows.where("i % 3 <> 0").select("document_id", F.lit("lines").alias("group_path"), F.col("i").cast("int").alias("expected_index"), (F.col("i") + F.col("document_id") % 2).cast("int").alias("predicted_index")).distinct()
+    pairs = rows.where("i % 3 <> 0").select("document_id", F.lit("items").alias("group_path"), F.col("i").cast("int").alias("expected_index"), (F.col("i") + F.col("document_id") % 2).cast("int").alias("predicted_index")).distinct()
     return R.compared_paths(rows.select("document_id", "field_path"), pairs)
 
 

@@ -63,7 +63,7 @@ def test_canonical_json():
 
 def test_rules_can_be_chosen(spark):
     documents = spark.createDataFrame([("d",)], "document_id string")
-    values = spark.createDataFrame([("d", "total", "3"), ("d", "lines[0].amount", "1"), ("d", "lines[1].amount", "2.005")], "document_id string, field_path string, value string")
+    values = spark.createDataFrame([("d", "total", "3"), ("d", "items[0].price", "1"), ("d", "items[1].price", "2.005")], "document_id string, field_path string, value string")
     rows = {r.check_id: r for r in declared.checked(values, documents, SCHEMA, ("adds_up",)).collect()}
     assert rows["adds_up"].outcome == "passed" and "duty" not in rows and rows["required:number"].outcome == "failed"
     assert rows["minimum:total"].outcome == "failed" and rows["minimum:total"].actual == "3" and "minimum:number" not in rows
