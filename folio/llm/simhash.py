@@ -141,7 +141,7 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = checkpoint(fingerprints(docs))
     # Each gives 64 variants: a number of partitions by rows, which isn't coalesced by bytes.
     tasks = max(1, -(-rows.count() // TASK_ROWS))
-    found = components(links(rows.select("fp").repartition(tasks, "fp").distinct()))
+    found = components(links(rows.select("fp").distinct().repartition(tasks, "fp")))
     return rows.join(found, rows["fp"] == found["node"], "left").select("doc_id", "_id", "_th", "fp", F.coalesce("root", "fp").alias("component"))
 
 
