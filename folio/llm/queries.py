@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import flac, licenses, lines, mixing, neighbours, pieces, quality, secrets, simhash, substrings
+from folio.llm import centroids, flac, licenses, lines, maincontent, mixing, neighbours, pieces, prefixes, quality, secrets, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,18 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_report(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maincontent.extract(table(spark, sf_dir, "pages"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -67,6 +79,9 @@ def queries() -> dict[str, Query]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_mixing": op9_mixing,
         "op10_substrings": op10_substrings,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_html": op12_html,
+        "op13_centroids": op13_centroids,
     }
 
 
@@ -74,4 +89,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": lines.REPORT_SQL,
         "op10_substrings": substrings.REPORT_SQL,
+        "op11_prefix_trie": prefixes.REPORT_SQL,
+        "op13_centroids": centroids.report_sql(),
     }
