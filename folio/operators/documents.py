@@ -6,6 +6,8 @@ half-open ranges of code points.
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,34 +56,54 @@ def tiling(pages: DataFrame, lengths: DataFrame) -> DataFrame:
     return sums.join(lengths, "document_id").select("document_id", "pages", (F.col("_ok") & (F.col("_end") == F.col("length")) & (F.col("_n") == F.col("pages"))).alias("tiled"))
 
 
-#: Needles of few words that are held against every text.
-MAX_SHORT = 1000
+#: Characters of needles that a task looks for at once.
+BLOCK = 1_000_000
 
 
 def find(docs: DataFrame, needles: DataFrame) -> DataFrame:
-    """Every place of every needle in every text: document_id, needle_id, span_start, span_end.
+    """Every place of every needle in every text, a needle's next one behind the end of the last: document_id, needle_id, span_start, span_end.
 
-    A needle of five words or more meets the texts that hold its second to fourth word in a row, by an equality join; its
-    first and last word may be parts of words. Shorter needles are a list of at most MAX_SHORT questions to every text.
+    Needles are taken in blocks of some BLOCK characters, whatever their alphabet and size; a block is one pass over the texts, in which
+    an automaton tells the needles that each text holds. Only these pairs are joined to the needles. Empty needles stand nowhere.
     """
-    words = lambda c: F.regexp_extract_all(c, F.lit(r"\w+"), F.lit(0))
-    asked = needles.where("needle <> ''").withColumn("_w", words(F.col("needle")))
-    long = asked.where(F.size("_w") >= 5).select("needle_id", "needle", F.array_join(F.slice("_w", 2, 3), " ").alias("_k"))
-    short = asked.where(F.size("_w") < 5).select("needle_id", "needle").limit(MAX_SHORT + 1)
-    if short.count() > MAX_SHORT:
-        raise ValueError(f"more than {MAX_SHORT} needles of fewer than five words")
-    three = docs.withColumn("_w", words(F.col("text"))).where(F.size("_w") >= 3)
-    keys = F.transform(F.sequence(F.lit(1), F.size("_w") - 2), lambda i: F.array_join(F.slice("_w", i, 3), " "))
-    three = three.select("document_id", F.explode(F.array_distinct(keys)).alias("_k"))
-    met = three.join(long, "_k").select("document_id", "needle_id", "needle")
-    few = docs.join(F.broadcast(short), F.contains(docs["text"], short["needle"])).select("document_id", "needle_id", "needle")
-    return placed(docs.select("document_id", "text").join(met.unionByName(few), "document_id"))
-
-
-def placed(pairs: DataFrame) -> DataFrame:
-    """The places of needles in texts, for rows (document_id, text, needle_id, needle)."""
-    found = pairs.select("document_id", "needle_id", F.length("needle").alias("_n"), F.explode(T.find_starts(F.col("text"), F.col("needle"))).alias("span_start"))
-    return found.select("document_id", "needle_id", "span_start", (F.col("span_start") + F.col("_n")).alias("span_end"))
+    asked = needles.where("needle <> ''").select("needle_id", "needle")
+    total = asked.agg(F.sum(F.length("needle").cast("long"))).first()[0] or 0
+    many = -(-total // BLOCK)
+    out = docs.sparkSession.createDataFrame([], f"document_id {docs.schema['document_id'].dataType.simpleString()}, needle_id {needles.schema['needle_id'].dataType.simpleString()}, span_start int, span_end int")
+    for block in range(many):
+        own = asked.where(F.pmod(F.xxhash64("needle"), F.lit(many)) == block).groupBy("needle").agg(F.collect_list("needle_id").alias("ids"))
+        words = sorted(r[0] for r in own.select("needle").collect())
+        if words:
+            met = found(docs, words).join(own, "needle").select("document_id", F.explode("ids").alias("needle_id"), "span_start", "span_end")
+            out = out.unionByName(met)
+    return out
+
+
+def found(docs: DataFrame, words: list[str]) -> DataFrame:
+    """(document_id, needle, span_start, span_end) of the words in the texts."""
+
+    def run(batches):
+        automaton = ahocorasick.Automaton()
+        for w in words:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        for batch in batches:
+            rows, starts, names = [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                behind: dict[str, int] = {}
+                for last, w in automaton.iter(text or ""):
+                    at = last + 1 - len(w)
+                    if at >= behind.get(w, 0):
+                        behind[w] = last + 1
+                        rows.append(i)
+                        starts.append(at)
+                        names.append(w)
+            ids = batch.column("document_id").take(pa.array(rows, pa.int64()))
+            ends = [a + len(w) for a, w in zip(starts, names, strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["document_id", "needle", "span_start", "span_end"])
+
+    schema = f"document_id {docs.schema['document_id'].dataType.simpleString()}, needle string, span_start int, span_end int"
+    return docs.select("document_id", "text").mapInArrow(run, schema)
 
 
 def overlaps(a: Column, b: Column, c: Column, d: Column) -> Column:

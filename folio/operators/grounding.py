@@ -1,65 +1,80 @@
 """Grounding: where claimed values stand in texts, exactly or within an edit distance.
 
 claims(document_id, field_path, claim) are located in docs(document_id, text). `ground` folds both to views first and
-gives spans in the text; `exact` and `fuzzy` take texts as they are. A claim's best place is that of highest similarity,
+gives spans in the text; `exact` takes texts as they are. A claim's best place is that of highest similarity,
 then least start, then least length.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from folio.functions import nearest
 from folio.functions import text as T
-from folio.operators.lineage import checkpoint
+from folio.operators import documents as D
 
 THRESHOLD = 0.9
 BUDGET = 1500
 RUNNERS_UP = 5
 
 
+#: What a view may change: soft hyphens, a hyphen before white space, white space, characters beyond ASCII.
+CHANGED = re.compile(r"\xad|-\s+|\s+|[^\x00-\x7F\s\xad]+")
+
+
 def folded(source: str) -> tuple[str, list[tuple[int, int, int, int]]]:
     """The view of a text, and its transformed parts as (view start, view length, source start, source length).
 
     Soft hyphens go; a hyphen at a line break goes with the break between two lower-case letters, else only the break
     goes; runs of white space become one space; a character and its combining marks are composed to compatible form.
     """
-    out, parts, size, i = [], [], 0, 0
-
-    def put(text: str, length: int) -> None:
-        nonlocal size, i
-        if text != source[i : i + length]:
-            parts.append((size, len(text), i, length))
-        out.append(text)
+    out, parts, size, done = [], [], 0, 0
+    for start, end, text in changes(source):
+        out += (source[done:start], text)
+        size += start - done
+        parts.append((size, len(text), start, end - start))
         size += len(text)
-        i += length
-
-    while i < len(source):
-        c = source[i]
-        after = i + 1
-        if c == "­":
-            put("", 1)
-            continue
-        if c == "-" and i:
-            while after < len(source) and source[after].isspace():
-                after += 1
-            gap = source[i + 1 : after]
-            if "\n" in gap and after < len(source):
-                joins = source[i - 1].islower() and source[after].islower()
-                put("" if joins else "-", after - i)
+        done = end
+    return "".join(out) + source[done:], parts
+
+
+def changes(source: str):
+    """(start, end, text) of each piece of the source that its view has otherwise."""
+    for m in CHANGED.finditer(source):
+        a, b = m.span()
+        first = source[a]
+        if first == "\xad":
+            yield a, b, ""
+        elif first == "-":
+            if "\n" in m.group() and a and b < len(source):
+                joins = source[a - 1].islower() and source[b].islower()
+                yield a, b, "" if joins else "-"
+            elif m.group() != "- ":
+                yield a + 1, b, " "
+        elif first.isspace():
+            if m.group() != " ":
+                yield a, b, " "
+        else:
+            # Marks compose with the ASCII character before them.
+            if a and unicodedata.combining(first) and source[a - 1] != "\xad" and not source[a - 1].isspace():
+                a -= 1
+            if unicodedata.is_normalized("NFKC", source[a:b]):
                 continue
-        if c.isspace():
-            while after < len(source) and source[after].isspace():
-                after += 1
-            put(" ", after - i)
-            continue
-        while after < len(source) and unicodedata.combining(source[after]):
-            after += 1
-        put(unicodedata.normalize("NFKC", source[i:after]), after - i)
-    return "".join(out), parts
+            while a < b:
+                after = a + 1
+                while after < b and unicodedata.combining(source[after]):
+                    after += 1
+                text = unicodedata.normalize("NFKC", source[a:after])
+                if text != source[a:after]:
+                    yield a, after, text
+                a = after
 
 
 VIEW = "view string, parts array<struct<view:int,view_size:int,source:int,source_size:int>>"
@@ -115,89 +130,82 @@ def exact(docs: DataFrame, claims: DataFrame) -> DataFrame:
     return at.select("document_id", "field_path", "span_start", (F.col("span_start") + F.col("_n")).alias("span_end"), F.lit(1.0).alias("score"))
 
 
-def edits(size: Column, threshold: float = THRESHOLD) -> Column:
-    """How many edits a claim of this size may have; at threshold 0 as many as it is long."""
-    return size if threshold == 0 else F.floor((F.lit(1.0) - F.lit(float(threshold))) * size / F.lit(float(threshold))).cast("int")
-
-
-def candidate_starts(text: Column, claim: Column, k: Column, budget: int = BUDGET) -> Column:
-    """Where a claim with up to k edits may begin, sorted: of k + 1 blocks of the claim one stands unchanged.
-
-    The first budget + 1 starts are given; one more than the budget says that there are others.
-    """
-
-    def starts(texts: pd.Series, claims: pd.Series, ks: pd.Series) -> pd.Series:
-        return pd.Series([block_starts(t, c, int(n), budget) for t, c, n in zip(texts, claims, ks, strict=True)], dtype=object)
-
-    return F.pandas_udf(starts, "array<int>")(text, claim, k)
+#: Claims of one document that are looked for at once.
+PACK = 256
+PLACE = "struct<span_start:int,span_end:int,score:double>"
 
 
-def block_starts(text: str, claim: str, k: int, budget: int) -> list[int]:
-    size = len(claim)
-    if k + 1 > size:
-        return list(range(min(max(len(text), 1), budget + 1)))
-    width, found = size // (k + 1), set()
-    for i in range(k + 1):
-        block = claim[i * width : size if i == k else (i + 1) * width]
-        # Overlapping places too.
-        at = text.find(block)
-        while at >= 0:
-            found.update(range(max(at - i * width - k, 0), at - i * width + k + 1))
-            at = text.find(block, at + 1)
-    return sorted(found)[: budget + 1]
+def packed(claims: DataFrame) -> DataFrame:
+    """(document_id, _pack, _claims): equal claims once with their number, in packs of some PACK claims of a document."""
+    once = claims.groupBy("document_id", "field_path", "claim").agg(F.count("*").alias("n"))
+    packs = once.groupBy("document_id").agg(F.ceil(F.count("*") / PACK).alias("_packs"))
+    # Claims without a document have no count; they are dealt all the same.
+    pack = F.pmod(F.xxhash64("field_path", "claim"), F.coalesce("_packs", F.lit(PACK))).alias("_pack")
+    return once.join(packs, "document_id", "left").groupBy("document_id", pack).agg(F.collect_list(F.struct("field_path", "claim", "n")).alias("_claims"))
 
 
-def searches(docs: DataFrame, claims: DataFrame, threshold: float = THRESHOLD, budget: int = BUDGET) -> DataFrame:
-    """Where each claim is to be looked for: document_id, field_path, claim, _k, _starts, and truncated if there are other starts."""
-    met = docs.join(claims.where("trim(claim) <> ''"), "document_id").withColumn("_k", edits(F.length("claim"), threshold))
-    met = met.withColumn("_starts", candidate_starts(F.col("text"), F.col("claim"), F.col("_k"), budget))
-    return met.select("document_id", "field_path", "claim", "_k", F.slice("_starts", 1, budget).alias("_starts"), (F.size("_starts") > budget).alias("truncated"))
+def ground(docs: DataFrame, claims: DataFrame, threshold: float = THRESHOLD, budget: int = BUDGET, folding: bool = True, runners_up: int = RUNNERS_UP) -> DataFrame:
+    """One row a claim: status (exact, fuzzy, ungrounded), span_start, span_end, score, alternatives, truncated.
 
-
-def near(docs: DataFrame, asked: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Every place within the threshold of the searches: document_id, field_path, span_start, span_end, score, truncated."""
-    rows = docs.select("document_id", "text").join(asked, "document_id").select("document_id", "field_path", "text", "claim", "_k", "truncated", F.explode("_starts").alias("span_start"))
-    rows = rows.withColumn("_piece", F.substring("text", F.col("span_start") + 1, F.length("claim") + F.col("_k"))).drop("text")
-    # Few bytes but many distances: a number of partitions that isn't coalesced.
-    rows = rows.repartition(docs.sparkSession.sparkContext.defaultParallelism * 4)
-    sizes = F.sequence(F.greatest(F.length("claim") - F.col("_k"), F.lit(1)), F.length("claim") + F.col("_k"))
-    rows = rows.withColumn("_n", F.explode(sizes)).where(F.col("_n") <= F.length("_piece"))
-    longest = F.greatest(F.length("claim"), F.col("_n"))
-    most = F.ceil((1 - F.lit(float(threshold))) * longest).cast("int")
-    d = F.call_function("levenshtein", "claim", F.substring(F.col("_piece"), F.lit(1), F.col("_n")), most)
-    rows = rows.withColumn("_d", d).where("_d >= 0").withColumn("score", 1 - F.col("_d") / longest.cast("double")).where(F.col("score") >= threshold)
-    return rows.select("document_id", "field_path", "span_start", (F.col("span_start") + F.col("_n")).alias("span_end"), "score", "truncated")
-
-
-def fuzzy(docs: DataFrame, claims: DataFrame, threshold: float = THRESHOLD, budget: int = BUDGET) -> DataFrame:
-    """Every place within the threshold: document_id, field_path, span_start, span_end, score, truncated."""
-    return near(docs, searches(docs, claims, threshold, budget), threshold)
-
-
-def best(places: DataFrame, runners_up: int = RUNNERS_UP) -> DataFrame:
-    """The best place of each claim, and how many of the next ones there are (up to `runners_up`)."""
-    by = Window.partitionBy("document_id", "field_path").orderBy(F.desc("score"), "span_start", F.col("span_end") - F.col("span_start"))
-    rows = places.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= runners_up + 1)
-    first = F.max(F.when(F.col("_r") == 1, F.struct("span_start", "span_end", "score")))
-    return rows.groupBy("document_id", "field_path").agg(first.alias("_b"), (F.count("*") - 1).alias("alternatives")).select("document_id", "field_path", "_b.*", "alternatives")
-
-
-def ground(docs: DataFrame, claims: DataFrame, threshold: float = THRESHOLD, budget: int = BUDGET, folding: bool = True) -> DataFrame:
-    """One row a claim: status (exact, fuzzy, ungrounded), span_start, span_end, score, alternatives, truncated. Fuzzy only where no exact place is.
-
-    Truncated: the budget cut the search, so a better place may stand further on. Without folding, texts and claims are
-    compared as they are.
+    Exact places come first: only a claim without one is looked for within its edits. Alternatives are the next best places, up
+    to `runners_up`, each with its score. Truncated: the budget of starts cut the search, so a better place may stand further on. Without
+    folding, texts and claims are compared as they are. A claim that is missing or blank, or whose document is, is ungrounded.
+    Claims meet their document by one join; a document with very many is dealt to several tasks.
+    """
+    types = {f.name: f.dataType.simpleString() for f in claims.schema}
+    schema = f"document_id {types['document_id']}, field_path {types['field_path']}, status string, places array<{PLACE}>, truncated boolean, n long"
+    key = claims.where("document_id IS NOT NULL").select("document_id").distinct()
+    asked = packed(claims.select("document_id", F.col("field_path"), F.col("claim").cast("string").alias("claim")))
+    texts = docs.join(key, "document_id", "left_semi").select("document_id", F.coalesce("text", F.lit("")).alias("text"))
+    met = asked.join(texts, "document_id", "left")
+    # Few bytes but much work: a number of partitions that isn't coalesced.
+    met = met.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "document_id", "_pack")
+
+    def run(batches):
+        for batch in batches:
+            rows = {"row": [], "field_path": [], "status": [], "places": [], "truncated": [], "n": []}
+            for i, (text, own) in enumerate(zip(batch.column("text").to_pylist(), batch.column("_claims").to_pylist(), strict=True)):
+                view, parts = folded(text or "") if folding else (text or "", [])
+                source = nearest.Places(parts).source
+                wanted = [folded(c["claim"] or "")[0] if folding else c["claim"] or "" for c in own]
+                for c, (places, cut) in zip(own, nearest.located(view, wanted, threshold, budget, runners_up + 1), strict=True):
+                    rows["row"].append(i)
+                    rows["field_path"].append(c["field_path"])
+                    rows["status"].append("ungrounded" if not places else "exact" if places[0][0] == 1 else "fuzzy")
+                    rows["places"].append([{"span_start": source(a, False), "span_end": source(b, True), "score": score} for score, a, b in places])
+                    rows["truncated"].append(cut)
+                    rows["n"].append(c["n"])
+            ids = batch.column("document_id").take(pa.array(rows.pop("row"), pa.int64()))
+            kind = pa.list_(pa.struct([("span_start", pa.int32()), ("span_end", pa.int32()), ("score", pa.float64())]))
+            columns = [pa.array(rows["field_path"], names[1].type), pa.array(rows["status"], pa.string()), pa.array(rows["places"], kind), pa.array(rows["truncated"], pa.bool_()), pa.array(rows["n"], pa.int64())]
+            yield pa.RecordBatch.from_arrays([ids, *columns], ["document_id", "field_path", "status", "places", "truncated", "n"])
+
+    names = to_arrow_schema(claims.select("document_id", "field_path").schema)
+    out = met.select("document_id", "text", "_claims").mapInArrow(run, schema).withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    first = F.get("places", F.lit(0))
+    return out.select("document_id", "field_path", "status", first["span_start"].alias("span_start"), first["span_end"].alias("span_end"), first["score"].alias("score"), F.slice("places", 2, runners_up).alias("alternatives"), "truncated")
+
+
+def with_pages(outcomes: DataFrame, pages: DataFrame, size: int) -> DataFrame:
+    """Outcomes with the pages of their span in order; an ungrounded one has none."""
+    spans = outcomes.where("span_start IS NOT NULL").select("document_id", "span_start", "span_end").distinct()
+    met = D.pages_for(spans, pages.join(spans.select("document_id").distinct(), "document_id", "left_semi"), size)
+    return outcomes.join(met, ["document_id", "span_start", "span_end"], "left")
+
+
+def with_boxes(outcomes: DataFrame, tokens: DataFrame, capable: DataFrame) -> DataFrame:
+    """Outcomes with `geometry`: page and box of each token that the span touches, in order; null where the parser gave none.
+
+    tokens(document_id, ord, page_index, span_start, span_end, box), capable(document_id, geometry). Spans and tokens meet by cells of the text.
     """
-    by = ["document_id", "field_path"]
-    asked = folded_claims(claims) if folding else claims
-    # Each document with claims is folded once.
-    texts = checkpoint(viewed(docs.join(claims.select("document_id").distinct(), "document_id", "left_semi"))) if folding else docs
-    sure = checkpoint(best(exact(texts, asked)).withColumn("status", F.lit("exact")))
-    looked = checkpoint(searches(texts, asked.join(sure, by, "left_anti"), threshold, budget))
-    found = sure.unionByName(best(near(texts, looked, threshold)).withColumn("status", F.lit("fuzzy")))
-    found = sourced(found, texts) if folding else found
-    out = claims.select(*by).join(found, by, "left").join(looked.select(*by, "truncated"), by, "left")
-    return out.withColumns({"status": F.coalesce("status", F.lit("ungrounded")), "alternatives": F.coalesce("alternatives", F.lit(0).cast("long")), "truncated": F.coalesce("truncated", F.lit(False))})
+    key = ["document_id", "span_start", "span_end"]
+    able = capable.where("geometry").select("document_id")
+    spans = outcomes.where("span_start IS NOT NULL").select(*key).distinct().join(able, "document_id", "left_semi")
+    own = tokens.where("box IS NOT NULL").join(spans.select("document_id").distinct(), "document_id", "left_semi")
+    own = own.withColumn("ord", F.struct("ord", "page_index", "box"))
+    met = D.tokens_in(spans, own).groupBy(*key).agg(F.array_sort(F.collect_list("ord")).alias("_t"))
+    met = spans.join(met, key, "left").select(*key, F.coalesce(F.transform("_t", lambda t: F.struct(t["page_index"].alias("page_index"), t["box"].alias("box"))), F.array()).alias("geometry"))
+    return outcomes.join(met, key, "left")
 
 
 def exclusive(places: DataFrame) -> DataFrame:

@@ -17,10 +17,12 @@ TILES = f"""tile AS (
   SELECT doc_id AS document_id, k AS page_index, k * {PAGE} AS span_start, least((k + 1) * {PAGE}, length(text)) AS span_end,
     substr(text, k * {PAGE} + 1, {PAGE}) AS text
   FROM documents, unnest(range(greatest(1, cast(ceil(length(text) / {PAGE}.0) AS BIGINT)))) AS u(k))"""
+#: A passage's next place begins behind the end of the last.
 HITS = """hit AS (
   SELECT d.doc_id AS document_id, b.item_id AS needle_id, p AS span_start, p + length(b.text) AS span_end
-  FROM documents d JOIN benchmark b ON contains(d.text, b.text),
-    unnest(list_filter(range(length(d.text) - length(b.text) + 1), lambda i: substr(d.text, i + 1, length(b.text)) = b.text)) AS u(p))"""
+  FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text),
+    unnest(list_reduce(list_transform(list_filter(range(length(d.text) - length(b.text) + 1), lambda i: substr(d.text, i + 1, length(b.text)) = b.text), lambda i: [i]),
+      lambda taken, p: CASE WHEN p[1] >= taken[-1] + length(b.text) THEN list_concat(taken, p) ELSE taken END)) AS u(p))"""
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:

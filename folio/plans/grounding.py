@@ -2,87 +2,109 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.catalogue import query
+from folio.operators import documents as D
 from folio.operators import grounding as G
 from folio.operators.lineage import checkpoint
-from folio.plans.documents import HITS, docs, hits
+from folio.plans.documents import HITS, PAGE, TILES, docs, hits
 from folio.plans.tables import table
 
-#: Claims on texts of ASCII alone, as the two engines' edit distances differ beyond it: an exact one, one with a wrong
-#: character, and one that stands nowhere.
-CLAIMS = rf"""{HITS},
-claim AS (
-  SELECT DISTINCT h.document_id, 'field' || h.needle_id AS field_path,
-    CASE h.needle_id % 3 WHEN 0 THEN substr(b.text, 1, 30) WHEN 1 THEN substr(b.text, 1, 12) || '#' || substr(b.text, 14, 17) ELSE 'no such text stands anywhere' END AS claim
-  FROM hit h JOIN benchmark b ON b.item_id = h.needle_id JOIN documents d ON d.doc_id = h.document_id WHERE regexp_full_match(d.text, '[\x00-\x7F]*')),
-sure AS (
-  SELECT document_id, field_path, strpos(text, claim) - 1 AS a, length(claim) AS n, 1.0::DOUBLE AS score, 'exact' AS status
-  FROM claim JOIN documents ON doc_id = document_id WHERE contains(text, claim)),
-near AS (
-  SELECT document_id, field_path, a, n, 1 - levenshtein(claim, substr(text, a + 1, n)) / greatest(n, length(claim))::DOUBLE AS score
-  FROM (SELECT * FROM claim c WHERE NOT EXISTS (SELECT 1 FROM sure s WHERE s.document_id = c.document_id AND s.field_path = c.field_path)) JOIN documents ON doc_id = document_id,
-    unnest(range(length(text))) AS u(a), unnest(range(length(claim) - 3, length(claim) + 4)) AS v(n) WHERE a + n <= length(text)),
-pick AS (
-  SELECT document_id, field_path, a, n, score, 'fuzzy' AS status FROM near WHERE score >= 0.9
-  QUALIFY row_number() OVER (PARTITION BY document_id, field_path ORDER BY score DESC, a, n) = 1),
-outcome AS (
-  SELECT c.document_id, c.field_path, coalesce(p.status, 'ungrounded') AS status, a::INT AS span_start, (a + n)::INT AS span_end, score
-  FROM claim c LEFT JOIN (SELECT * FROM sure UNION ALL SELECT * FROM pick) p USING (document_id, field_path))"""
-
-
-def claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The documents and the claims on them."""
-    rows = docs(spark, sf_dir).where(F.col("text").rlike(r"\A[\x00-\x7F]*\z"))
-    found = hits(spark, sf_dir).select("document_id", "needle_id").distinct().join(rows.select("document_id"), "document_id")
-    found = found.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("needle_id"), F.col("text").alias("_b")), "needle_id")
-    wrong = F.concat(F.substring("_b", 1, 12), F.lit("#"), F.substring("_b", 14, 17))
-    claim = F.when(F.col("needle_id") % 3 == 0, F.substring("_b", 1, 30)).when(F.col("needle_id") % 3 == 1, wrong).otherwise("no such text stands anywhere")
-    return rows, found.select("document_id", F.concat(F.lit("field"), F.col("needle_id").cast("string")).alias("field_path"), claim.alias("claim"))
-
-
-def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, asked = claims(spark, sf_dir)
-    # The SQL compares texts as they are.
-    return G.ground(rows, asked, folding=False)
-
-
-@query("ground_claims", f"WITH {CLAIMS} SELECT * FROM outcome")
-def ground_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outcomes(spark, sf_dir).select("document_id", "field_path", "status", "span_start", "span_end", "score")
-
-
-@query("grounding_counts", f"""
-WITH {CLAIMS}
-SELECT count(*) FILTER (WHERE status = 'exact')::BIGINT AS exact, count(*) FILTER (WHERE status = 'fuzzy')::BIGINT AS fuzzy,
-  count(*) FILTER (WHERE status = 'ungrounded')::BIGINT AS ungrounded, count(*) FILTER (WHERE status <> 'ungrounded')::DOUBLE / nullif(count(*), 0) AS grounding_rate
-FROM outcome
-""")
-def grounding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.counts(outcomes(spark, sf_dir)).drop("truncated")
-
 
-def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The outcomes of whole passages as claims on all documents that hold them: as they are, with a wrong character, and another text."""
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims on all documents that hold a passage: the passage, one with a wrong character, or a text that stands nowhere."""
     needles = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("needle_id"), F.col("text").alias("_b"))
     found = hits(spark, sf_dir).select("document_id", "needle_id").distinct().join(needles, "needle_id")
     wrong = F.concat(F.substring("_b", 1, 12), F.lit("#"), F.expr("substring(_b, 14)"))
     claim = F.when(F.col("needle_id") % 3 == 0, F.col("_b")).when(F.col("needle_id") % 3 == 1, wrong).otherwise("no such text stands anywhere")
-    asked = found.select("document_id", F.concat(F.lit("field"), F.col("needle_id").cast("string")).alias("field_path"), claim.alias("claim"))
-    return G.ground(docs(spark, sf_dir), checkpoint(asked))
+    return checkpoint(found.select("document_id", field("needle_id").alias("field_path"), claim.alias("claim")))
+
+
+def field(needle_id: str) -> Column:
+    return F.concat(F.lit("field"), F.col(needle_id).cast("string"))
+
+
+@query("ground_claims")
+def ground_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages located in all texts as they stand. No SQL: DuckDB's edit distance counts bytes."""
+    out = G.ground(docs(spark, sf_dir), claims(spark, sf_dir), folding=False)
+    return out.select("document_id", "field_path", "status", "span_start", "span_end", "score", "truncated")
+
+
+@query("grounding_counts")
+def grounding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.counts(ground_claims(spark, sf_dir))
 
 
 @query("ground_passages")
 def ground_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole passages located in all documents, beyond ASCII too, in folded views. DuckDB's edit distance counts bytes, so no SQL."""
-    return passages(spark, sf_dir)
+    """Passages located in the folded views of all texts, with the next best places."""
+    return G.ground(docs(spark, sf_dir), claims(spark, sf_dir))
 
 
 @query("passage_counts")
 def passage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.counts(passages(spark, sf_dir))
+    return G.counts(ground_passages(spark, sf_dir))
+
+
+def boxed_tokens(rows: DataFrame) -> DataFrame:
+    """The words of each text as tokens with boxes: lines of 100 characters on pages of PAGE; a word is 6 wide a character and 12 high."""
+    words = rows.select("document_id", F.posexplode(F.split("text", "[ \n]")).alias("ord", "word"))
+    by = Window.partitionBy("document_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    words = words.withColumn("span_end", F.sum(F.length("word") + 1).over(by) - 1).withColumn("span_start", F.col("span_end") - F.length("word")).where("word <> ''")
+    x, y = F.col("span_start") % 100 * 6, F.floor(F.col("span_start") % PAGE / 100) * 12
+    box = F.struct(x.alias("x0"), y.alias("y0"), (x + 6 * F.length("word")).alias("x1"), (y + 12).alias("y1"))
+    return words.select("document_id", "ord", F.floor(F.col("span_start") / PAGE).alias("page_index"), "span_start", "span_end", box.alias("box"))
+
+
+def placed_outcomes(rows: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Outcomes with pages and boxes; every other document has no geometry."""
+    met = rows.join(outcomes.select("document_id").distinct(), "document_id", "left_semi")
+    capable = met.select("document_id", (F.col("document_id") % 2 == 0).alias("geometry"))
+    return G.with_boxes(G.with_pages(outcomes, D.tiles(met, PAGE), PAGE), boxed_tokens(met), capable)
+
+
+@query("grounding_outcomes")
+def grounding_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole outcome of each claim: status, span, score, alternatives, pages, boxes. DuckDB's edit distance counts bytes, so no SQL."""
+    rows = docs(spark, sf_dir)
+    out = checkpoint(G.ground(rows, claims(spark, sf_dir)))
+    return placed_outcomes(rows, out)
+
+
+@query("exact_outcomes", f"""
+WITH {TILES}, {HITS},
+place AS (SELECT *, row_number() OVER (PARTITION BY document_id, needle_id ORDER BY span_start) AS r FROM hit),
+best AS (
+  SELECT document_id, needle_id, min(span_start) AS span_start, min(span_end) AS span_end,
+    coalesce(string_agg(span_start || '-' || span_end, ',' ORDER BY r) FILTER (WHERE r BETWEEN 2 AND 6), '') AS alternatives
+  FROM place GROUP BY ALL),
+split AS (SELECT doc_id AS document_id, string_split_regex(text, '[ \n]') AS w FROM documents),
+word AS (SELECT document_id, i AS ord, w[i] AS word, sum(length(w[i]) + 1) OVER (PARTITION BY document_id ORDER BY i) - 1 AS b FROM split, unnest(range(1, len(w) + 1)) AS u(i)),
+token AS (SELECT document_id, ord, length(word) AS n, b - length(word) AS a, b FROM word WHERE word <> ''),
+box AS (
+  SELECT p.document_id, p.needle_id, string_agg(a // {PAGE} || ':' || a % 100 * 6 || ':' || a % {PAGE} // 100 * 12 || ':' || (a % 100 * 6 + 6 * n) || ':' || (a % {PAGE} // 100 * 12 + 12), ' ' ORDER BY ord) AS boxes
+  FROM best p JOIN token t ON t.document_id = p.document_id AND a < span_end AND b > span_start WHERE p.document_id % 2 = 0 GROUP BY ALL),
+page AS (
+  SELECT p.document_id, p.needle_id, string_agg(t.page_index, ',' ORDER BY t.page_index) AS pages
+  FROM best p JOIN tile t ON t.document_id = p.document_id AND t.span_start < p.span_end AND t.span_end > p.span_start GROUP BY ALL)
+SELECT document_id, 'field' || needle_id AS field_path, 'exact' AS status, span_start::INT AS span_start, span_end::INT AS span_end, 1.0::DOUBLE AS score, alternatives, pages, boxes
+FROM best LEFT JOIN page USING (document_id, needle_id) LEFT JOIN box USING (document_id, needle_id)
+""")
+def exact_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage located where it stands word for word, in all documents: alternatives, pages and boxes."""
+    rows = docs(spark, sf_dir)
+    needles = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("needle_id"), F.col("text").alias("claim"))
+    asked = checkpoint(hits(spark, sf_dir).select("document_id", "needle_id").distinct().join(needles, "needle_id").select("document_id", field("needle_id").alias("field_path"), "claim"))
+    out = placed_outcomes(rows, checkpoint(G.ground(rows, asked, folding=False)))
+    spans = F.transform("alternatives", lambda a: F.concat_ws("-", a["span_start"], a["span_end"]))
+    boxes = F.transform("geometry", lambda g: F.concat_ws(":", g["page_index"], g["box"]["x0"], g["box"]["y0"], g["box"]["x1"], g["box"]["y1"]))
+    return out.select(
+        "document_id", "field_path", "status", "span_start", "span_end", "score",
+        F.array_join(spans, ",").alias("alternatives"), F.array_join("pages", ",").alias("pages"), F.array_join(boxes, " ").alias("boxes"),
+    )
 
 
 @query("folded_views")

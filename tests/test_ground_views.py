@@ -1,5 +1,8 @@
 """Grounding beyond ASCII and in folded views, against a plain version."""
 
+import random
+import unicodedata
+
 import pytest
 
 from folio.operators import grounding as G
@@ -65,4 +68,75 @@ def test_a_cut_search_is_told(spark, claim):
 
 def test_passages_take_all_documents(spark):
     rows = P.ground_passages(spark, SF)
-    assert rows.count() == P.hits(spark, SF).select("document_id", "needle_id").distinct().count() > P.outcomes(spark, SF).count()
+    assert rows.count() == P.hits(spark, SF).select("document_id", "needle_id").distinct().count()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    passages = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    for r in rows.collect():
+        needle = int(r.field_path.removeprefix("field"))
+        if needle % 3 == 2:
+            assert r.status == "ungrounded"
+        else:
+            assert r.status == ("exact", "fuzzy")[needle % 3]
+            assert r.score == (1.0 if r.status == "exact" else 1 - 1 / len(passages[needle]))
+            assert G.folded(texts[r.document_id][r.span_start : r.span_end])[0] == G.folded(passages[needle])[0]
+
+
+def test_outcomes_have_alternatives_pages_and_boxes(spark):
+    text = "alpha beta gamma " * 200
+    docs = spark.createDataFrame([(2, text), (3, text), (4, "")], "document_id long, text string")
+    claims = spark.createDataFrame([(d, f, c) for d in (2, 3, 4, 9) for f, c in (("a", "beta gamma alpha"), ("b", "zzz qqq"))], "document_id long, field_path string, claim string")
+    got = {(r.document_id, r.field_path): r for r in P.placed_outcomes(docs, G.ground(docs, claims)).collect()}
+    assert len(got) == 8
+    hit = got[2, "a"]
+    assert (hit.span_start, [a.span_start for a in hit.alternatives], hit.pages) == (6, [23, 40, 57, 74, 91], [0])
+    assert [(g.page_index, g.box.x0) for g in hit.geometry] == [(0, 36), (0, 66), (0, 102)]
+    assert got[3, "a"].geometry is None and got[3, "a"].pages == [0]
+    assert {got[d, "a"].status for d in (4, 9)} | {got[d, "b"].status for d in (2, 3, 4, 9)} == {"ungrounded"}
+    assert got[9, "a"].alternatives == [] and got[9, "a"].geometry is None and got[9, "a"].pages is None
+
+
+def test_repeated_and_many_claims_of_one_document(spark, monkeypatch):
+    monkeypatch.setattr(G, "PACK", 7)
+    docs = spark.createDataFrame([(1, " ".join(f"word{i:04d}" for i in range(500)))], "document_id int, text string")
+    rows = [(1, f"f{i}", f"word{i:04d}") for i in range(300)] + [(1, "f1", "word0001")] * 3 + [(None, "n", "word0001"), (1, None, "word0002")]
+    got = G.ground(docs, spark.createDataFrame(rows, "document_id int, field_path string, claim string")).collect()
+    assert len(got) == 305
+    assert {r.span_start for r in got if r.field_path == "f1"} == {9} and sum(r.field_path == "f1" for r in got) == 4
+    assert [r.status for r in got if r.document_id is None] == ["ungrounded"]
+
+
+def slow_view(source):
+    """The view, character by character."""
+    out, parts, size, i = [], [], 0, 0
+    while i < len(source):
+        c, after, text = source[i], i + 1, None
+        if c == "\xad":
+            text = ""
+        if text is None and c == "-" and i:
+            while after < len(source) and source[after].isspace():
+                after += 1
+            if "\n" in source[i + 1 : after] and after < len(source):
+                text = "" if source[i - 1].islower() and source[after].islower() else "-"
+            else:
+                after = i + 1
+        if text is None and c.isspace():
+            while after < len(source) and source[after].isspace():
+                after += 1
+            text = " "
+        if text is None:
+            while after < len(source) and unicodedata.combining(source[after]):
+                after += 1
+            text = unicodedata.normalize("NFKC", source[i:after])
+        if text != source[i:after]:
+            parts.append((size, len(text), i, after - i))
+        out.append(text)
+        size += len(text)
+        i = after
+    return "".join(out), parts
+
+
+def test_views_are_those_of_single_steps():
+    dice = random.Random(4)
+    for _ in range(4000):
+        source = "".join(dice.choice("aB-- \n\t\xad\u0301\u0327é\ufb03漢\u1100\u1161\u00a0½e😀") for _ in range(dice.randint(0, 14)))
+        assert G.folded(source) == slow_view(source), repr(source)

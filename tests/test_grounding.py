@@ -74,9 +74,3 @@ def test_entries_take_places_of_their_own(spark):
     df = spark.createDataFrame(rows, "document_id int, slot string, entry int, span_start int, span_end int, score double")
     got = sorted((r.entry, r.span_start) for r in G.exclusive(df).collect())
     assert got[:2] == [(0, 5), (1, 9)] and got[2] == (2, None)
-
-
-def test_block_hits_cover_overlaps(spark):
-    df = spark.createDataFrame([("aaaa" * 5, "aaaaaaaaaaaaaaaaaaab")], "t string, c string")
-    starts = df.select(G.candidate_starts(F.col("t"), F.col("c"), F.lit(2)).alias("s")).first().s
-    assert starts == sorted(set(starts)) and starts[0] == 0
