@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.catalogue import query
+from folio.functions import pattern
 from folio.operators import routing as R
 from folio.operators import validation as V
 from folio.plans.tables import table
@@ -100,6 +101,30 @@ CONSTRAINTS = (
 )
 
 
+#: Patterns that both engines read alike, on whole texts: some that a matcher with backtracking might never finish.
+PATTERNS = (
+    ("sentences", "documents", "doc_id", "text", r"([A-Z][^.\n]*\.[ \n]*)+"),
+    ("words", "documents", "doc_id", "text", r"(([a-zA-Z]+[,.]?)+[ \n]?)+"),
+    ("priority", "orders", "o_orderkey", "o_orderpriority", r"^([1-3]-[A-Z]+|4-NOT (SPECIFIED|KNOWN)|[5-9]-L.{2})$"),
+    ("property", "events", "event_id", "props", r'\{"k": ([0-4][0-9]{0,2}|[5-9]+)\}'),
+    ("turn", "conversations", "conv_id", "text", r"(.|\n){0,200}[^a-z]"),
+)
+
+
+@query("pattern_matches", " UNION ALL ".join(f"SELECT '{name}' AS pattern, {k}::BIGINT AS row_key, regexp_full_match({f}, '{p}') AS fits FROM {t} WHERE {f} IS NOT NULL" for name, t, k, f, p in PATTERNS))
+def pattern_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared patterns held against whole columns."""
+
+    def one(name, source, row_key, field, declared):
+        rows = table(spark, sf_dir, source).where(F.col(field).isNotNull())
+        return rows.select(F.lit(name).alias("pattern"), F.col(row_key).cast("long").alias("row_key"), pattern.matches(F.col(field), declared).alias("fits"))
+
+    out = one(*PATTERNS[0])
+    for p in PATTERNS[1:]:
+        out = out.unionByName(one(*p))
+    return out
+
+
 @query("constraints_all", " UNION ALL ".join(f"SELECT '{key}' AS key, {k}::BIGINT AS row_key, CASE WHEN {test} THEN 'passed' ELSE 'failed' END AS outcome, CASE WHEN NOT ({test}) THEN '{key}' END AS reason FROM {t} WHERE {f} IS NOT NULL" for key, t, k, f, _, test in CONSTRAINTS))
 def constraints_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight constraints, each over a whole column."""
