@@ -129,9 +129,13 @@ def deleted(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def left(text: Column) -> Column:
-    """The lines outside the runs in `gone`."""
-    inside = lambda i: F.exists("gone", lambda g: (g["from_line"] <= i) & (i <= g["to_line"]))
-    return F.when(F.col("gone").isNull(), F.split(text, "\n")).otherwise(F.filter(F.split(text, "\n"), lambda x, i: ~inside(i)))
+    """The lines outside the runs in `gone`: runs and gaps are spread to one flag a line, so lines and runs are walked once."""
+    lines_ = F.split(text, "\n")
+    flags = lambda keep, n: F.array_repeat(F.lit(keep), n.cast("int"))
+    behind = lambda i: F.coalesce(F.get("gone", i - 1)["to_line"] + 1, F.lit(0))
+    spread = F.flatten(F.transform("gone", lambda g, i: F.concat(flags(True, g["from_line"] - behind(i)), flags(False, g["to_line"] - g["from_line"] + 1))))
+    kept = F.concat(spread, flags(True, F.size(lines_) - behind(F.size("gone"))))
+    return F.when(F.col("gone").isNull(), lines_).otherwise(F.array_compact(F.zip_with(lines_, kept, lambda x, keep: F.when(keep, x))))
 
 
 def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
