@@ -102,17 +102,15 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
     return rows.join(many, "h").groupBy("_k").agg(F.collect_set("h").alias("hs"), F.collect_set(F.when(F.col("_many"), F.col("h"))).alias("many"))
 
 
-def hot_anchors(docs: DataFrame, anchored: DataFrame) -> np.ndarray:
-    """The anchors with more than SHARD distinct segments, sorted.
+def hot_anchors(docs: DataFrame, anchored: DataFrame) -> DataFrame:
+    """(_k, hot): for each document its anchors with more than SHARD distinct segments.
 
-    A segment holds its anchor's words, so only anchors that stand more than SHARD times are asked. Both lists are bounded
-    by the words of the corpus divided by SHARD.
+    A segment holds its anchor's words, so only anchors that stand more than SHARD times are asked. Anchors stay rows and are joined.
     """
-    asked = np.array([r.h for r in anchored.select(F.explode("many").alias("h")).distinct().collect()], np.int64)
-    if not len(asked):
-        return asked
-    found = segments(docs.join(anchored.where(F.size("many") > 0).select("_k", F.col("many").alias("hs")), "_k"), False).select("h", "c").distinct()
-    return np.sort(np.array([r.h for r in found.groupBy("h").count().where(F.col("count") > SHARD).select("h").collect()], np.int64))
+    asked = anchored.where(F.size("many") > 0).select("_k", "many")
+    found = segments(docs.join(asked.select("_k", F.col("many").alias("hs")), "_k"), False).select("h", "c").distinct()
+    hot = found.groupBy("h").count().where(F.col("count") > SHARD).select("h")
+    return asked.select("_k", F.explode("many").alias("h")).join(hot, "h").groupBy("_k").agg(F.collect_list("h").alias("hot"))
 
 
 PLACE = ["_id", "_th", "start"]
@@ -150,22 +148,21 @@ def segments(docs: DataFrame, content: bool) -> DataFrame:
     return each_batch(docs.select("_id", "_th", "text", "hs"), step, "h long, c long, n int, _id long, _th long, start int" + ", content binary" * content)
 
 
-def hot_windows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """The windows with a hot anchor, as segments of one window: h is a second hash of the window's words."""
-    listed = docs.sparkSession.sparkContext.broadcast(hot)
+def hot_windows(docs: DataFrame) -> DataFrame:
+    """The windows with an anchor that is hot in their document, as segments of one window: h is a second hash of the window's words."""
 
     def step(batch: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple] = []
-        for key, th, text in zip(batch["_id"], batch["_th"], batch["text"], strict=True):
+        for key, th, text, hot in zip(batch["_id"], batch["_th"], batch["text"], batch["hot"], strict=True):
             words = split(text)
             if len(words) < WINDOW:
                 continue
-            for at in np.flatnonzero(np.isin(anchors(grams(words)).view(np.int64), listed.value)).tolist():
+            for at in np.flatnonzero(np.isin(anchors(grams(words)).view(np.int64), np.asarray(hot, np.int64))).tolist():
                 joined = b" ".join(words[at : at + WINDOW])
                 rows.append((xxhash.xxh64_intdigest(joined, 1) - (1 << 63), xxhash.xxh64_intdigest(joined) - (1 << 63), 1, key, th, at))
         return pd.DataFrame(rows, columns=["h", "c", "n", *PLACE])
 
-    return each_batch(docs.select("_id", "_th", "text"), step, "h long, c long, n int, _id long, _th long, start int")
+    return each_batch(docs.select("_id", "_th", "text", "hot"), step, "h long, c long, n int, _id long, _th long, start int")
 
 
 class WaveletMatrix:
@@ -234,7 +231,7 @@ def search(shard: pd.DataFrame) -> pd.DataFrame:
     """Each distinct segment of a shard: h, c, its first copy's place, and that copy's windows that start earlier in another
     segment as runs (at, many).
     """
-    shard = shard.sort_values(PLACE).drop_duplicates(["h", "c"]).reset_index(drop=True)
+    shard = shard.sort_values([*PLACE, "h", "c"]).reset_index(drop=True)
     parts = [bytes(x).split() for x in shard["content"]]
     sizes = np.array([len(p) for p in parts], np.int64)
     codes, names = pd.factorize(np.array([w for p in parts for w in p], object))
@@ -276,20 +273,20 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shards = max(1, -(-total // SHARD))
     # Dealt by _k once; the joins below and the last one read the same exchange.
     dealt = docs.repartition("_k")
-    hot = hot_anchors(docs, anchored)
-    if len(hot):
-        listed = F.broadcast(docs.sparkSession.createDataFrame([(int(h),) for h in hot], "_hot long"))
-        held = anchored.where(F.size("many") > 0).select("_k", F.explode("many").alias("_hot")).join(listed, "_hot").groupBy("_k").agg(F.collect_list("_hot").alias("_hot"))
-        held = checkpoint(held)
-        holders = dealt.join(held.select("_k"), "_k")
-        anchored = anchored.join(held, "_k", "left").select("_k", F.when(F.col("_hot").isNull(), F.col("hs")).otherwise(F.array_except("hs", "_hot")).alias("hs"))
+    hot = checkpoint(hot_anchors(dealt, anchored))
+    some = not hot.isEmpty()
+    if some:
+        holders = dealt.join(hot, "_k")
+        anchored = anchored.join(hot, "_k", "left").select("_k", F.when(F.col("hot").isNull(), F.col("hs")).otherwise(F.array_except("hs", "hot")).alias("hs"))
     with_anchors = dealt.join(anchored.select("_k", "hs"), "_k")
-    shard = F.pmod("h", F.lit(shards)).alias("shard")
-    heads = segments(with_anchors, True).groupBy(shard).applyInPandas(lambda pdf: search(pdf), "h long, c long, _id long, _th long, start int, runs array<struct<at:int,many:int>>")
     place = F.struct(*PLACE)
+    # Dealt by shard once. Equal segments of many batches become one row there before a shard is gathered.
+    copies = segments(with_anchors, True).withColumn("shard", F.pmod("h", F.lit(shards))).repartition("shard")
+    once = copies.groupBy("shard", "h", "c").agg(F.min(F.struct(*PLACE, "content")).alias("_s")).select("shard", "h", "c", "_s.*")
+    heads = once.groupBy("shard").applyInPandas(lambda pdf: search(pdf), "h long, c long, _id long, _th long, start int, runs array<struct<at:int,many:int>>")
     heads, rows = heads.select("h", "c", place.alias("_first"), "runs"), segments(with_anchors, False)
-    if len(hot):
-        windows = hot_windows(holders, hot)
+    if some:
+        windows = hot_windows(holders)
         firsts = windows.groupBy("h", "c").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
         heads = heads.unionByName(firsts.select("h", "c", "_first", F.array().cast("array<struct<at:int,many:int>>").alias("runs")))
         rows = rows.unionByName(windows)
