@@ -14,7 +14,8 @@ time, so a task's work is bounded and only crowded lists are copied.
 Cases: a vector that is missing, empty, zero or that holds a missing or non-finite number takes no part, nor does one
 without vec_id; vectors are compared with those of their size (another has no cosine with them): the commonest size (of
 equal counts the least) has the centroids, any other size is one list, scanned whole; rows that agree in vec_id and
-vector are one row; an empty table gives an empty result; with fewer than K candidates all found are returned; other
+vector are one row; a vec_id with several vectors is one candidate, as near as its nearest vector is, and one query, as near to
+a candidate as its nearest vector is; an empty table gives an empty result; with fewer than K candidates all found are returned; other
 columns are ignored.
 """
 
@@ -184,10 +185,18 @@ def scan_list(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         q = np.frombuffer(b"".join(asked["x"]), float).reshape(len(asked), -1)
         ids = list(rows["ids"])
         for query_id, query, turned_query in zip(asked["query_id"], q, unit(q) @ turn, strict=True):
-            # One more than K, as the nearest may be the query itself.
-            near = survivors(blocks, turned_query, K + 1)
-            scored = ((-s, int(v)) for i, s in zip(near, cosine(x[near], query), strict=True) for v in ids[i] if v != query_id)
-            out += [(query_id, v, -s) for s, v in sorted(scored)[:K]]
+            # One more than K, as the nearest may be the query itself; more where several vectors have one vec_id.
+            k, scored = K + 1, {}
+            while True:
+                near = survivors(blocks, turned_query, k)
+                for i, s in zip(near, cosine(x[near], query), strict=True):
+                    for v in ids[i]:
+                        if v != query_id:
+                            scored[int(v)] = max(s, scored.get(int(v), s))
+                if len(scored) >= K or k >= len(x):
+                    break
+                k *= 2
+            out += [(query_id, v, s) for v, s in sorted(scored.items(), key=lambda e: (-e[1], e[0]))[:K]]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 
@@ -214,4 +223,5 @@ def search(embeddings: DataFrame, every: int = EVERY) -> DataFrame:
     keys = ["list", "chunk", "part"]
     found = own.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(scan_list, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= K).select("query_id", "rank", "vec_id", "score")
