@@ -73,44 +73,49 @@ def anchors(g: np.ndarray) -> np.ndarray:
     return g
 
 
+def cuts_of(a: np.ndarray) -> np.ndarray:
+    """Where the segments begin: at each change of the windows' anchor, and after SEGMENT windows of one."""
+    starts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+    into = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
+    return np.flatnonzero(into % SEGMENT == 0)
+
+
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(h, _k, n): each document's distinct anchors, n is how often the anchor's words stand there."""
+    """(h, s, _k, n): each document's anchors with a hash of each distinct segment; n, on one row an anchor, is how often its words stand there."""
 
     def step(batch: pd.DataFrame) -> pd.DataFrame:
-        hs, ids, ns = [], [], []
+        hs, ss, ids, ns = [], [], [], []
         for key, text in zip(batch["_k"], batch["text"], strict=True):
             words = split(text)
             if len(words) >= WINDOW:
                 g = grams(words)
-                own = np.unique(anchors(g))
+                a = anchors(g)
+                low = cuts_of(a)
+                # The sequences of a segment's words, from its first to its last window's last.
+                last = np.append(low[1:], len(a)) + WINDOW - GRAM
+                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(g)))
+                mixed = ((sums[last] - sums[low]) * MIX ^ g[low]) * MIX ^ g[last - 1]
+                pairs = np.unique(np.stack([a[low], mixed >> np.uint64(33)], 1), axis=0)
+                own = pairs[:, 0]
                 all_, counts = np.unique(g, return_counts=True)
+                first = np.concatenate(([True], own[1:] != own[:-1]))
                 hs.append(own)
-                ns.append(counts[np.searchsorted(all_, own)])
+                ss.append(pairs[:, 1])
+                ns.append(np.where(first, counts[np.searchsorted(all_, own)], 0))
                 ids.append(np.full(len(own), key))
         flat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        return pd.DataFrame({"h": flat(hs, np.uint64).view(np.int64), "_k": flat(ids, np.int64), "n": flat(ns, np.int32)})
+        return pd.DataFrame({"h": flat(hs, np.uint64).view(np.int64), "s": flat(ss, np.int32), "_k": flat(ids, np.int64), "n": flat(ns, np.int32)})
 
-    return each_batch(docs.select("_k", "text"), step, "h long, _k long, n int")
+    return each_batch(docs.select("_k", "text"), step, "h long, s int, _k long, n int")
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """(_k, hs, many): the anchors of each document that stand more than once in the corpus, and those of them that stand more than SHARD times."""
-    # Dealt once, by anchor, for the count and the semi-join: a document has an anchor once, so no anchor has more rows
-    # than there are documents.
+    """(_k, hs, hot): the anchors of each document that stand more than once in the corpus; those with more than SHARD distinct segments apart."""
+    # Dealt once, by anchor, for both counts and the join. Anchors stay rows: no list of them is gathered.
     rows = anchor_rows(docs).repartition("h")
-    many = rows.groupBy("h").agg(F.sum("n").alias("_n")).where("_n > 1").select("h", (F.col("_n") > SHARD).alias("_many"))
-    return rows.join(many, "h").groupBy("_k").agg(F.collect_set("h").alias("hs"), F.collect_set(F.when(F.col("_many"), F.col("h"))).alias("many"))
-
-
-def hot_anchors(docs: DataFrame, anchored: DataFrame) -> DataFrame:
-    """(_k, hot): for each document its anchors with more than SHARD distinct segments.
-
-    A segment holds its anchor's words, so only anchors that stand more than SHARD times are asked. Anchors stay rows and are joined.
-    """
-    asked = anchored.where(F.size("many") > 0).select("_k", "many")
-    found = segments(docs.join(asked.select("_k", F.col("many").alias("hs")), "_k"), False).select("h", "c").distinct()
-    hot = found.groupBy("h").count().where(F.col("count") > SHARD).select("h")
-    return asked.select("_k", F.explode("many").alias("h")).join(hot, "h").groupBy("_k").agg(F.collect_list("h").alias("hot"))
+    counts = rows.groupBy("h", "s").agg(F.sum("n").alias("n")).groupBy("h").agg(F.sum("n").alias("_n"), F.count("*").alias("_s"))
+    many = counts.where("_n > 1").select("h", (F.col("_s") > SHARD).alias("_hot"))
+    return rows.join(many, "h").groupBy("_k").agg(F.collect_set(F.when(~F.col("_hot"), F.col("h"))).alias("hs"), F.collect_set(F.when(F.col("_hot"), F.col("h"))).alias("hot"))
 
 
 PLACE = ["_id", "_th", "start"]
@@ -134,14 +139,12 @@ def segments(docs: DataFrame, content: bool) -> DataFrame:
             if len(words) < WINDOW:
                 continue
             a = anchors(grams(words)).view(np.int64)
-            edges = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-            ends = np.append(edges[1:], len(a))
-            own = np.isin(a[edges], np.asarray(hs, np.int64))
-            for low, high, h in zip(edges[own].tolist(), ends[own].tolist(), a[edges[own]].tolist(), strict=True):
-                for at in range(low, high, SEGMENT):
-                    n = min(SEGMENT, high - at)
-                    joined = b" ".join(words[at : at + n + WINDOW - 1])
-                    rows.append((h, xxhash.xxh64_intdigest(joined) - (1 << 63), n, key, th, at, *[joined] * content))
+            low = cuts_of(a)
+            sizes = np.diff(np.append(low, len(a)))
+            own = np.isin(a[low], np.asarray(hs, np.int64))
+            for at, n, h in zip(low[own].tolist(), sizes[own].tolist(), a[low[own]].tolist(), strict=True):
+                joined = b" ".join(words[at : at + n + WINDOW - 1])
+                rows.append((h, xxhash.xxh64_intdigest(joined) - (1 << 63), n, key, th, at, *[joined] * content))
         out = pd.DataFrame(rows, columns=["h", "c", "n", *PLACE, *["content"] * content])
         return out.sort_values(PLACE).drop_duplicates(["h", "c"]) if content else out
 
@@ -273,11 +276,8 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shards = max(1, -(-total // SHARD))
     # Dealt by _k once; the joins below and the last one read the same exchange.
     dealt = docs.repartition("_k")
-    hot = checkpoint(hot_anchors(dealt, anchored))
+    hot = anchored.where(F.size("hot") > 0).select("_k", "hot")
     some = not hot.isEmpty()
-    if some:
-        holders = dealt.join(hot, "_k")
-        anchored = anchored.join(hot, "_k", "left").select("_k", F.when(F.col("hot").isNull(), F.col("hs")).otherwise(F.array_except("hs", "hot")).alias("hs"))
     with_anchors = dealt.join(anchored.select("_k", "hs"), "_k")
     place = F.struct(*PLACE)
     # Dealt by shard once. Equal segments of many batches become one row there before a shard is gathered.
@@ -286,7 +286,7 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = once.groupBy("shard").applyInPandas(lambda pdf: search(pdf), "h long, c long, _id long, _th long, start int, runs array<struct<at:int,many:int>>")
     heads, rows = heads.select("h", "c", place.alias("_first"), "runs"), segments(with_anchors, False)
     if some:
-        windows = hot_windows(holders)
+        windows = hot_windows(dealt.join(hot, "_k"))
         firsts = windows.groupBy("h", "c").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
         heads = heads.unionByName(firsts.select("h", "c", "_first", F.array().cast("array<struct<at:int,many:int>>").alias("runs")))
         rows = rows.unionByName(windows)
