@@ -13,6 +13,7 @@ import math
 import unicodedata
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,7 +33,10 @@ def composed(value: Any) -> Any:
     if isinstance(value, dict):
         if not all(isinstance(k, str) for k in value):
             raise ValueError("a key isn't text")
-        return {composed(k): composed(v) for k, v in value.items()}
+        out = {composed(k): composed(v) for k, v in value.items()}
+        if len(out) < len(value):
+            raise ValueError("two keys are one when composed")
+        return out
     if isinstance(value, (list, tuple)):
         return [composed(v) for v in value]
     raise ValueError(f"no JSON form: {type(value).__name__}")
@@ -51,16 +55,28 @@ def options_hash(options: dict[str, Any]) -> str:
 
 
 def prompt_hash(prompt: str) -> str:
-    return "sha256:" + hashlib.sha256(prompt.encode()).hexdigest()
+    return identity_of({"prompt": prompt})
+
+
+def prompt_hash_of(prompt: Column) -> Column:
+    """The same on rows; composition has no built-in function."""
+    def composed_texts(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+    compose = F.pandas_udf(composed_texts, "string")
+    return content_id(canonical(prompt=F.when(prompt.rlike(r"\A[\x00-\x7F]*\z"), prompt).otherwise(compose(prompt))))
 
 
 def schema_hash(schema: dict[str, Any]) -> str:
-    """Fields by name at every depth and rules by id, so that their order doesn't count; without rules there is no such key."""
+    """Fields by name at every depth and rules by id, so that their order doesn't count; without rules there is no such key.
+
+    Name and version are left out: a new version that changes nothing has the same hash.
+    """
 
     def by_name(fields: list[dict[str, Any]]) -> list[dict[str, Any]]:
         return sorted(({**f, "fields": by_name(f["fields"])} if f.get("fields") else f for f in fields), key=lambda f: f["name"])
 
-    out = {"name": schema["name"], "version": schema["version"], "fields": by_name(schema["fields"])}
+    out = {"fields": by_name(schema["fields"])}
     if schema.get("rules"):
         out["rules"] = sorted(schema["rules"], key=lambda r: r["id"])
     return identity_of(out)

@@ -94,11 +94,26 @@ def unreferenced(removed: DataFrame, kept: DataFrame, artifact: str = "artifact_
     return removed.select(artifact).distinct().join(kept.select(artifact), artifact, "left_anti")
 
 
-def sweep(runs: DataFrame, corrections: DataFrame, now, limit: int) -> DataFrame:
-    """Ended runs past their time, oldest first, without those that an unexpired correction pins."""
+def sweep(runs: DataFrame, corrections: DataFrame, now, limit: int | None = None, after: tuple | None = None) -> DataFrame:
+    """Ended runs past their time without those that an unexpired correction pins: all, or the `limit` oldest behind `after` (expires_at, run_id)."""
     pinned = corrections.where(F.col("expires_at") > F.lit(now)).select("run_id").distinct()
     due = runs.where(F.col("status").isin(*TERMINAL) & (F.col("expires_at") <= F.lit(now))).join(pinned, "run_id", "left_anti")
-    return due.orderBy("expires_at", "run_id").limit(limit)
+    if after is not None:
+        at, run_id = (F.lit(x) for x in after)
+        due = due.where((F.col("expires_at") > at) | ((F.col("expires_at") == at) & (F.col("run_id") > run_id)))
+    return due if limit is None else due.orderBy("expires_at", "run_id").limit(limit)
+
+
+def sweeps(runs: DataFrame, corrections: DataFrame, now, limit: int):
+    """Batches of `limit` runs to remove, oldest first, until none is due; only each batch's last key comes to the driver."""
+    after = None
+    while True:
+        batch = sweep(runs, corrections, now, limit, after)
+        last = batch.agg(F.max(F.struct("expires_at", "run_id")).alias("_l")).first()[0]
+        if last is None:
+            return
+        yield batch
+        after = tuple(last)
 
 
 def retry_delay(attempts: Column, base: Column | int) -> Column:

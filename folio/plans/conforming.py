@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.catalogue import query
+from folio.functions.canonical import prompt_hash_of
 from folio.functions.text import estimated_tokens
 from folio.operators import conforming as C
 from folio.plans.tables import table
@@ -104,9 +105,27 @@ def registries(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return files, spark.createDataFrame([("order@2", "c2", True), ("note@1", "x", False), ("memo@3", "m3", True)], "schema_identity string, prompt string, valid boolean")
 
 
-@query("merged_registry", f"WITH {MERGED} SELECT * FROM merged")
+#: Schemas of the documents: one a language and version, declared in files and on the console.
+REGISTRIES = """
+files AS (SELECT lang || '@' || doc_id % 4 AS schema_identity, 'f' || min(doc_id) AS prompt FROM documents WHERE lang IS NOT NULL GROUP BY 1),
+console AS (SELECT lang || '@' || doc_id % 7 AS schema_identity, 'c' || max(doc_id) AS prompt, min(doc_id) % 3 <> 0 AS valid FROM documents WHERE lang IS NOT NULL AND doc_id % 5 = 0 GROUP BY 1)"""
+TABLE_MERGED = f"{REGISTRIES},{MERGED[len(REGISTRY) + 1:]}"
+
+
+def identity(versions: int) -> Column:
+    return F.concat("lang", F.lit("@"), (F.col("doc_id") % versions).cast("string"))
+
+
+def table_registries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "documents").where("lang IS NOT NULL")
+    files = rows.groupBy(identity(4).alias("schema_identity")).agg(F.concat(F.lit("f"), F.min("doc_id").cast("string")).alias("prompt"))
+    mine = rows.where("doc_id % 5 = 0").groupBy(identity(7).alias("schema_identity"))
+    return files, mine.agg(F.concat(F.lit("c"), F.max("doc_id").cast("string")).alias("prompt"), (F.min("doc_id") % 3 != 0).alias("valid"))
+
+
+@query("merged_registry", f"WITH {TABLE_MERGED} SELECT * FROM merged")
 def merged_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.merged_registry(*registries(spark))
+    return C.merged_registry(*table_registries(spark, sf_dir))
 
 
 @query("schema_resolution", f"""
@@ -120,9 +139,17 @@ def schema_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.resolved(asked, C.merged_registry(*registries(spark)))
 
 
-@query("next_versions", "SELECT s[1] AS name, (max(s[2]::INT) + 1)::INT AS next_version FROM (VALUES ('order@2'), ('note@1'), ('memo@3')) AS v(i), (SELECT 1) AS one(x), LATERAL (SELECT string_split(i, '@') AS s) GROUP BY s[1]")
+@query("next_versions", f"WITH {REGISTRIES} SELECT string_split(schema_identity, '@')[1] AS name, (max(string_split(schema_identity, '@')[2]::INT) + 1)::INT AS next_version FROM console GROUP BY 1")
 def next_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.next_version(registries(spark)[1])
+    return C.next_version(table_registries(spark, sf_dir)[1])
+
+
+@query("prompt_hashes", """
+SELECT doc_id, 'sha256:' || sha256('{"prompt":' || to_json(nfc_normalize(coalesce(text, ''))) || '}') AS prompt_hash FROM documents
+""")
+def prompt_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text as a prompt: the hash of its canonical form."""
+    return table(spark, sf_dir, "documents").select("doc_id", prompt_hash_of(F.coalesce("text", F.lit(""))).alias("prompt_hash"))
 
 
 @query("model_requests", """

@@ -11,6 +11,7 @@ from folio.catalogue import query
 from folio.operators import console as C
 from folio.operators import runs as R
 from folio.operators.grounding import viewed
+from folio.plans.conforming import TABLE_MERGED, identity, merged_registry
 from folio.plans.declared import SCHEMA
 from folio.plans.documents import docs
 from folio.plans.queue import CORRECTED, corrections
@@ -44,10 +45,16 @@ def next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.next_page(R.page(runs(spark, sf_dir), 25), 25)
 
 
-@query("schema_listing", "SELECT * FROM (VALUES ('order@1', 'file', true, 12::BIGINT, 5::BIGINT), ('memo@3', 'console', false, NULL, NULL)) AS v(schema_identity, source, shadowed, fields, required)")
+@query("schema_listing", f"""
+WITH {TABLE_MERGED}, field AS (SELECT lang || '@' || doc_id % 4 AS schema_identity, source, bool_or(doc_id % 3 = 0) AS required FROM documents WHERE lang IS NOT NULL GROUP BY ALL)
+SELECT schema_identity, m.source, shadowed, count(f.schema_identity) AS fields, count(*) FILTER (WHERE required) AS required FROM merged m JOIN field f USING (schema_identity) GROUP BY ALL
+UNION ALL SELECT schema_identity, source, shadowed, NULL, NULL FROM merged WHERE schema_identity NOT IN (SELECT schema_identity FROM field)
+""")
 def schema_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    registry = spark.createDataFrame([("order@1", "file", True), ("memo@3", "console", False)], "schema_identity string, source string, shadowed boolean")
-    return C.schema_listing(field_rows(spark, [SCHEMA]), registry)
+    """Registered schemas with the fields declared for them: each language and version is a schema, its sources are fields."""
+    rows = table(spark, sf_dir, "documents").where("lang IS NOT NULL")
+    fields = rows.groupBy(identity(4).alias("schema_identity"), F.col("source").alias("path")).agg(F.bool_or(F.col("doc_id") % 3 == 0).alias("required"))
+    return C.schema_listing(fields, merged_registry(spark, sf_dir).drop("prompt"))
 
 
 @query("field_lookup", """
@@ -113,7 +120,7 @@ def run_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.transitions(runs(spark, sf_dir))
 
 
-@query("view_offsets", "SELECT doc_id AS document_id, true AS sound FROM documents")
+@query("view_offsets")
 def view_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text's view: are the parts that the fold changed in order and apart in both texts?"""
+    """Every text's view: are the parts that the fold changed in order and apart in both texts? Composition has no SQL form."""
     return C.offsets_sound(viewed(docs(spark, sf_dir)).select("document_id", F.col("_parts").alias("parts")))

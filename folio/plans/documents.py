@@ -188,13 +188,14 @@ def merge_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("token_at", f"""
 WITH {CONVERSATION_WORDS},
 span AS (SELECT *, s - length(word) - 1 AS a, s - 1 AS b FROM (SELECT *, sum(length(word) + 1) OVER (PARTITION BY document_id ORDER BY line, ord)::BIGINT AS s FROM word)),
-place AS (SELECT DISTINCT conv_id AS document_id, k * 37 AS place FROM conversations, unnest(range(6)) AS u(k))
+place AS (SELECT document_id, k * 37 AS place FROM (SELECT document_id, max(b) AS n FROM span GROUP BY document_id), unnest(range(n // 37 + 1)) AS u(k))
 SELECT p.document_id, p.place::BIGINT AS place, a AS span_start, b AS span_end FROM place p LEFT JOIN span s ON s.document_id = p.document_id AND a <= place AND place < b
 """)
 def token_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = conversation_words(spark, sf_dir)
-    places = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id")).distinct().select("document_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: k * 37)).alias("place"))
-    return D.token_at(D.built(words), places)
+    """The token at every 37th place of each conversation's text."""
+    spans = D.built(conversation_words(spark, sf_dir))
+    places = spans.groupBy("document_id").agg(F.max("span_end").alias("_n")).select("document_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n").cast("long"), F.lit(37).cast("long"))).alias("place"))
+    return D.token_at(spans, places)
 
 
 @query("token_budget", "SELECT doc_id, (floor(length(text) / 1.20::DOUBLE * 1.15::DOUBLE) + 1)::INT AS tokens, (floor(length(text) / 1.20::DOUBLE * 1.15::DOUBLE) + 1) > 20000 AS refused FROM documents")

@@ -109,14 +109,28 @@ def vision_refusals(rows: DataFrame) -> DataFrame:
     return parsed(rows, VISION).select("document_id", why.alias("reason")).where("reason IS NOT NULL")
 
 
+def uneven(page: Column) -> Column:
+    """Whether a page's texts, boxes and scores differ in number."""
+    n = [F.coalesce(F.size(page["prunedResult"][x]), F.lit(0)) for x in ("rec_texts", "rec_boxes", "rec_scores")]
+    return (n[0] != n[1]) | (n[0] != n[2])
+
+
+def line_refusals(rows: DataFrame) -> DataFrame:
+    """Why recognised lines are refused: document_id, reason. An answer is taken whole or not at all."""
+    r = F.col("_r.result")
+    pages = F.coalesce(F.size(r["ocrResults"]), F.lit(0))
+    why = F.when(F.coalesce(F.col("_r.errorCode"), F.lit(0)) != 0, "service").when(pages < 1, "empty_result").when(pages != F.coalesce(F.size(r["dataInfo"]["pages"]), F.lit(0)), "page_count").when(F.exists(r["ocrResults"], uneven), "uneven_page")
+    return parsed(rows, LINES).select("document_id", why.alias("reason")).where("reason IS NOT NULL")
+
+
 def line_tokens(rows: DataFrame) -> DataFrame:
-    """One token for each recognised line, and the angle by which a viewer turns the page back."""
+    """One token for each recognised line, and the angle by which a viewer turns the page back; none of a refused answer."""
+    rows = rows.join(line_refusals(rows).select("document_id"), "document_id", "left_anti")
     page = parsed(rows, LINES).select("document_id", F.posexplode(F.arrays_zip(F.col("_r.result.ocrResults").alias("o"), F.col("_r.result.dataInfo.pages").alias("s"))).alias("page_index", "_p"))
     page = page.select("document_id", "page_index", F.col("_p.o.prunedResult").alias("_o"), F.coalesce("_p.o.prunedResult.doc_preprocessor_res.angle", F.lit(0)).alias("angle"), F.col("_p.s").alias("_s"))
     turned = F.col("angle").isin(90, 270)
     page = page.withColumns({"width": F.when(turned, F.col("_s.height")).otherwise(F.col("_s.width")), "height": F.when(turned, F.col("_s.width")).otherwise(F.col("_s.height"))})
-    even = (F.size("_o.rec_texts") == F.size("_o.rec_boxes")) & (F.size("_o.rec_texts") == F.size("_o.rec_scores"))
-    line = page.where(even).select("document_id", "page_index", "angle", "width", "height", F.posexplode(F.arrays_zip("_o.rec_texts", "_o.rec_boxes", "_o.rec_scores")).alias("line", "_l"))
+    line = page.select("document_id", "page_index", "angle", "width", "height", F.posexplode(F.arrays_zip("_o.rec_texts", "_o.rec_boxes", "_o.rec_scores")).alias("line", "_l"))
     b = F.col("_l.rec_boxes")
     box = shares(b[0], b[1], b[2], b[3], F.col("width"), F.col("height"))
     return line.select("document_id", "page_index", "line", F.lit(0).alias("ord"), F.col("_l.rec_texts").alias("word"), *(c.alias(n) for n, c in box.items()), F.col("_l.rec_scores").alias("confidence"), T.quarter_turn(F.col("angle")).alias("viewer_angle"))

@@ -1,3 +1,5 @@
+import datetime as dt
+import hashlib
 import json
 
 import pytest
@@ -54,7 +56,11 @@ def test_canonical_json():
         with pytest.raises(ValueError, match="number|key|JSON"):
             canonical.canonical_json(wrong)
     other = {**SCHEMA, "fields": SCHEMA["fields"][::-1], "rules": SCHEMA["rules"][::-1]}
-    assert canonical.schema_hash(SCHEMA) == canonical.schema_hash(other) != canonical.schema_hash({**SCHEMA, "version": 2})
+    assert canonical.schema_hash(SCHEMA) == canonical.schema_hash(other) == canonical.schema_hash({**SCHEMA, "name": "x", "version": 2})
+    assert canonical.schema_hash(SCHEMA) != canonical.schema_hash({**SCHEMA, "fields": SCHEMA["fields"][1:]}) != canonical.schema_hash({**SCHEMA, "rules": []})
+    assert canonical.prompt_hash("Read ﬁt") == "sha256:" + hashlib.sha256('{"prompt":"Read ﬁt"}'.encode()).hexdigest()
+    with pytest.raises(ValueError, match="two keys"):
+        canonical.canonical_json({"\u00e9": 1, "e\u0301": 2})
     assert canonical.schema_hash({"name": "a", "version": 1, "fields": [], "rules": []}) == canonical.schema_hash({"name": "a", "version": 1, "fields": []})
     assert canonical.extraction_options_hash(model_id="m") == canonical.extraction_options_hash(model_id="m", seed=None)
     with pytest.raises(ValueError, match="unknown"):
@@ -69,3 +75,16 @@ def test_rules_can_be_chosen(spark):
     assert rows["minimum:total"].outcome == "failed" and rows["minimum:total"].actual == "3" and "minimum:number" not in rows
     with pytest.raises(ValueError, match="unknown rules"):
         declared.checked(values, documents, SCHEMA, ("other",))
+
+
+def test_sweeps_end_when_none_is_due(spark):
+    from folio.operators import runs as R
+
+    now = dt.datetime(2026, 1, 10)
+    rows = [(i, ("succeeded", "failed", "queued")[i % 3], now - dt.timedelta(hours=i % 7 - 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "run_id long, status string, expires_at timestamp")
+    pins = spark.createDataFrame([(i, now + dt.timedelta(days=1)) for i in range(0, 60, 10)], "run_id long, expires_at timestamp")
+    whole = sorted(r.run_id for r in R.sweep(df, pins, now).collect())
+    batches = [[r.run_id for r in b.collect()] for b in R.sweeps(df, pins, now, 7)]
+    assert whole and sorted(sum(batches, [])) == whole and [len(b) for b in batches[:-1]] == [7] * (len(batches) - 1)
+    assert list(R.sweeps(df.limit(0), pins, now, 7)) == []

@@ -66,13 +66,24 @@ def test_text_annotation_refusals(spark, payload, reason):
 
 def test_recognised_lines_on_a_turned_page(spark):
     page = {"prunedResult": {"rec_texts": ["one", "two"], "rec_boxes": [[10, 10, 20, 20], [0, 0, 50, 100]], "rec_scores": [0.9, 0.8], "doc_preprocessor_res": {"angle": 90}}}
-    odd = {"prunedResult": {"rec_texts": ["x"], "rec_boxes": [], "rec_scores": []}}
-    payload = {"errorCode": 0, "result": {"dataInfo": {"pages": [{"width": 100, "height": 50}, {"width": 1, "height": 1}]}, "ocrResults": [page, odd]}}
+    none = {"prunedResult": {"rec_texts": [], "rec_boxes": [], "rec_scores": []}}
+    payload = {"errorCode": 0, "result": {"dataInfo": {"pages": [{"width": 100, "height": 50}, {"width": 1, "height": 1}]}, "ocrResults": [page, none]}}
     got = ocr.line_tokens(rows(spark, payload)).orderBy("line").collect()
     assert [(r.word, r.viewer_angle) for r in got] == [("one", 270), ("two", 270)]
     assert (got[1].x1, got[1].y1) == (1.0, 1.0)
 
 
+def test_uneven_pages_are_refused_and_do_not_vanish(spark):
+    page = {"prunedResult": {"rec_texts": ["one"], "rec_boxes": [[0, 0, 1, 1]], "rec_scores": [0.9]}}
+    odd = {"prunedResult": {"rec_texts": ["x"], "rec_boxes": [], "rec_scores": [0.1]}}
+    size = {"width": 10, "height": 10}
+    answer = lambda pages, sizes, code=0: {"errorCode": code, "result": {"dataInfo": {"pages": sizes}, "ocrResults": pages}}
+    for payload, reason in [(answer([page, odd], [size, size]), "uneven_page"), (answer([page], [size, size]), "page_count"), (answer([], []), "empty_result"), (answer([page], [size], 500), "service"), ({"errorCode": 0}, "empty_result")]:
+        assert [r.reason for r in ocr.line_refusals(rows(spark, payload)).collect()] == [reason]
+        assert ocr.line_tokens(rows(spark, payload)).collect() == []
+    assert ocr.line_refusals(rows(spark, answer([page], [size]))).collect() == []
+
+
 def test_rotated_boxes(spark):
     box = F.struct(F.lit(1.0).alias("x0"), F.lit(2.0).alias("y0"), F.lit(3.0).alias("x1"), F.lit(5.0).alias("y1"))
     df = spark.range(1).select(*(T.displayed_box(box, F.lit(10.0), F.lit(20.0), F.lit(r)).alias(f"r{r}") for r in (0, 90, 180, 270, 45)))

@@ -1,6 +1,6 @@
 import datetime as dt
 
-from folio.streaming import limits, queue
+from folio.streaming import limits
 
 EVENTS = "tenant_id string, idempotency_key string, ts timestamp"
 
@@ -33,19 +33,3 @@ def test_window_counters(spark, tmp_path):
 def test_replays_are_dropped(spark, tmp_path):
     events = stream(spark, tmp_path, [("a", "k", at(0)), ("a", "k", at(1)), ("b", "k", at(1))], EVENTS)
     assert len(drained(limits.submissions(events, "1 hour"), tmp_path, "submitted", "append")) == 2
-
-
-def test_queue_state(spark, tmp_path):
-    commands = [("r", "submit", None, 0.0), ("r", "claim", "w1", 1.0), ("r", "claim", "w2", 2.0), ("r", "heartbeat", "w1", 200.0), ("r", "claim", "w2", 600.0), ("r", "finish", "w1", 601.0), ("r", "finish", "w2", 602.0), ("r", "cancel", None, 603.0), ("q", "claim", "w1", 1.0)]
-    rows = drained(queue.queue(stream(spark, tmp_path, commands, "run_id string, command string, worker_id string, at double")), tmp_path, "answered", "append")
-    got = [(r.command, r.accepted, r.status, r.attempts) for r in sorted(rows, key=lambda r: (r.run_id, r.at))]
-    assert got == [
-        ("claim", False, None, 0), ("submit", True, "queued", 0), ("claim", True, "running", 1), ("claim", False, "running", 1), ("heartbeat", True, "running", 1),
-        ("claim", True, "running", 2), ("finish", False, "running", 2), ("finish", True, "succeeded", 2), ("cancel", False, "succeeded", 2),
-    ]
-
-
-def test_attempts_run_out():
-    state = ("queued", 3, None, 0.0)
-    assert queue.applied(state, "claim", "w", 1.0, 3) == (("failed", 3, None, 0.0), False)
-    assert queue.applied(("running", 1, "w", 9.0), "release", "w", 1.0, 3)[0] == ("queued", 0, None, 0.0)
