@@ -9,6 +9,7 @@ from folio.catalogue import query
 from folio.functions.canonical import prompt_hash_of
 from folio.functions.text import estimated_tokens
 from folio.operators import conforming as C
+from folio.operators import trees as T
 from folio.plans.tables import table
 
 SCHEMA = {
@@ -82,6 +83,36 @@ def value_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.presence(C.conformed(payloads(spark, sf_dir), SCHEMA))
 
 
+TREE = """
+SELECT document_id, '{"number":{"value":' || k || ',"claimed_text":null},"status":{"value":' || CASE WHEN k % 4 = 0 THEN 'null' ELSE '"' || s || '"' END || ',"claimed_text":null},"total":{"value":"' || t
+  || '","claimed_text":null},"paid":{"value":' || (k % 2 = 0)::VARCHAR || ',"claimed_text":null},"placed":{"value":"' || d || '","claimed_text":null},"buyer":{"id":{"value":' || c || ',"claimed_text":null},"weight":{"value":'
+  || CASE WHEN k % 2 = 0 THEN '1.5' ELSE '2' END || ',"claimed_text":null}},"marks":[' || coalesce(array_to_string(list_transform(range(k % 3), lambda i: '{"rank":{"value":' || i || ',"claimed_text":null},"word":{"value":'
+  || CASE WHEN i = 0 THEN '"' || s || '"' ELSE 'null' END || ',"claimed_text":"w"}}'), ','), '') || ']}' AS tree
+FROM f WHERE k % 97 <> 0 AND k % 10 <> 0 AND k % 13 <> 0 AND k % 11 <> 0 AND k % 23 <> 0 AND k % 29 <> 0 AND k % 19 <> 0 AND k % 31 <> 0
+"""
+
+
+@query("payload_trees", f"WITH {FIELDS} {TREE}")
+def payload_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of each sound payload as a tree again."""
+    return T.rebuilt(C.conformed(payloads(spark, sf_dir), SCHEMA), SCHEMA)
+
+
+@query("retyped_values", f"""
+WITH {FIELDS}
+SELECT field_path, count(value) AS present, sum(CASE WHEN field_path = 'total' THEN value::DECIMAL(38,18) END)::DECIMAL(38,2) AS total, max(CASE WHEN field_path = 'placed' THEN value::DATE END) AS latest,
+  sum(CASE WHEN field_path IN ('number', 'buyer.id') THEN value::BIGINT END)::BIGINT AS whole, count(*) FILTER (WHERE field_path = 'paid' AND value = 'true') AS yes
+FROM field WHERE problem IS NULL GROUP BY field_path
+""")
+def retyped_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values by path in their types again: sums of decimals and numbers, the latest date, how many are true."""
+    rows = T.retyped(C.conformed(payloads(spark, sf_dir), SCHEMA).where("problem IS NULL"))
+    total = F.sum("as_decimal").cast("decimal(38,2)")
+    ids = F.col("field_path").isin("number", "buyer.id")
+    sums = F.count("value").alias("present"), total.alias("total"), F.max("as_date").alias("latest"), F.sum(F.when(ids, F.col("as_int"))).alias("whole"), F.count_if("as_boolean").alias("yes")
+    return rows.groupBy("field_path").agg(*sums)
+
+
 @query("discarded_keys", "SELECT o_orderkey AS document_id, 'remark' AS key FROM orders WHERE o_orderkey % 37 = 0 AND o_orderkey % 97 <> 0")
 def discarded_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.discarded(payloads(spark, sf_dir), SCHEMA)

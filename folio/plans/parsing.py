@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.catalogue import query
 from folio.functions.text import content_id
 from folio.operators import documents as D
 from folio.operators import parsing as P
-from folio.plans.documents import PAGE, TILES, docs
+from folio.operators import whole as W
+from folio.plans.documents import CONVERSATION_WORDS, PAGE, TILES, docs
 from folio.plans.tables import table
 
 PARSERS = (("native", ["application/pdf"], ["text", "tables"], True, 1, "2"), ("cloud", ["application/pdf", "image/png"], ["text", "tables", "recognition"], True, 2, "5"), ("local", ["image/png", "image/jpeg"], ["text", "recognition"], False, 3, "1"))
@@ -121,6 +122,72 @@ def merged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.merged_pages(pages, D.merged(turns))
 
 
+WHOLE = f"""{CONVERSATION_WORDS},
+turn AS (
+  SELECT conv_id, turn, text, conv_id * 1000 + turn AS id, coalesce(sum(length(text)) OVER before, 0)::BIGINT AS source_at, coalesce(sum(CASE WHEN turn % 2 = 0 THEN length(text) END) OVER before, 0)::BIGINT AS merged_at
+  FROM conversations WINDOW before AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+size AS (SELECT conv_id, sum(length(text))::BIGINT AS n FROM turn WHERE turn % 2 = 0 GROUP BY conv_id),
+piece AS (SELECT conv_id, turn, i, string_split(text, ' ')[i] AS word, length(array_to_string(string_split(text, ' ')[1:i - 1], ' ')) + CASE WHEN i > 1 THEN 1 ELSE 0 END AS a FROM turn, unnest(range(1, len(string_split(text, ' ')) + 1)) AS u(i))"""
+
+
+def turn_documents(spark: SparkSession, sf_dir: str) -> W.Whole:
+    """Every turn as a document: its words are tokens, itself a block, every third a table with its first word as a cell; its source is the conversation."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", (F.col("conv_id") * 1000 + F.col("turn")).alias("document_id"))
+    size, zero = F.length("text").cast("long"), F.lit(0).cast("long")
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    origin = rows.withColumn("origin_start", F.coalesce(F.sum(size).over(before), zero)).select("document_id", F.lit(0).alias("piece"), "origin_start", (F.col("origin_start") + size).alias("origin_end"))
+    words = rows.select("document_id", F.posexplode(F.split("text", " ")).alias("ord", "word"))
+    upto = Window.partitionBy("document_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    words = words.withColumn("span_end", F.sum(F.length("word") + 1).over(upto) - 1).withColumn("span_start", F.col("span_end") - F.length("word"))
+    whole = rows.select("document_id", F.lit("b").alias("block"), zero.alias("span_start"), size.alias("span_end"))
+    tables = rows.where("turn % 3 = 0").select("document_id", F.lit("t").alias("table"), zero.alias("span_start"), size.alias("span_end"))
+    first = F.length(F.substring_index("text", " ", 1)).cast("long")
+    cells = rows.where("turn % 3 = 0").select("document_id", F.lit("t").alias("table"), F.lit(0).alias("row"), F.lit(0).alias("col"), zero.alias("span_start"), first.alias("span_end"))
+    pages = rows.select("document_id", F.floor(F.col("turn") / 4).alias("page_index"), zero.alias("span_start"), size.alias("span_end"))
+    return W.Whole(rows.select("document_id", "text"), pages, words, whole, tables, cells, origin)
+
+
+def slice_of_merge(spark: SparkSession, sf_dir: str) -> W.Whole:
+    """Each conversation's even turns joined, and of that all but ten characters at either end."""
+    turns = turn_documents(spark, sf_dir)
+    key = F.floor(F.col("document_id") / 1000)
+    parts = turns.texts.where("document_id % 1000 % 2 = 0").select(key.alias("merged_id"), (F.col("document_id") % 1000).alias("part"), "document_id")
+    sources = turns.texts.select("document_id", key.alias("blob_id"), F.lit("p").alias("parser_id"), F.lit("1").alias("parser_version"))
+    joined = W.merged(turns, parts, sources)
+    cuts = joined.texts.where(F.length("text") > 20).select("document_id", (-F.col("document_id") - 1).alias("slice_id"), F.lit(10).cast("long").alias("cut_start"), (F.length("text") - 10).cast("long").alias("cut_end"))
+    return W.sliced(joined, cuts)
+
+
+@query("slice_of_merge", f"""
+WITH {WHOLE}
+SELECT -conv_id - 1 AS document_id, merged_at + a - 10 AS span_start, merged_at + a + length(word) - 10 AS span_end, source_at + a AS origin_start, source_at + a + length(word) AS origin_end
+FROM piece JOIN turn USING (conv_id, turn) JOIN size USING (conv_id) WHERE turn % 2 = 0 AND word <> '' AND n > 20 AND merged_at + a >= 10 AND merged_at + a + length(word) <= n - 10
+""")
+def slice_of_merge_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of slices of merges, each with its place in the first source."""
+    cut = slice_of_merge(spark, sf_dir)
+    return W.in_source(cut, cut.tokens.select("document_id", "span_start", "span_end")).select("document_id", "span_start", "span_end", "origin_start", "origin_end")
+
+
+@query("slice_of_merge_parts", f"""
+WITH {WHOLE},
+even AS (SELECT *, merged_at AS a, merged_at + length(text) AS b FROM turn JOIN size USING (conv_id) WHERE turn % 2 = 0 AND n > 20),
+page AS (SELECT conv_id, n, turn // 4 AS page_index, min(a) AS a, max(b) AS b FROM even GROUP BY ALL),
+kept AS (SELECT * FROM even WHERE a >= 10 AND b <= n - 10)
+SELECT -conv_id - 1 AS document_id, 'page' AS kind, page_index::VARCHAR AS name, greatest(a, 10) - 10 AS span_start, least(b, n - 10) - 10 AS span_end FROM page WHERE a < n - 10 AND b > 10 AND a < b
+UNION ALL SELECT -conv_id - 1, 'block', turn || '/b', a - 10, b - 10 FROM kept
+UNION ALL SELECT -conv_id - 1, 'table', turn || '/t', a - 10, b - 10 FROM kept WHERE turn % 3 = 0
+UNION ALL SELECT -conv_id - 1, 'cell', turn || '/t', a - 10, a - 10 + length(string_split(text, ' ')[1]) FROM kept WHERE turn % 3 = 0
+UNION ALL SELECT -conv_id - 1, 'origin', NULL, source_at + greatest(10 - a, 0), source_at + length(text) - greatest(b - (n - 10), 0) FROM even WHERE a < n - 10 AND b > 10 AND a < b
+""")
+def slice_of_merge_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, blocks, tables, cells and origins of slices of merges."""
+    cut = slice_of_merge(spark, sf_dir)
+    one = lambda df, kind, name, a="span_start", b="span_end": df.select("document_id", F.lit(kind).alias("kind"), name.cast("string").alias("name"), F.col(a).cast("long").alias("span_start"), F.col(b).cast("long").alias("span_end"))
+    out = one(cut.pages, "page", F.col("page_index")).unionByName(one(cut.blocks, "block", F.col("block"))).unionByName(one(cut.tables, "table", F.col("table")))
+    return out.unionByName(one(cut.cells, "cell", F.col("table"))).unionByName(one(cut.origin, "origin", F.lit(None), "origin_start", "origin_end"))
+
+
 @query("located_boxes", """
 SELECT l_orderkey AS document_id, CASE WHEN l_orderkey % 2 = 0 THEN string_agg(l_linenumber, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) END AS boxes, CASE WHEN l_orderkey % 2 <> 0 THEN 'no_geometry' END AS refusal FROM lineitem GROUP BY l_orderkey
 """)
