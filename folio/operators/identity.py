@@ -6,10 +6,8 @@ content_id) is the store.
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,44 +25,38 @@ def artifact_id(source: Column, processor: str, version: str, options_hash: str)
     return content_id(canonical(input=source, processor_id=F.lit(processor), processor_version=F.lit(version), options_hash=F.lit(options_hash)))
 
 
+#: Hexadecimal digits of the ranges that a set is cut in, level by level: a range of the last holds 256 of the one before.
+RANGES = (6, 4, 2, 0)
+
+
 def set_id(rows: DataFrame, by: list[str], member: str) -> DataFrame:
-    """The id of a set of ids: the hash of its members' hashes in order.
+    """The id of a set of ids, as a tree: by, set_id, members.
 
-    Members are sorted by Spark, which may spill, and streamed through one hash a set: a set is never gathered. A missing
-    member counts but gives nothing to the hash; a set of nothing else has no id.
+    Equal members are one with their number. The members of a range (by their hash's leading six digits) give a digest, as do the
+    ranges' digests in order, 256 at most, up to the one of all. No task holds a set: a trillion members come to some sixty thousand a range,
+    and a range above has 256 digests. A missing member counts but gives nothing to the hash; a set of nothing else has no id.
     """
     keys = [f"_k{i}" for i in range(len(by))]
-    rows = rows.select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.col(member).cast("string").alias("_m"))
-    # By the keys alone, so that a set lies in one partition.
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_last("_m"))
-    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    out = dealt.mapInArrow(hashed_sets, f"{kinds}, set_id string, members long")
-    return out.select(*(F.col(k).alias(c) for c, k in zip(by, keys, strict=True)), "set_id", "members")
-
-
-def hashed_sets(batches):
-    """One row a set, of batches with the sets' keys and _m in order."""
-    now, digest, members, some = None, None, 0, False
-
-    def row():
-        return [*([x] for x in now), ["sha256:" + digest.hexdigest() if some else None], [members]]
-
-    schema = None
-    for batch in batches:
-        if schema is None:
-            schema = pa.schema([*(f for f in batch.schema if f.name != "_m"), ("set_id", pa.string()), ("members", pa.int64())])
-        *columns, values = (c.to_pylist() for c in batch.columns)
-        for *key, m in zip(*columns, values, strict=True):
-            if key != now:
-                if now is not None:
-                    yield pa.record_batch([pa.array(x, f.type) for x, f in zip(row(), schema, strict=True)], schema=schema)
-                now, digest, members, some = key, hashlib.sha256(), 0, False
-            members += 1
-            if m is not None:
-                digest.update(("," * some + m).encode())
-                some = True
-    if now is not None:
-        yield pa.record_batch([pa.array(x, f.type) for x, f in zip(row(), schema, strict=True)], schema=schema)
+    rows = rows.select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.col(member).cast("string").alias("_at"))
+    level = rows.groupBy(*keys, "_at").agg(F.count("*").alias("_n"))
+    level = level.select(*keys, F.sha2("_at", 256).alias("_range"), "_at", F.concat("_at", F.lit(":"), F.col("_n").cast("string")).alias("_item"), "_n")
+    for digits in RANGES:
+        inside = F.array_sort(F.collect_list(F.when(F.col("_item").isNotNull(), F.struct("_at", "_item"))))
+        made = level.groupBy(*keys, F.substring("_range", 1, digits).alias("_range")).agg(inside.alias("_i"), F.sum("_n").alias("_n"))
+        level = made.select(*keys, "_range", F.col("_range").alias("_at"), F.when(F.size("_i") > 0, F.sha2(F.array_join("_i._item", ","), 256)).alias("_item"), "_n")
+    # Missing members have no range; they meet the others at the root.
+    root = level.groupBy(*keys).agg(F.max("_item").alias("_item"), F.sum("_n").alias("members"))
+    return root.select(*(F.col(k).alias(c) for c, k in zip(by, keys, strict=True)), F.concat(F.lit("sha256:"), F.col("_item")).alias("set_id"), "members")
+
+
+def set_id_sql(name: str, rows: str, by: str, member: str) -> str:
+    """The same tree in DuckDB's SQL: tables name_6, name_4, name_2 and name_0 (by, d the digest, n the members)."""
+    out = f"{name}_m AS (SELECT {by}, {member} AS at, sha256({member}) AS r, {member} || ':' || count(*) AS item, count(*) AS n FROM {rows} GROUP BY {by}, {member})"
+    below = f"{name}_m"
+    for digits in RANGES:
+        out += f", {name}_{digits} AS (SELECT {by}, r, r AS at, sha256(i) AS item, n FROM (SELECT {by}, r[1:{digits}] AS r, string_agg(item, ',' ORDER BY at) AS i, sum(n)::BIGINT AS n FROM {below} GROUP BY {by}, r[1:{digits}]))"
+        below = f"{name}_{digits}"
+    return f"{out}, {name} AS (SELECT {by}, 'sha256:' || max(item) AS set_id, sum(n)::BIGINT AS members FROM {below} GROUP BY {by})"
 
 
 def planned(ids: DataFrame, store: DataFrame) -> DataFrame:

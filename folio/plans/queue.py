@@ -271,8 +271,10 @@ def artifact_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("report_ids", f"""
-WITH {CHAIN}, p AS (SELECT source, string_agg(validation_id, ',' ORDER BY validation_id) AS p, string_agg(document_id, ',' ORDER BY document_id) AS g FROM a3 JOIN documents USING (doc_id) GROUP BY source)
-SELECT source, 'sha256:' || sha256('{{"golden_set_id":"sha256:' || sha256(g) || '","options_hash":"o","prediction_set_id":"sha256:' || sha256(p) || '"}}') AS report_id FROM p
+WITH {CHAIN}, pair AS (SELECT source, document_id, validation_id FROM a3 JOIN documents USING (doc_id)),
+{I.set_id_sql("gold", "pair", "source", "document_id")}, {I.set_id_sql("made", "pair", "source", "validation_id")}
+SELECT gold.source, 'sha256:' || sha256('{{"golden_set_id":"' || gold.set_id || '","options_hash":"o","prediction_set_id":"' || made.set_id || '"}}') AS report_id
+FROM gold JOIN made USING (source)
 """)
 def report_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report's id of its labelled set, its predictions and its options, for each source."""

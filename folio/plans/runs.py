@@ -63,8 +63,9 @@ def reuse_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.planned(ids, docs.where("doc_id % 2 = 0"))
 
 
-@query("set_ids", """
-SELECT source, 'sha256:' || sha256(string_agg(h, ',' ORDER BY h)) AS set_id, count(*)::BIGINT AS members FROM (SELECT source, 'sha256:' || sha256(text) AS h FROM documents) GROUP BY source
+@query("set_ids", f"""
+WITH doc AS (SELECT source, 'sha256:' || sha256(text) AS h FROM documents), {I.set_id_sql("ids", "doc", "source", "h")}
+SELECT source, set_id, members FROM ids
 """)
 def set_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("source", content_id(F.col("text")).alias("h"))

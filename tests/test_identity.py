@@ -1,4 +1,7 @@
 import hashlib
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from folio.operators import identity as I
 
@@ -22,6 +25,19 @@ def test_set_ids_without_gathering(spark):
     want = {}
     for k, g, m in rows:
         want.setdefault((k, g), []).append(m)
-    ids = lambda ms: "sha256:" + hashlib.sha256(",".join(sorted(m for m in ms if m is not None)).encode()).hexdigest() if any(ms) else None
-    assert {(r.k, r.g): (r.set_id, r.members) for r in out.collect()} == {s: (ids(ms), len(ms)) for s, ms in want.items()}
-    assert "collect_list" not in out._jdf.queryExecution().toString()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+
+    def tree(ms):
+        """The digests of one level after the other."""
+        nodes = sorted((sha(m), m, f"{m}:{n}") for m, n in Counter(m for m in ms if m is not None).items())
+        for digits in I.RANGES:
+            ranges = {}
+            for r, at, item in nodes:
+                ranges.setdefault(r[:digits], []).append((at, item))
+            nodes = sorted((r, r, sha(",".join(item for _, item in sorted(x)))) for r, x in ranges.items())
+        return f"sha256:{nodes[0][2]}" if nodes else None
+
+    assert {(r.k, r.g): (r.set_id, r.members) for r in out.collect()} == {s: (tree(ms), len(ms)) for s, ms in want.items()}
+    again = I.set_id(df.repartition(7).orderBy(F.desc("m")), ["k", "g"], "m")
+    assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
+    assert I.set_id(df.limit(0), ["k", "g"], "m").collect() == []
