@@ -51,10 +51,10 @@ def set_id(rows: DataFrame, by: list[str], member: str) -> DataFrame:
 
 def set_id_sql(name: str, rows: str, by: str, member: str) -> str:
     """The same tree in DuckDB's SQL: tables name_6, name_4, name_2 and name_0 (by, d the digest, n the members)."""
-    out = f"{name}_m AS (SELECT {by}, {member} AS at, sha256({member}) AS r, {member} || ':' || count(*) AS item, count(*) AS n FROM {rows} GROUP BY {by}, {member})"
+    out = f"{name}_m AS (SELECT {by}, {member} AS k, sha256({member}) AS r, {member} || ':' || count(*) AS item, count(*) AS n FROM {rows} GROUP BY {by}, {member})"
     below = f"{name}_m"
     for digits in RANGES:
-        out += f", {name}_{digits} AS (SELECT {by}, r, r AS at, sha256(i) AS item, n FROM (SELECT {by}, r[1:{digits}] AS r, string_agg(item, ',' ORDER BY at) AS i, sum(n)::BIGINT AS n FROM {below} GROUP BY {by}, r[1:{digits}]))"
+        out += f", {name}_{digits} AS (SELECT {by}, r, r AS k, sha256(i) AS item, n FROM (SELECT {by}, r[1:{digits}] AS r, string_agg(item, ',' ORDER BY k) AS i, sum(n)::BIGINT AS n FROM {below} GROUP BY {by}, r[1:{digits}]))"
         below = f"{name}_{digits}"
     return f"{out}, {name} AS (SELECT {by}, 'sha256:' || max(item) AS set_id, sum(n)::BIGINT AS members FROM {below} GROUP BY {by})"
 
