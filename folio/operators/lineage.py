@@ -4,8 +4,17 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below spark.checkpoint.dir for tables that later jobs read; without the setting a temporary one, on local masters alone."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{named or tempfile.mkdtemp(prefix='folio-')}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
