@@ -20,9 +20,9 @@ def rate(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
 
 
-def eight_metrics(tally: DataFrame) -> DataFrame:
-    """metric, numerator, denominator, value of one row of tallies with grounding (exact, fuzzy, ungrounded) and places (agrees, disagrees)."""
-    c = {n: F.coalesce(F.col(n), F.lit(0)).cast("long") for n in (*TALLIES, *GROUNDING, "agrees", "disagrees")}
+def metric_rows(given: list[str]) -> Column:
+    """The eight metrics of a row of tallies, grounding and places as an array of (metric, numerator, denominator, value); counts that aren't given are 0."""
+    c = {n: F.coalesce(F.col(n), F.lit(0)).cast("long") if n in given else F.lit(0).cast("long") for n in (*TALLIES, *GROUNDING, "agrees", "disagrees")}
     values = c["correct_value"] + c["incorrect"] + c["missing"] + c["unevaluated_value"]
     absences = c["correct_absence"] + c["spurious"] + c["unevaluated_absence"]
     # The metrics' definitions.
@@ -36,8 +36,12 @@ def eight_metrics(tally: DataFrame) -> DataFrame:
         "unevaluated_rate": (c["unevaluated_value"] + c["unevaluated_absence"], values + absences),
         "mislocation_rate": (c["disagrees"], c["agrees"] + c["disagrees"]),
     }
-    rows = F.array(*(F.struct(F.lit(n).alias("metric"), a.alias("numerator"), b.alias("denominator"), rate(a, b).alias("value")) for n, (a, b) in defined.items()))
-    return tally.select(F.explode(rows).alias("_m")).select("_m.*")
+    return F.array(*(F.struct(F.lit(n).alias("metric"), a.alias("numerator"), b.alias("denominator"), rate(a, b).alias("value")) for n, (a, b) in defined.items()))
+
+
+def eight_metrics(tally: DataFrame) -> DataFrame:
+    """metric, numerator, denominator, value of one row of tallies with grounding (exact, fuzzy, ungrounded) and places (agrees, disagrees)."""
+    return tally.select(F.explode(metric_rows([*TALLIES, *GROUNDING, "agrees", "disagrees"])).alias("_m")).select("_m.*")
 
 
 def report_metrics(outcomes: DataFrame, predictions: DataFrame, places: DataFrame) -> DataFrame:

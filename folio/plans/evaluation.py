@@ -38,6 +38,11 @@ RATES = """(correct_value + correct_absence)::DOUBLE / nullif(correct_value + in
 
 
 def outcomes(spark: SparkSession, sf_dir: str, m: int = 7) -> DataFrame:
+    return E.scored(*sides(spark, sf_dir, m))
+
+
+def sides(spark: SparkSession, sf_dir: str, m: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labels, predictions, and the documents that were processed at all."""
     given, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
     key = F.col("doc_id").alias("document_id")
     toxic = F.col("toxic") == 1
@@ -48,7 +53,7 @@ def outcomes(spark: SparkSession, sf_dir: str, m: int = 7) -> DataFrame:
     predictions = docs.select(*said("quality", *quality)).unionByName(docs.select(*said("toxic", F.lit("1"), F.lit("int"), F.col("n_chars") % 5 == 0)))
     predictions = predictions.unionByName(docs.select(*said("topic", F.lit("x"), F.lit("string"), F.col("doc_id") % 9 == 0)))
     state = docs.where("doc_id % 19 <> 0").select(key, (F.col("doc_id") % 17 == 0).alias("failed"))
-    return E.scored(labels, predictions, state)
+    return labels, predictions, state
 
 
 def unpivoted(sql: str) -> str:
