@@ -103,7 +103,12 @@ def displayed_box(box: Column, width: Column, height: Column, rotation: Column)
     )
 
 
+def beyond(share: Column, tolerance: float = 0.01) -> Column:
+    """Whether a share of the page lies further outside than `tolerance`."""
+    return (share < -tolerance - 1e-9) | (share > 1 + tolerance + 1e-9)
+
+
 def normalized(x: Column, size: Column, tolerance: float = 0.01) -> Column:
     """A coordinate as a share of the page; up to `tolerance` beyond an edge counts as the edge, more is null."""
     share = x / size
-    return F.when(share < -tolerance - 1e-9, None).when(share > 1 + tolerance + 1e-9, None).otherwise(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))
+    return F.when(~beyond(share, tolerance), F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))

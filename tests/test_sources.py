@@ -117,3 +117,49 @@ def test_path_keys_sort_indices_by_number(spark):
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     assert [r.p for r in df.orderBy(T.path_key(F.col("p"))).collect()] == ["items[2].a", "items[10].a", "items.b", "total"]
     assert df.select(T.slot(F.col("p")), T.strip_indices(F.col("p"))).first() == ("items[].a", "items.a")
+
+
+def test_layout_analyses_are_refused_whole(spark):
+    word = lambda at, x=1: {"content": "ab", "polygon": [x, 1, x + 1, 1, x + 1, 2, x, 2], "span": {"offset": at, "length": 2}}
+    page = lambda *words, number=1: {"pageNumber": number, "width": 10, "height": 5, "spans": [{"offset": 0, "length": 5}], "words": list(words), "lines": []}
+    place = [{"offset": 0, "length": 2}]
+    of = lambda *pages, **table: {"content": "ab ab", "pages": list(pages), "tables": [{"boundingRegions": [{"pageNumber": 1}], "spans": place, "cells": []} | table] if table else []}
+    cell = {"rowIndex": 0, "columnIndex": 0, "content": "c"}
+    for payload, reason in [
+        (of(), "empty_result"), (of(page(word(0), word(1))), "invalid_order"), (of(page(word(3)), page(word(0), number=2)), "invalid_order"), (of(page(word(0), word(3, 9.5))), "outside_page"),
+        (of(page(word(0) | {"polygon": []})), "outside_page"), (of(page(word(0)), spans=[]), "table_without_span"), (of(page(word(0)), cells=[cell]), "cell_without_span"),
+        (of(page(word(0)), boundingRegions=[{"pageNumber": 7}]), "table_page"), (of(page(word(0)), boundingRegions=[]), "table_page"),
+    ]:
+        assert [r.reason for r in ocr.layout_refusals(rows(spark, payload)).collect()] == [reason]
+        assert ocr.layout_tokens(rows(spark, payload), whole=True).collect() == []
+    good = of(page(word(0), number=4), page(word(3, 9.05), number=1), cells=[cell | {"spans": place}])
+    assert ocr.layout_refusals(rows(spark, good)).collect() == []
+    assert [(r.page_index, r.x1) for r in ocr.layout_tokens(rows(spark, good), whole=True).orderBy("page_index").collect()] == [(0, 0.2), (1, 1.0)]
+    assert [r.page_index for r in ocr.layout_cells(rows(spark, good), whole=True).collect()] == [1]
+    assert ocr.layout_refusals(rows(spark, {"content": "", "pages": []})).collect() == []
+
+
+def test_annotated_words_need_a_box_on_their_page(spark):
+    of = lambda box: {"fullTextAnnotation": {"pages": [{"width": 100, "height": 100, "blocks": [{"paragraphs": [{"words": [vision_word("ab"), vision_word("cd") | {"boundingBox": box}]}]}]}]}}
+    for box, reason in [({}, "word_without_box"), ({"vertices": []}, "word_without_box"), ({"vertices": [{"x": 10}, {"x": 150, "y": 5}]}, "outside_page"), ({"normalizedVertices": [{"x": 0.1}, {"x": 0.5, "y": -0.2}]}, "outside_page")]:
+        assert [r.reason for r in ocr.vision_refusals(rows(spark, of(box))).collect()] == [reason]
+        assert ocr.vision_tokens(rows(spark, of(box)), whole=True).collect() == []
+    good = rows(spark, of({"normalizedVertices": [{"x": 0.5}, {"x": 0.75, "y": 0.25}]}))
+    assert ocr.vision_refusals(good).collect() == []
+    assert [(r.x0, r.y0, r.x1, r.y1) for r in ocr.vision_tokens(good, whole=True).where("word = 'cd'").collect()] == [(0.5, 0.0, 0.75, 0.25)]
+
+
+def test_recognised_lines_of_an_image_and_without_lines(spark):
+    page = lambda texts, boxes: {"prunedResult": {"rec_texts": texts, "rec_boxes": boxes, "rec_scores": [0.5] * len(texts)}}
+    answer = lambda p, info: {"errorCode": 0, "result": {"dataInfo": info, "ocrResults": [p]}}
+    image = {"type": "image", "width": 20, "height": 10}
+    assert [(r.x1, r.y1) for r in ocr.line_tokens(rows(spark, answer(page(["a"], [[0, 0, 10, 5]]), image))).collect()] == [(0.5, 0.5)]
+    for payload, reason in [(answer(page([], []), image), "empty_result"), (answer(page(["a"], [[0, 0, 10, 15]]), image), "outside_page"), (answer(page(["a"], [[0, 0]]), image), "outside_page"), (answer(page(["a"], [[0, 0, 1, 1]]), {"type": "other"}), "page_count")]:
+        assert [r.reason for r in ocr.line_refusals(rows(spark, payload)).collect()] == [reason]
+        assert ocr.line_tokens(rows(spark, payload)).collect() == []
+
+
+def test_an_answer_that_is_no_json(spark):
+    bad = spark.createDataFrame([("d", None)], "document_id string, payload string")
+    for f in (ocr.layout_refusals, ocr.vision_refusals, ocr.line_refusals):
+        assert [r.reason for r in f(bad).collect()] == ["not_json"]
