@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from folio.plans import authored, conforming, console, declared, documents, evaluation, geometry, grounding, parsing, queue, recognition, reports, scorecards, runs, stages, validation  # noqa: F401
+    from folio.plans import authored, conforming, console, declared, documents, evaluation, geometry, grounding, labelled, parsing, queue, recognition, reports, scorecards, runs, stages, validation  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
