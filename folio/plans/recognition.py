@@ -143,27 +143,37 @@ def annotation_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.vision_refusals(annotations(spark, sf_dir))
 
 
+#: Words by one space: up to fifty are a page, up to ten a line.
+PAGE, LINE = (F.lit(rf"(?:[^ ]++ ){{0,{n - 1}}}[^ ]++") for n in (50, 10))
+
+
 def recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's lines. Documents of kind 1 have sideways pages, whose sizes are given as they lay; those of kind 2 have an angle that is no quarter turn."""
     kind = F.col("kind")
-    lines = gathered(words(spark, sf_dir), ["document_id", "page", "line"], "i", F.col("word"), "words")
-    y = F.col("line") * 20.0
-    y = F.when(kind == 5, y + 200).otherwise(y)
-    line = F.struct(F.array_join("words", " ").alias("text"), F.array(F.lit(0.0), y, F.size("words") * 100.0, y + 10).alias("box"))
-    of = gathered(lines, ["document_id", "page"], "line", line, "lines")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 17).alias("kind"), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")).alias("_text"))
+    of = docs.select("document_id", "kind", F.regexp_extract_all("_text", PAGE, F.lit(0)).alias("_pages"))
+
+    def line(text: Column, i: Column) -> Column:
+        y = i * 20.0 + F.when(kind == 5, 200.0).otherwise(0.0)
+        return F.struct(text.alias("text"), F.array(F.lit(0.0), y, F.size(F.split(text, " ")) * 100.0, y + 10).alias("box"))
+
+    of = of.withColumn("lists", F.transform("_pages", lambda p: F.transform(F.regexp_extract_all(p, LINE, F.lit(0)), line)))
     angle = F.when(kind == 1, 90).when(kind == 2, 45).when(kind == 4, 180)
-    boxes = F.transform("lines", lambda a: a["box"])
-    page = F.struct(F.struct(
-        F.transform("lines", lambda a: a["text"]).alias("rec_texts"), F.when(kind == 6, F.slice(boxes, 1, F.size(boxes) - 1)).otherwise(boxes).alias("rec_boxes"), F.transform("lines", lambda a: F.lit(0.75)).alias("rec_scores"),
-        F.when(angle.isNotNull(), F.struct(angle.alias("angle"))).alias("doc_preprocessor_res"),
-    ).alias("prunedResult"))
-    pages = gathered(of, ["document_id"], "page", page, "pages")
+
+    def page(lines: Column) -> Column:
+        boxes = F.transform(lines, lambda a: a["box"])
+        return F.struct(F.struct(
+            F.transform(lines, lambda a: a["text"]).alias("rec_texts"), F.when(kind == 6, F.slice(boxes, 1, F.size(boxes) - 1)).otherwise(boxes).alias("rec_boxes"), F.transform(lines, lambda a: F.lit(0.75)).alias("rec_scores"),
+            F.when(angle.isNotNull(), F.struct(angle.alias("angle"))).alias("doc_preprocessor_res"),
+        ).alias("prunedResult"))
+
+    pages = of.withColumn("pages", F.transform("lists", page))
     size = F.struct(F.when(kind == 1, 100.0).otherwise(1000.0).alias("width"), F.when(kind == 1, 1000.0).otherwise(100.0).alias("height"))
     sizes = F.transform("pages", lambda p: size)
     # Kind 0: one page says its size as an image does. Kind 8: a size more than pages. Kind 9: the service failed.
     image = (kind == 0) & (F.size("pages") == 1)
     info = F.struct(F.when(image, "image").otherwise("pdf").alias("type"), F.when(image, 1000.0).alias("width"), F.when(image, 100.0).alias("height"), F.when(kind == 8, F.concat(sizes, F.array(size))).when(~image, sizes).alias("pages"))
-    return answers(spark, sf_dir, pages, F.to_json(F.struct(F.when(kind == 9, 500).otherwise(0).alias("errorCode"), F.struct(info.alias("dataInfo"), F.col("pages").alias("ocrResults")).alias("result"))))
+    return pages.select("document_id", F.to_json(F.struct(F.when(kind == 9, 500).otherwise(0).alias("errorCode"), F.struct(info.alias("dataInfo"), F.col("pages").alias("ocrResults")).alias("result"))).alias("payload"))
 
 
 @query("recognised_lines", f"""
