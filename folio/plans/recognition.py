@@ -144,20 +144,20 @@ def annotation_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Words by one space: up to fifty are a page, up to ten a line.
-PAGE, LINE = (F.lit(rf"(?:[^ ]++ ){{0,{n - 1}}}[^ ]++") for n in (50, 10))
+PAGE, LINE = (rf"(?:[^ ]++ ){{0,{n - 1}}}[^ ]++" for n in (50, 10))
 
 
 def recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's lines. Documents of kind 1 have sideways pages, whose sizes are given as they lay; those of kind 2 have an angle that is no quarter turn."""
     kind = F.col("kind")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 17).alias("kind"), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")).alias("_text"))
-    of = docs.select("document_id", "kind", F.regexp_extract_all("_text", PAGE, F.lit(0)).alias("_pages"))
+    of = docs.select("document_id", "kind", F.regexp_extract_all("_text", F.lit(PAGE), F.lit(0)).alias("_pages"))
 
     def line(text: Column, i: Column) -> Column:
         y = i * 20.0 + F.when(kind == 5, 200.0).otherwise(0.0)
         return F.struct(text.alias("text"), F.array(F.lit(0.0), y, F.size(F.split(text, " ")) * 100.0, y + 10).alias("box"))
 
-    of = of.withColumn("lists", F.transform("_pages", lambda p: F.transform(F.regexp_extract_all(p, LINE, F.lit(0)), line)))
+    of = of.withColumn("lists", F.transform("_pages", lambda p: F.transform(F.regexp_extract_all(p, F.lit(LINE), F.lit(0)), line)))
     angle = F.when(kind == 1, 90).when(kind == 2, 45).when(kind == 4, 180)
 
     def page(lines: Column) -> Column:
