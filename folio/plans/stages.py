@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.catalogue import query
@@ -13,7 +13,11 @@ from folio.operators.lineage import shared_folder
 from folio.plans.tables import table
 
 NAMES = ("parse", "extract", "ground", "validate")
-NONE = F.lit(None).cast("string").alias("failure")
+
+
+def none() -> Column:
+    """No failure."""
+    return F.lit(None).cast("string").alias("failure")
 
 
 def parse(rows: DataFrame) -> DataFrame:
@@ -27,11 +31,11 @@ def extract(rows: DataFrame) -> DataFrame:
 
 
 def ground(rows: DataFrame) -> DataFrame:
-    return rows.select("artifact_id", F.expr("instr(parse, extract) - 1").cast("string").alias("payload"), NONE)
+    return rows.select("artifact_id", F.expr("instr(parse, extract) - 1").cast("string").alias("payload"), none())
 
 
 def validate(rows: DataFrame) -> DataFrame:
-    return rows.select("artifact_id", F.when(F.length("extract") % 2 == 0, "valid").otherwise("needs_review").alias("payload"), NONE)
+    return rows.select("artifact_id", F.when(F.length("extract") % 2 == 0, "valid").otherwise("needs_review").alias("payload"), none())
 
 
 def stages(version: int = 1) -> list[S.Stage]:

@@ -1,5 +1,8 @@
 """Every query of the catalogue gives the rows of its SQL."""
 
+import subprocess
+import sys
+
 import pytest
 
 from folio import catalogue
@@ -22,3 +25,7 @@ def test_entry_runs(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_queries_are_registered_without_a_session():
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and not set(e.oracle_sql()) - set(e.queries())"], check=True)
