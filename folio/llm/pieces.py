@@ -26,9 +26,10 @@ import hashlib
 import heapq
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pandas as pd
@@ -51,12 +52,30 @@ TASK_ROWS = 4096
 #: Rows of a batch that are worked off at once, and bytes of their packed units.
 ROWS = 256
 PACKED = 1 << 20
+#: Units whose ids are put together at once, unless one row has more.
+FILLED = 1 << 17
 #: Distinct units that a task counts before it passes them on.
 COUNTED = 150_000
 SPACE = "▁"
 PENALTY = 10.0
 
 
+@dataclass(frozen=True)
+class Ids:
+    """The ids of some rows, one after the other: row i has those from starts[i] to starts[i + 1]."""
+
+    values: np.ndarray
+    starts: np.ndarray
+
+    def joined(self, spelling: pa.Array) -> Iterator[memoryview]:
+        """Each row's ids spelled out, without anything between them."""
+        # What is taken lies in one buffer in the rows' order, so a row is a part of it.
+        _, ends, raw = spelling.take(pa.array(self.values)).buffers()
+        at = np.frombuffer(ends, np.int64)[self.starts].tolist()
+        raw = memoryview(raw or b"")
+        return (raw[a:b] for a, b in pairwise(at))
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     pieces: dict[str, tuple[int, float]]
@@ -146,9 +165,18 @@ class Vocabulary:
             at = stop[at]
         return out
 
+    @cached_property
+    def spellings(self) -> tuple[pa.Array, pa.Array]:
+        """What every id stands for, and every id in decimal with a comma."""
+        return pa.array(self.texts, pa.large_binary()), pa.array([f"{i}," for i in range(len(self.texts))]).cast(pa.large_binary())
+
     def decode(self, ids) -> str:
         return b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
+    def decoded(self, ids: Ids) -> Iterator[str]:
+        """`decode` of every row."""
+        return (bytes(raw).decode("utf-8", "replace")[1:] for raw in ids.joined(self.spellings[0]))
+
 
 def cuts(pieces) -> str:
     """A pattern of units: runs of letters or of marks with the spaces before them, single digits, spaces before nothing.
@@ -223,15 +251,20 @@ def merging(size: Column) -> Column:
     zero = F.lit(0).cast("long")
 
     def merge(places: Column, _: Column) -> Column:
-        # The first edge between two places with one place within: that place goes. Without such an edge nothing changes.
+        # The first edge between two places with one place within: that place goes. Without such an edge the places are
+        # settled: they are kept inverted, below 0, so that the steps left pass over no edges.
         def first(found: Column, inner: Column) -> Column:
             whole = inner.bitwiseOR(F.shiftleft(inner, 1)).bitwiseOR(F.shiftright(inner, 1))
-            fits = (F.bit_count(places.bitwiseAND(whole)) == 3) & (F.bit_count(places.bitwiseAND(inner)) == 1)
+            fits = (F.bit_count(places.bitwiseAND(inner)) == 1) & (F.bit_count(places.bitwiseAND(whole)) == 3)
             return F.when(found != 0, found).when(fits, inner).otherwise(zero)
 
-        return places.bitwiseAND(F.bitwise_not(F.aggregate("_long", zero, first)))
+        def without(found: Column) -> Column:
+            return F.when(found == 0, F.bitwise_not(places)).otherwise(places.bitwiseAND(F.bitwise_not(found)))
 
-    return F.aggregate(F.slice(F.sequence(F.lit(1), size), F.lit(1), F.least(size - 1, F.size("_long"))), bit(size + 1) - 1, merge)
+        return F.when(places < 0, places).otherwise(F.aggregate("_long", zero, first, without))
+
+    steps = F.slice(F.sequence(F.lit(1), size), F.lit(1), F.least(size - 1, F.size("_long")))
+    return F.aggregate(steps, bit(size + 1) - 1, merge, lambda places: F.when(places < 0, F.bitwise_not(places)).otherwise(places))
 
 
 def encoded_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -265,14 +298,14 @@ def encoded_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 @dataclass
 class Names:
-    """The dictionary's units, the most frequent first, with plain spaces."""
+    """The dictionary's units, the most frequent first, with plain spaces; an Arrow column, so that the driver makes no object of each."""
 
-    units: list[str]
+    units: pa.Array
 
     @cached_property
     def numbers(self) -> dict[str, int]:
         """Each unit's number, from 1."""
-        return {u: i for i, u in enumerate(self.units, 1)}
+        return {u: i for i, u in enumerate(self.units.to_pylist(), 1)}
 
     def __getstate__(self):
         return {"units": self.units}
@@ -297,7 +330,7 @@ def dictionary(rows: DataFrame, vocabulary: Vocabulary, most: int) -> tuple[Name
     back = np.empty(top.num_rows, np.int64)
     back[pc.sort_indices(top, [("unit", "ascending")]).to_numpy()] = np.arange(top.num_rows)
     ids = got["ids"].take(pa.array(back)).combine_chunks()
-    return Names([u.replace(SPACE, " ") for u in top["unit"].to_pylist()]), Dictionary(ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy())
+    return Names(pc.replace_substring(top["unit"], SPACE, " ").combine_chunks()), Dictionary(ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy())
 
 
 def packed(key: int, text: str, vocabulary: Vocabulary, numbers: dict[str, int], pack) -> list[bytes]:
@@ -321,33 +354,61 @@ def packed(key: int, text: str, vocabulary: Vocabulary, numbers: dict[str, int],
     return [key.to_bytes(8, "little", signed=True) + hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest() + pack(body), np.array(own, np.int32).tobytes(), *(b"" if len(u) > LONG else u.replace(" ", SPACE).encode() for u in gaps)]
 
 
-def filled(parts: list[list[bytes]], found: list, vocabulary: Vocabulary, d: Dictionary) -> list[np.ndarray]:
-    """The ids of rows from their parts and what the join found for their gaps (each its place, then its ids)."""
+def answered(parts: list[list[bytes]], found: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, and where in them those of each gap begin and how many they are; each row's first gap. `found` holds lists of a gap's place and its ids."""
+    n_gaps = np.fromiter((len(p) - 2 for p in parts), np.int64, len(parts))
+    first = np.cumsum(n_gaps) - n_gaps
+    answers = found.flatten()
+    lengths = pc.list_value_length(answers).to_numpy(zero_copy_only=False).astype(np.int64)
+    ids, at = answers.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.cumsum(lengths) - lengths
+    row = np.repeat(np.arange(len(parts)), pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False))
+    fits = ids[at] < n_gaps[row]
+    gap = (first[row] + ids[at])[fits]
+    starts, sizes = np.zeros((2, int(n_gaps.sum())), np.int64)
+    starts[gap], sizes[gap] = at[fits] + 1, lengths[fits] - 1
+    # Two rows of one key would find each other's units too: then a gap has two answers, or one too many.
+    sizes[np.bincount(gap, minlength=len(sizes)) > 1] = 0
+    own: dict[int, np.ndarray] = {}
+    for p, g in zip(parts, first.tolist(), strict=True):
+        long, k = np.frombuffer(p[1], np.int32), 0
+        while k < len(long):
+            own[g + int(long[k])] = long[k + 2 : k + 2 + long[k + 1]]
+            k += 2 + int(long[k + 1])
+    sizes[list(own)] = 0
+    left = np.flatnonzero(sizes == 0)
+    more = [own[g] if g in own else np.array(vocabulary.encode_unit(parts[r][2 + g - first[r]].decode()), np.int32) for g, r in zip(left.tolist(), (np.searchsorted(first, left, "right") - 1).tolist(), strict=True)]
+    sizes[left] = [len(m) for m in more]
+    starts[left] = len(ids) + np.cumsum(sizes[left]) - sizes[left]
+    return np.concatenate([ids, *more]), starts, sizes, first
+
+
+def filled(parts: list[list[bytes]], found: pa.Array, vocabulary: Vocabulary, d: Dictionary) -> Iterator[tuple[list[list[bytes]], Ids]]:
+    """Rows and their ids, some at a time, from their parts and what the join found for their gaps."""
     unpack, n_known = zstandard.ZstdDecompressor().decompress, len(d.starts) - 1
-    more: list = []
-    codes = []
-    for p, answers in zip(parts, found, strict=True):
+    ids, gap_starts, gap_sizes, first = answered(parts, found, vocabulary)
+    table = np.concatenate([d.ids, ids])
+
+    def put(codes: list[np.ndarray]) -> Ids:
+        mine = np.concatenate(codes)
+        gaps = np.flatnonzero(mine >= n_known)
+        known = np.minimum(mine, n_known - 1) if n_known else np.zeros_like(mine)
+        starts, n = (d.starts[known], d.starts[known + 1] - d.starts[known]) if n_known else (known, known.copy())
+        starts[gaps], n[gaps] = len(d.ids) + gap_starts[mine[gaps] - n_known], gap_sizes[mine[gaps] - n_known]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        values = table[np.repeat(starts - ends[:-1], n) + np.arange(ends[-1])]
+        return Ids(values, ends[np.cumsum([0, *map(len, codes)])])
+
+    done, codes, size = 0, [], 0
+    for i, p in enumerate(parts):
         mine = np.frombuffer(unpack(p[0][40:]), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64) - 1
-        mine[mine >= n_known] += len(more)
+        mine[mine >= n_known] += first[i]
+        if codes and size + len(mine) > FILLED:
+            yield parts[done:i], put(codes)
+            done, codes, size = i, [], 0
         codes.append(mine)
-        gaps: list = [None] * (len(p) - 2)
-        for k, *ids in answers or ():
-            # Two rows of one key would find each other's units too: then a gap has two answers, or one too many.
-            if k < len(gaps):
-                gaps[k] = ids if gaps[k] is None else ()
-        own, at = np.frombuffer(p[1], np.int32), 0
-        while at < len(own):
-            gaps[own[at]] = own[at + 2 : at + 2 + own[at + 1]]
-            at += 2 + own[at + 1]
-        more += [ids if ids is not None and len(ids) else vocabulary.encode_unit(u.decode()) for ids, u in zip(gaps, p[2:], strict=True)]
-    sizes = np.concatenate([np.diff(d.starts), np.fromiter(map(len, more), np.int64, len(more))])
-    starts = np.concatenate([d.starts[:-1], d.starts[-1] + np.cumsum(sizes[n_known:]) - sizes[n_known:]])
-    table = np.concatenate([d.ids, *(np.asarray(m, np.int32) for m in more)])
-    out = []
-    for mine in codes:
-        n = sizes[mine]
-        out.append(table[np.repeat(starts[mine] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))])
-    return out
+        size += len(mine)
+    if codes:
+        yield parts[done:], put(codes)
 
 
 def row_key() -> Column:
@@ -366,8 +427,8 @@ def runs(batch: pa.RecordBatch):
         at += n
 
 
-def encoded(docs: DataFrame, model: str = MODEL, most: int = DICTIONARY, step=lambda ids, sha, vocabulary: (ids.tobytes(),), columns: str = "ids binary") -> DataFrame:
-    """_id and what `step` makes of each row's ids and its text's SHA-256; by itself the ids as little-endian 32-bit numbers."""
+def encoded(docs: DataFrame, model: str = MODEL, most: int = DICTIONARY, step=lambda ids, shas, vocabulary: ([ids.values[a:b].tobytes() for a, b in pairwise(ids.starts)],), columns: str = "ids binary") -> DataFrame:
+    """_id and the columns that `step` makes of rows' ids and their texts' SHA-256; by itself the ids as little-endian 32-bit numbers."""
     vocabulary, spark = Vocabulary.load(model), docs.sparkSession
     rows = keyed(docs).select("_id", "_th", "text")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
@@ -386,10 +447,9 @@ def encoded(docs: DataFrame, model: str = MODEL, most: int = DICTIONARY, step=la
     def last(batches):
         for batch in batches:
             for run in runs(batch):
-                parts = run["parts"].to_pylist()
-                every = filled(parts, run["found"].to_pylist(), vocabulary, d.value)
-                made = [(int.from_bytes(p[0][:8], "little", signed=True), *step(ids, p[0][8:40], vocabulary)) for p, ids in zip(parts, every, strict=True)]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*made, strict=True))), ["_id", *names])
+                for parts, ids in filled(run["parts"].to_pylist(), run["found"], vocabulary, d.value):
+                    made = step(ids, [p[0][8:40] for p in parts], vocabulary)
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, ([int.from_bytes(p[0][:8], "little", signed=True) for p in parts], *made))), ["_id", *names])
 
     keys = rows.withColumn("_key", row_key()).select("_key", "_id", "text")
     # One column has all parts, the key is declared as never missing, and gaps are exploded with their empties, so that both
@@ -408,10 +468,10 @@ def encoded(docs: DataFrame, model: str = MODEL, most: int = DICTIONARY, step=la
 def piece_report(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """One row a document: doc_id, n_pieces, ids_sha256 (of the ids in decimal, comma-joined), decoded_sha256, exact (decoding gives the text)."""
 
-    def step(ids: np.ndarray, sha: bytes, vocabulary: Vocabulary) -> tuple:
-        ids = ids.tolist()
-        decoded = hashlib.sha256(vocabulary.decode(ids).encode("utf-8", "surrogatepass"))
-        return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), decoded.hexdigest(), decoded.digest() == sha
+    def step(ids: Ids, shas: list[bytes], vocabulary: Vocabulary) -> tuple:
+        decimal = [hashlib.sha256(raw[:-1]).hexdigest() for raw in ids.joined(vocabulary.spellings[1])]
+        decoded = [hashlib.sha256(text.encode("utf-8", "surrogatepass")) for text in vocabulary.decoded(ids)]
+        return np.diff(ids.starts), decimal, [h.hexdigest() for h in decoded], [h.digest() == sha for h, sha in zip(decoded, shas, strict=True)]
 
     out = encoded(docs, model, step=step, columns="n_pieces long, ids_sha256 string, decoded_sha256 string, exact boolean")
     return out.select(real_id("_id"), "n_pieces", "ids_sha256", "decoded_sha256", "exact")
@@ -419,5 +479,9 @@ def piece_report(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 def tokenised(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """One row a document: doc_id, n_pieces, ids, text (decoded from the ids)."""
-    out = encoded(docs, model, step=lambda ids, sha, vocabulary: (len(ids), ids, vocabulary.decode(ids.tolist())), columns="n_pieces long, ids array<int>, text string")
+
+    def step(ids: Ids, shas: list[bytes], vocabulary: Vocabulary) -> tuple:
+        return np.diff(ids.starts), [ids.values[a:b] for a, b in pairwise(ids.starts)], list(vocabulary.decoded(ids))
+
+    out = encoded(docs, model, step=step, columns="n_pieces long, ids array<int>, text string")
     return out.select(real_id("_id"), "n_pieces", "ids", "text")

@@ -323,3 +323,27 @@ def test_piece_report_of_odd_rows(spark, reference):
     assert [(r.n_pieces, list(r.ids), r.text) for r in pieces.tokenised(df.where("text IS NULL")).collect()] == [(0, [], "")] * 2
     out = pieces.tokenised(df.where("doc_id = 1")).first()
     assert out.ids == reference.encode(out.text) and out.n_pieces == len(out.ids)
+
+
+@pytest.mark.parametrize("at_once", [1, pieces.FILLED])
+def test_gaps_are_filled_as_columns(monkeypatch, at_once):
+    """Answers stay Arrow columns and rows come out some at a time; missing, double and needless answers are encoded in place."""
+    import pyarrow as pa
+    import zstandard
+
+    monkeypatch.setattr(pieces, "FILLED", at_once)
+    vocabulary = pieces.Vocabulary.load()
+    known = [" the", ",", " lazy"]
+    ids = [vocabulary.encode_unit(u.replace(" ", pieces.SPACE)) for u in known]
+    d = pieces.Dictionary(np.cumsum([0, *map(len, ids)]), np.array(sum(ids, []), np.int32))
+    texts = ["", *filter(None, TEXTS), "the lazy, the lazy", "the " + "q" * 70 + " odd, the odd"]
+    parts = [pieces.packed(i, t, vocabulary, {u: n for n, u in enumerate(known, 1)}, zstandard.ZstdCompressor().compress) for i, t in enumerate(texts)]
+    found = [[[k, *vocabulary.encode_unit(u.decode())] for k, u in enumerate(p[2:]) if u] or None for p in parts]
+    found[2] = None
+    found[3] = [*(found[3] or ()), [0, 7], [0, 8], [99, 5]]
+    groups = list(pieces.filled(parts, pa.array(found, pa.list_(pa.list_(pa.int32()))), vocabulary, d))
+    assert [p for rows, _ in groups for p in rows] == parts and (len(groups) > 1) == (at_once == 1)
+    got = [i.values[a:b].tolist() for _, i in groups for a, b in zip(i.starts, i.starts[1:], strict=False)]
+    assert got == [[i for u in vocabulary.units(t) for i in vocabulary.encode_unit(u)] for t in texts]
+    assert [t for _, i in groups for t in vocabulary.decoded(i)] == texts
+    assert [bytes(raw) for _, i in groups for raw in i.joined(vocabulary.spellings[1])] == ["".join(f"{n}," for n in g).encode() for g in got]
