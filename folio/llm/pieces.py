@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import keyed, real_id
+from folio.llm.common import checkpoint, keyed, real_id
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DICTIONARY = 500_000
@@ -323,10 +323,11 @@ def dictionary(rows: DataFrame, vocabulary: Vocabulary, most: int) -> tuple[Name
     """The `most` units that stand most often in the sample, and their ids."""
     share = min(1.0, SAMPLE / max(1, rows.count()))
     sample = rows.where(F.shiftrightunsigned(F.xxhash64(F.lit(8), "_id", "_th"), 32) <= int(share * (1 << 32)))
+    # The units are written where executors read them again: rows made from the driver's would be objects in its heap.
+    kept = checkpoint(counted(sample, vocabulary).orderBy(F.desc("n"), "unit").limit(most))
     # At most `most` rows of some 30 bytes each, as Arrow columns; frequent units get small numbers.
-    top = counted(sample, vocabulary).orderBy(F.desc("n"), "unit").limit(most).select("unit").toArrow()
-    units = rows.sparkSession.createDataFrame(top).repartition(max(1, -(-top.num_rows // TASK_UNITS)), "unit")
-    got = encoded_units(units, vocabulary).toArrow().sort_by("unit")
+    top = kept.toArrow().sort_by([("n", "descending"), ("unit", "ascending")]).select(["unit"])
+    got = encoded_units(kept.select("unit").repartition(max(1, -(-top.num_rows // TASK_UNITS)), "unit"), vocabulary).toArrow().sort_by("unit")
     back = np.empty(top.num_rows, np.int64)
     back[pc.sort_indices(top, [("unit", "ascending")]).to_numpy()] = np.arange(top.num_rows)
     ids = got["ids"].take(pa.array(back)).combine_chunks()

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -347,3 +348,16 @@ def test_gaps_are_filled_as_columns(monkeypatch, at_once):
     assert got == [[i for u in vocabulary.units(t) for i in vocabulary.encode_unit(u)] for t in texts]
     assert [t for _, i in groups for t in vocabulary.decoded(i)] == texts
     assert [bytes(raw) for _, i in groups for raw in i.joined(vocabulary.spellings[1])] == ["".join(f"{n}," for n in g).encode() for g in got]
+
+
+def test_the_dictionary_is_not_made_from_the_drivers_rows(spark, monkeypatch):
+    """Only the vocabulary's own table goes from the driver to tasks, however many units there are; numbers go by frequency, then unit."""
+    made, create = [], type(spark).createDataFrame
+    df = spark.createDataFrame([(i, 0, f"w{i % 1999}x, " * 3 + f"v{i}y ok") for i in range(4000)], "_id long, _th long, text string")
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: made.append(data) or create(self, data, *a, **k))
+    vocabulary = pieces.Vocabulary.load()
+    names, d = pieces.dictionary(df, vocabulary, 900)
+    assert [len(rows) for rows in made] == [len(vocabulary.pieces)]
+    units = Counter(u.replace(" ", pieces.SPACE) for r in df.collect() for u in vocabulary.spaced_units(r.text))
+    assert [u.replace(" ", pieces.SPACE) for u in names.numbers] == sorted(units, key=lambda u: (-units[u], u.encode()))[:900]
+    assert [d.ids[a:b].tolist() for a, b in zip(d.starts, d.starts[1:], strict=False)] == [vocabulary.encode_unit(u.replace(" ", pieces.SPACE)) for u in names.numbers]
