@@ -5,7 +5,7 @@ earlier. Windows are brought together by anchors: a window's anchor is the least
 windows have equal anchors.
 
 1. Every document gives its distinct anchors. An anchor that stands once in the corpus has no repeated window; only
-   repeated ones go on (a partial count and a semi-join).
+   repeated ones go on (a count and a semi-join that read one exchange).
 2. Runs of windows with one repeated anchor are segments. Equal segments are one row with the place of the first copy; all
    windows of later copies are repeated. An anchor with more than SHARD distinct segments is hot (a passage in many
    contexts): each of its windows is a segment of its own, met by the hash of the whole window instead of the anchor, and
@@ -30,14 +30,17 @@ nothing; an empty table gives an empty result; other columns are ignored by `sub
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import checkpoint, each_batch, keyed, mark, real_id
+from folio.llm.common import checkpoint, keyed, mark, real_id
 
 WINDOW = 20
 GRAM = 5
@@ -45,22 +48,107 @@ GRAM = 5
 SEGMENT = 64
 #: Segments of a shard, about, and of one anchor at most.
 SHARD = 20_000
+#: Bytes of text that are taken at once, about; a longer text is taken alone.
+PART = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: The six separators of the contract.
+SEPARATOR = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
+# Hashes of word sequences are polynomials of their bytes' random numbers modulo 2^64; a power is a product of two tabled ones.
+BASE, BLOCK = 0xD6E8FEB86659FD93, 1 << 16
+BYTE = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], np.uint64)
 
-def split(text: str | None) -> list[bytes]:
-    # bytes.split() cuts at exactly the six separators of the contract.
-    return (text or "").encode("utf-8", "surrogatepass").split()
 
+def powers(base: int, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.array([1] + [base % 2**64] * (n - 1), np.uint64))
 
-def grams(words: list[bytes]) -> np.ndarray:
-    """A hash of every GRAM-word sequence."""
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    out = np.zeros(len(words) - GRAM + 1, np.uint64)
-    for j in range(GRAM):
-        out = out * MIX + h[j : len(h) - GRAM + 1 + j]
-    out ^= out >> np.uint64(29)
-    return out * MIX
+
+UP, DOWN = powers(BASE, BLOCK), powers(pow(BASE, -1, 2**64), BLOCK)
+
+
+class Words:
+    """The words of several texts, each followed by one space.
+
+    data: their bytes; begin: where each word begins, and the end; first: each text's first word, and the end.
+    """
+
+    def __init__(self, texts: pa.Array):
+        nothing = pa.scalar(b"", pa.large_binary())
+        # Each text with a space at its end, so that no word goes on in the next text.
+        spaced = pc.binary_join_element_wise(pc.fill_null(texts.cast(pa.large_binary()), nothing), nothing, pa.scalar(b" ", pa.large_binary()))
+        offsets = np.frombuffer(spaced.buffers()[1], np.int64, len(spaced) + 1, 8 * spaced.offset)
+        raw = np.frombuffer(spaced.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        separator = SEPARATOR[raw]
+        stop = separator.copy()
+        stop[:1] = False
+        stop[1:] &= ~separator[:-1]
+        self.first = np.searchsorted(np.flatnonzero(stop), offsets - offsets[0])
+        keep = ~separator | stop
+        self.data, stop = raw[keep], stop[keep]
+        self.data[stop] = 32
+        self.begin = np.concatenate(([0], np.flatnonzero(stop) + 1))
+
+    def __len__(self) -> int:
+        return len(self.begin) - 1
+
+    def ready(self) -> None:
+        """Sums of the polynomial up to each word, and what takes a sum from a word on down to the same power."""
+        terms = BYTE[self.data]
+        for at in range(0, len(terms), BLOCK):
+            block = terms[at : at + BLOCK]
+            block *= UP[: len(block)] * np.uint64(pow(BASE, at, 2**64))
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms)))[self.begin]
+        far = powers(pow(BASE, -BLOCK, 2**64), (len(terms) >> 16) + 1)
+        self.down = DOWN[self.begin & (BLOCK - 1)] * far[self.begin >> 16]
+
+    def hashes(self, low, high) -> np.ndarray:
+        """Hashes of the sequences from words `low` up to words `high`."""
+        x = (self.sums[high] - self.sums[low]) * self.down[low]
+        x ^= x >> np.uint64(32)
+        x *= MIX
+        x ^= x >> np.uint64(29)
+        x *= MIX
+        return x ^ (x >> np.uint64(32))
+
+    def sequences(self, low: np.ndarray, high: np.ndarray) -> list[bytes]:
+        """The words from each `low` up to each `high`, joined by one space."""
+        data = self.data.tobytes()
+        return [data[a:b] for a, b in zip(self.begin[low].tolist(), (self.begin[high] - 1).tolist(), strict=True)]
+
+    def codes(self) -> tuple[np.ndarray, int]:
+        """A number for each word, equal for equal words only, and how many there are."""
+        at = np.ascontiguousarray(self.begin - np.arange(len(self.begin)), np.int64)
+        told = pa.Array.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(at), pa.py_buffer(self.data[self.data != 32])]).dictionary_encode()
+        return told.indices.to_numpy(), len(told.dictionary)
+
+
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about PART bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // PART
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)] if len(sizes) else []
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield batch.slice(a, b - a)
+
+
+def arrow_step(docs: DataFrame, step, schema: str) -> DataFrame:
+    """Apply `step`, from a batch to a list of columns, to the batches of `docs` within its partitions."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in step(batch)], names=names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def flat(found: list[tuple], *kinds) -> list[np.ndarray]:
+    """Columns of several parts, one after another."""
+    return [np.concatenate([np.zeros(0, kind), *(f[i] for f in found)]).astype(kind) for i, kind in enumerate(kinds)]
+
+
+def ints(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
 
 
 def anchors(g: np.ndarray) -> np.ndarray:
@@ -73,49 +161,72 @@ def anchors(g: np.ndarray) -> np.ndarray:
     return g
 
 
-def cuts_of(a: np.ndarray) -> np.ndarray:
-    """Where the segments begin: at each change of the windows' anchor, and after SEGMENT windows of one."""
-    starts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-    into = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
-    return np.flatnonzero(into % SEGMENT == 0)
+def windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each window's text, first word, anchor, and whether its first GRAM words are the anchor's."""
+    counts = np.maximum(np.diff(words.first) - (WINDOW - 1), 0)
+    text = np.repeat(np.arange(len(counts)), counts)
+    if not len(text):
+        return text, text, np.zeros(0, np.int64), np.zeros(0, bool)
+    words.ready()
+    at = np.arange(len(text)) + np.repeat(words.first[:-1] - (np.cumsum(counts) - counts), counts)
+    g = words.hashes(slice(0, len(words) - GRAM + 1), slice(GRAM, None))
+    least = anchors(g)[at]
+    return text, at, least.view(np.int64), g[at] == least
+
+
+def runs_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The segments: each one's text, first word, number of windows and anchor, and at how many new places the anchor stands.
+
+    A segment begins at each change of the windows' anchor, and after SEGMENT windows of one. A window's anchor stands at a new
+    place where a run begins, and where the window before began with the anchor.
+    """
+    text, at, least, leads = windows(words)
+    if not len(text):
+        return text, at, at, least, at
+    new = np.concatenate(([True], (least[1:] != least[:-1]) | (text[1:] != text[:-1])))
+    starts = np.flatnonzero(new)
+    into = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
+    low = np.flatnonzero(into % SEGMENT == 0)
+    moved = new.copy()
+    moved[1:] |= leads[:-1]
+    return text[low], at[low], np.diff(np.append(low, len(at))), least[low], np.add.reduceat(moved.astype(np.int64), low)
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(h, s, _k, n): each document's anchors with a hash of each distinct segment; n, on one row an anchor, is how often its words stand there."""
-
-    def step(batch: pd.DataFrame) -> pd.DataFrame:
-        hs, ss, ids, ns = [], [], [], []
-        for key, text in zip(batch["_k"], batch["text"], strict=True):
-            words = split(text)
-            if len(words) >= WINDOW:
-                g = grams(words)
-                a = anchors(g)
-                low = cuts_of(a)
-                # The sequences of a segment's words, from its first to its last window's last.
-                last = np.append(low[1:], len(a)) + WINDOW - GRAM
-                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(g)))
-                mixed = ((sums[last] - sums[low]) * MIX ^ g[low]) * MIX ^ g[last - 1]
-                pairs = np.unique(np.stack([a[low], mixed >> np.uint64(33)], 1), axis=0)
-                own = pairs[:, 0]
-                all_, counts = np.unique(g, return_counts=True)
-                first = np.concatenate(([True], own[1:] != own[:-1]))
-                hs.append(own)
-                ss.append(pairs[:, 1])
-                ns.append(np.where(first, counts[np.searchsorted(all_, own)], 0))
-                ids.append(np.full(len(own), key))
-        flat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        return pd.DataFrame({"h": flat(hs, np.uint64).view(np.int64), "s": flat(ss, np.int32), "_k": flat(ids, np.int64), "n": flat(ns, np.int32)})
-
-    return each_batch(docs.select("_k", "text"), step, "h long, s int, _k long, n int")
+    """(h, s, _k): each document's anchors with a hash of each distinct segment, its complement where the anchor's words stand twice in the document."""
+
+    def step(batch: pa.RecordBatch) -> list[np.ndarray]:
+        found = []
+        for part in parts(batch):
+            words = Words(part.column("text"))
+            text, at, n, h, places = runs_of(words)
+            if not len(text):
+                continue
+            s = (words.hashes(at, at + n + WINDOW - 1) >> np.uint64(33)).astype(np.int32)
+            order = np.lexsort((s, h, text))
+            text, h, s, places = text[order], h[order], s[order], places[order]
+            first = np.concatenate(([True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])))
+            begins = np.flatnonzero(first)
+            twice = np.repeat(np.add.reduceat(places, begins) > 1, np.diff(np.append(begins, len(h))))
+            first[1:] |= s[1:] != s[:-1]
+            found.append((h[first], np.where(twice, ~s, s)[first], ints(part.column("_k"))[text[first]]))
+        return flat(found, np.int64, np.int32, np.int64)
+
+    return arrow_step(docs.select("_k", "text"), step, "h long, s int, _k long")
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """(_k, hs, hot): the anchors of each document that stand more than once in the corpus; those with more than SHARD distinct segments apart."""
-    # Dealt once, by anchor, for both counts and the join. Anchors stay rows: no list of them is gathered.
+    """(_k, hs, hot, segments): the anchors of each document that stand more than once in the corpus; those with more than SHARD
+    distinct segments apart, and how many segments the others have.
+    """
+    # Made and dealt once, by anchor, for both counts and the join: both sides read all three columns, or they would be two
+    # exchanges and every text would be hashed twice. Anchors stay rows: no list of them is gathered.
     rows = anchor_rows(docs).repartition("h")
-    counts = rows.groupBy("h", "s").agg(F.sum("n").alias("n")).groupBy("h").agg(F.sum("n").alias("_n"), F.count("*").alias("_s"))
-    many = counts.where("_n > 1").select("h", (F.col("_s") > SHARD).alias("_hot"))
-    return rows.join(many, "h").groupBy("_k").agg(F.collect_set(F.when(~F.col("_hot"), F.col("h"))).alias("hs"), F.collect_set(F.when(F.col("_hot"), F.col("h"))).alias("hot"))
+    by_segment = rows.groupBy("h", F.greatest("s", F.bitwise_not("s")).alias("_s")).agg(F.count("_k").alias("_n"), F.min("s").alias("_least"))
+    counts = by_segment.groupBy("h").agg(F.sum("_n").alias("_n"), F.min("_least").alias("_least"), F.count("*").alias("_s"))
+    many = counts.where("_n > 1 OR _least < 0").select("h", (F.col("_s") > SHARD).alias("_hot"))
+    cool, hot = F.when(~F.col("_hot"), F.col("h")), F.when(F.col("_hot"), F.col("h"))
+    return rows.join(many, "h").groupBy("_k").agg(F.collect_set(cool).alias("hs"), F.collect_set(hot).alias("hot"), F.count(F.when(~F.col("_hot"), F.col("s"))).alias("segments"))
 
 
 PLACE = ["_id", "_th", "start"]
@@ -132,40 +243,49 @@ def segments(docs: DataFrame, content: bool) -> DataFrame:
     With the content, only the first copy within a batch is given: a common segment has a row for each batch at most.
     """
 
-    def step(batch: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple] = []
-        for key, th, text, hs in zip(batch["_id"], batch["_th"], batch["text"], batch["hs"], strict=True):
-            words = split(text)
-            if len(words) < WINDOW:
-                continue
-            a = anchors(grams(words)).view(np.int64)
-            low = cuts_of(a)
-            sizes = np.diff(np.append(low, len(a)))
-            own = np.isin(a[low], np.asarray(hs, np.int64))
-            for at, n, h in zip(low[own].tolist(), sizes[own].tolist(), a[low[own]].tolist(), strict=True):
-                joined = b" ".join(words[at : at + n + WINDOW - 1])
-                rows.append((h, xxhash.xxh64_intdigest(joined) - (1 << 63), n, key, th, at, *[joined] * content))
-        out = pd.DataFrame(rows, columns=["h", "c", "n", *PLACE, *["content"] * content])
-        return out.sort_values(PLACE).drop_duplicates(["h", "c"]) if content else out
-
-    return each_batch(docs.select("_id", "_th", "text", "hs"), step, "h long, c long, n int, _id long, _th long, start int" + ", content binary" * content)
+    def step(batch: pa.RecordBatch) -> list:
+        found, joined = [], []
+        for part in parts(batch):
+            words = Words(part.column("text"))
+            text, at, n, h, _ = runs_of(words)
+            # Whether an anchor is repeated doesn't depend on the document.
+            own = np.isin(h, ints(part.column("hs").flatten()))
+            text, at, n, h = text[own], at[own], n[own], h[own]
+            said = words.sequences(at, at + n + WINDOW - 1)
+            found.append((h, digests(said), n, ints(part.column("_id"))[text], ints(part.column("_th"))[text], at - words.first[text]))
+            if content:
+                joined.extend(said)
+        columns = flat(found, np.int64, np.int64, np.int32, np.int64, np.int64, np.int32)
+        if not content:
+            return columns
+        h, c, _, key, th, start = columns
+        order = np.lexsort((start, th, key, h, c))
+        h, c = h[order], c[order]
+        first = order[np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))[: len(h)]]
+        return [*(x[first] for x in columns), pa.array([joined[i] for i in first.tolist()], pa.binary())]
+
+    return arrow_step(docs.select("_id", "_th", "text", "hs"), step, "h long, c long, n int, _id long, _th long, start int" + ", content binary" * content)
+
+
+def digests(said: list[bytes], seed: int = 0) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in said), np.uint64, len(said)).view(np.int64)
 
 
 def hot_windows(docs: DataFrame) -> DataFrame:
     """The windows with an anchor that is hot in their document, as segments of one window: h is a second hash of the window's words."""
 
-    def step(batch: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple] = []
-        for key, th, text, hot in zip(batch["_id"], batch["_th"], batch["text"], batch["hot"], strict=True):
-            words = split(text)
-            if len(words) < WINDOW:
-                continue
-            for at in np.flatnonzero(np.isin(anchors(grams(words)).view(np.int64), np.asarray(hot, np.int64))).tolist():
-                joined = b" ".join(words[at : at + WINDOW])
-                rows.append((xxhash.xxh64_intdigest(joined, 1) - (1 << 63), xxhash.xxh64_intdigest(joined) - (1 << 63), 1, key, th, at))
-        return pd.DataFrame(rows, columns=["h", "c", "n", *PLACE])
+    def step(batch: pa.RecordBatch) -> list:
+        found = []
+        for part in parts(batch):
+            words = Words(part.column("text"))
+            text, at, least, _ = windows(words)
+            own = np.isin(least, ints(part.column("hot").flatten()))
+            text, at = text[own], at[own]
+            said = words.sequences(at, at + WINDOW)
+            found.append((digests(said, 1), digests(said), np.ones(len(at), np.int32), ints(part.column("_id"))[text], ints(part.column("_th"))[text], at - words.first[text]))
+        return flat(found, np.int64, np.int64, np.int32, np.int64, np.int64, np.int32)
 
-    return each_batch(docs.select("_id", "_th", "text", "hot"), step, "h long, c long, n int, _id long, _th long, start int")
+    return arrow_step(docs.select("_id", "_th", "text", "hot"), step, "h long, c long, n int, _id long, _th long, start int")
 
 
 class WaveletMatrix:
@@ -235,24 +355,24 @@ def search(shard: pd.DataFrame) -> pd.DataFrame:
     segment as runs (at, many).
     """
     shard = shard.sort_values([*PLACE, "h", "c"]).reset_index(drop=True)
-    parts = [bytes(x).split() for x in shard["content"]]
-    sizes = np.array([len(p) for p in parts], np.int64)
-    codes, names = pd.factorize(np.array([w for p in parts for w in p], object))
-    text = np.zeros(int(sizes.sum()) + len(parts), np.int32)
+    words = Words(pa.array(shard["content"], pa.large_binary()))
+    sizes = np.diff(words.first)
+    codes, names = words.codes()
+    text = np.zeros(len(words) + len(shard), np.int32)
     ends = np.cumsum(sizes + 1) - 1
     keep = np.ones(len(text), bool)
     keep[ends] = False
     text[keep] = codes + 1
-    index = FMIndex(text, len(names) + 1)
+    index = FMIndex(text, names + 1)
     # A place's order: its document's, then its word's.
     _, document = np.unique(np.stack([shard["_id"], shard["_th"]], 1), axis=0, return_inverse=True)
-    owner = np.repeat(np.arange(len(parts)), sizes + 1)
+    owner = np.repeat(np.arange(len(shard)), sizes + 1)
     offset = np.arange(len(text)) - (ends - sizes)[owner]
     place = (document.reshape(-1)[owner].astype(np.int64) << 32) | (shard["start"].to_numpy(np.int64)[owner] + offset)
     first = np.minimum.reduceat(place[index.order], index.low)
     earlier = np.zeros(len(text), bool)
     by_size = np.argsort(-sizes, kind="stable")
-    low, high = np.zeros(len(parts), np.int32), np.full(len(parts), index.n, np.int32)
+    low, high = np.zeros(len(shard), np.int32), np.full(len(shard), index.n, np.int32)
     for step in range(int(sizes.max(initial=0))):
         now = by_size[: np.searchsorted(-sizes[by_size], -step, side="left")]
         at = ends[now] - 1 - step
@@ -272,7 +392,7 @@ def search(shard: pd.DataFrame) -> pd.DataFrame:
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents dealt by _k, and (_k, cuts): their repeated windows as structs (_th, at, many)."""
     anchored = checkpoint(repeated_anchors(docs))
-    total = anchored.agg(F.sum(F.size("hs"))).first()[0] or 0
+    total = anchored.agg(F.sum("segments")).first()[0] or 0
     shards = max(1, -(-total // SHARD))
     # Dealt by _k once; the joins below and the last one read the same exchange.
     dealt = docs.repartition("_k")
@@ -296,28 +416,35 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return dealt, cuts.groupBy("_k").agg(F.collect_set("_c").alias("cuts"))
 
 
-def kept(text: str | None, th: int, cuts) -> tuple[int, int, bytes]:
-    """The number of words, of removed words, and the words left."""
-    words = split(text)
-    gone = np.zeros(len(words) + 1, np.int32)
-    for c in cuts if cuts is not None else ():
-        if c["_th"] == th:
-            gone[c["at"]] += 1
-            gone[c["at"] + c["many"] + WINDOW - 1] -= 1
-    gone = np.cumsum(gone[:-1]) > 0
-    n = int(gone.sum())
-    return len(words), n, b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if n else b" ".join(words)
+def rest(words: Words, th: np.ndarray, cuts: pa.Array) -> tuple[np.ndarray, list[bytes]]:
+    """Each text's number of removed words, and its words left, joined by one space."""
+    runs, text = cuts.flatten(), ints(pc.list_parent_indices(cuts))
+    own = ints(runs.field("_th")) == th[text]
+    low = words.first[text[own]] + ints(runs.field("at"))[own]
+    high = low + ints(runs.field("many"))[own] + WINDOW - 1
+    n = len(words) + 1
+    gone = np.cumsum(np.bincount(low, minlength=n) - np.bincount(high, minlength=n))[:-1] > 0
+    sizes = np.diff(words.begin)
+    data = words.data[np.repeat(~gone, sizes)].tobytes()
+    ends = np.concatenate(([0], np.cumsum(np.where(gone, 0, sizes))))[words.first].tolist()
+    removed = np.diff(np.concatenate(([0], np.cumsum(gone)))[words.first])
+    return removed, [data[a : max(a, b - 1)] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def substring_report(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256 (of the words left, joined by one space)."""
     dealt, cuts = repeated_windows(keyed(docs).select("_id", "_th", key(), "text"))
 
-    def step(batch: pd.DataFrame) -> pd.DataFrame:
-        rows = [(key, *kept(text, th, c)) for key, th, text, c in zip(batch["_id"], batch["_th"], batch["text"], batch["cuts"], strict=True)]
-        return pd.DataFrame([(a, b, c, hashlib.sha256(d).hexdigest()) for a, b, c, d in rows], columns=["_id", "n_words", "n_removed", "kept_sha256"])
+    def step(batch: pa.RecordBatch) -> list:
+        found, sums = [], []
+        for part in parts(batch):
+            words = Words(part.column("text"))
+            removed, left = rest(words, ints(part.column("_th")), part.column("cuts"))
+            found.append((ints(part.column("_id")), np.diff(words.first), removed))
+            sums.extend(hashlib.sha256(x).hexdigest() for x in left)
+        return [*flat(found, np.int64, np.int64, np.int64), pa.array(sums, pa.string())]
 
-    out = each_batch(dealt.join(cuts, "_k", "left").select("_id", "_th", "text", "cuts"), step, "_id long, n_words long, n_removed long, kept_sha256 string")
+    out = arrow_step(dealt.join(cuts, "_k", "left").select("_id", "_th", "text", "cuts"), step, "_id long, n_words long, n_removed long, kept_sha256 string")
     return out.select(real_id("_id"), "n_words", "n_removed", "kept_sha256")
 
 
@@ -325,14 +452,17 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     """`docs` with the words of repeated windows cut from their texts; a text that loses nothing stays as it is."""
     _, cuts = repeated_windows(keyed(docs).select("_id", "_th", key(), "text"))
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, th: pd.Series, found: pd.Series) -> pd.Series:
-        left = (kept(t, h, c) for t, h, c in zip(text, th, found, strict=True))
-        return pd.Series([t if not n else rest.decode("utf-8", "surrogatepass") for t, (_, n, rest) in zip(text, left, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, th: pa.Array, found: pa.Array) -> pa.Array:
+        out: list[bytes | None] = []
+        for part in parts(pa.RecordBatch.from_arrays([text, th, found], names=["text", "_th", "cuts"])):
+            removed, left = rest(Words(part.column("text")), ints(part.column("_th")), part.column("cuts"))
+            out.extend(x if n else None for n, x in zip(removed.tolist(), left, strict=True))
+        return pa.array(out, pa.binary()).cast(pa.string())
 
     kind = docs.schema["text"].dataType
     rows = mark(docs).withColumn("_k", key()).join(cuts, "_k", "left")
-    rows = rows.withColumn("_text", F.when(F.col("cuts").isNull(), F.col("_row.text")).otherwise(cut(F.col("_row.text").cast("string"), "_th", "cuts").cast(kind)))
+    rows = rows.withColumn("_text", F.coalesce(cut(F.col("_row.text").cast("string"), "_th", "cuts").cast(kind), F.col("_row.text")))
     return rows.select(*(F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
