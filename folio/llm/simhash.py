@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import checkpoint, components, each_batch, keyed, mark, real_id
+from folio.llm.common import checkpoint, components, dealt, each_batch, keyed, mark, real_id
 
 SHINGLE = 3
 SEED = 42
@@ -106,7 +106,7 @@ def finer(crowded: DataFrame) -> DataFrame:
 
 def pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
     left, right = rows.withColumnRenamed("fp", "u"), rows.withColumnRenamed("fp", "v")
-    met = left.join(right, keys).where("u > v")
+    met = left.join(dealt(right), keys).where("u > v")
     return met.where(distance(F.col("u"), F.col("v")) <= DISTANCE).select("u", "v").distinct()
 
 
@@ -121,17 +121,17 @@ def asked(rows: DataFrame) -> DataFrame:
     masks = F.transform(F.array(*(F.array(*(F.lit(i) for i in c)) for c in picks)), lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(F.get("_free", i))))
     wanted = rows.withColumn("_free", free).select("fp", F.explode(masks).alias("_m")).select(F.col("fp").alias("u"), F.col("fp").bitwiseXOR(F.col("_m")).alias("v")).where("u > v")
     members = rows.select(F.col("fp").alias("v")).distinct()
-    return wanted.join(members, "v", "left_semi").select("u", "v").distinct()
+    return wanted.join(dealt(members), "v", "left_semi").select("u", "v").distinct()
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (u, v) between distinct fingerprints that differ in at most DISTANCE bits."""
     index = variants(fps)
     counts = index.groupBy("key").count().where("count > 1")
-    shared = checkpoint(index.join(counts, "key"))
+    shared = checkpoint(index.join(dealt(counts), "key"))
     near = pairs(shared.where(F.col("count") <= CROWD).select("key", "fp"), ["key"])
     fine = finer(shared.where(F.col("count") > CROWD).select("key", "fp"))
-    fine = checkpoint(fine.join(fine.groupBy("key", "sub").count().where("count > 1"), ["key", "sub"]))
+    fine = checkpoint(fine.join(dealt(fine.groupBy("key", "sub").count().where("count > 1")), ["key", "sub"]))
     far = pairs(fine.where(F.col("count") <= THRONG).select("key", "sub", "fp"), ["key", "sub"])
     return near.unionByName(far).unionByName(asked(fine.where(F.col("count") > THRONG))).distinct()
 
@@ -142,7 +142,7 @@ def classes(docs: DataFrame) -> DataFrame:
     # Each gives 64 variants: a number of partitions by rows, which isn't coalesced by bytes.
     tasks = max(1, -(-rows.count() // TASK_ROWS))
     found = components(links(rows.select("fp").distinct().repartition(tasks, "fp")))
-    return rows.join(found, rows["fp"] == found["node"], "left").select("doc_id", "_id", "_th", "fp", F.coalesce("root", "fp").alias("component"))
+    return rows.join(dealt(found), rows["fp"] == found["node"], "left").select("doc_id", "_id", "_th", "fp", F.coalesce("root", "fp").alias("component"))
 
 
 def simhash(docs: DataFrame) -> DataFrame:
@@ -150,12 +150,12 @@ def simhash(docs: DataFrame) -> DataFrame:
     rows = classes(docs)
     # Written out, so that the join deals both sides by itself and can split a component that holds many rows.
     heads = checkpoint(rows.groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    return rows.join(heads, "component").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(dealt(heads), "component").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """`docs` with one row of each component: the one of least doc_id (missing ids last), then of least text hash."""
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("_id").alias("b"), F.col("_th").alias("c"))
     best = classes(docs).groupBy("component").agg(F.min(order).alias("_o")).select(F.col("_o.b").alias("_id"), F.col("_o.c").alias("_th"))
-    kept = mark(docs).join(best, ["_id", "_th"], "left_semi")
+    kept = mark(docs).join(dealt(best), ["_id", "_th"], "left_semi")
     return kept.dropDuplicates(["_id", "_th"]).select("_row.*")
