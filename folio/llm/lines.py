@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import WORD, checkpoint, keyed, mark, real_id
+from folio.llm.common import WORD, checkpoint, dealt, keyed, mark, real_id
 
 MIN_WORDS = 8
 #: Slices of the order in which running sums are taken.
@@ -51,7 +51,7 @@ def ordered(groups: DataFrame, by: list[str], key: Column, slice_: Column) -> Da
     sums = sums.select(*by, "_slice", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_base"))
     within = Window.partitionBy(*by, "_slice").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_in", F.coalesce(F.sum("n").over(within), F.lit(0)))
-    return rows.join(sums, [*by, "_slice"]).withColumn("before", F.col("_base") + F.col("_in")).drop("_base", "_in", "_slice", "_key")
+    return rows.join(dealt(sums), [*by, "_slice"]).withColumn("before", F.col("_base") + F.col("_in")).drop("_base", "_in", "_slice", "_key")
 
 
 def first_ranks(rows: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def first_ranks(rows: DataFrame) -> DataFrame:
     tops = counts.groupBy("_one").agg(F.sum("n").alias("_n"))
     tops = tops.select("_one", F.coalesce(F.sum("_n").over(Window.orderBy("_one").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # at most 4,096 rows
     ranked = ranked.join(F.broadcast(tops), "_one").select("a", "b", (F.col("before") + F.col("_base")).alias("r0"))
-    return rows.join(ranked, ["a", "b"]).drop("a", "b").distinct()
+    return rows.join(dealt(ranked), ["a", "b"]).drop("a", "b").distinct()
 
 
 def doubled(rows: DataFrame, k: int) -> DataFrame:
@@ -77,7 +77,7 @@ def doubled(rows: DataFrame, k: int) -> DataFrame:
     pairs = rows.groupBy(name, "_alone", "_second").agg(F.count("*").alias("n"))
     slice_ = F.when(F.col("_alone"), SLICES + F.shiftrightunsigned("_second", 56)).otherwise(F.floor(F.col("_second") * F.lit(SLICES / (top + 1))))
     ranked = ordered(pairs, [name], F.struct("_alone", "_second"), slice_).select(name, "_alone", "_second", (F.col(name) + F.col("before")).alias(after))
-    return rows.join(ranked, [name, "_alone", "_second"]).drop("_next", "_alone", "_second")
+    return rows.join(dealt(ranked), [name, "_alone", "_second"]).drop("_next", "_alone", "_second")
 
 
 def suffix_array(docs: DataFrame, depth: int) -> DataFrame:
@@ -116,11 +116,11 @@ def deleted(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = checkpoint(runs(array, min_words))
     place = F.struct("_id", "_th", "seq")
     heads = found.groupBy("d", "x", "y").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    later = found.join(checkpoint(heads), ["d", "x", "y"]).where(place > F.col("_first"))
+    later = found.join(dealt(checkpoint(heads)), ["d", "x", "y"]).where(place > F.col("_first"))
     lines_ = array.select("_id", "_th", "seq", "line")
     by = Window.partitionBy("_id", "_th").orderBy("seq")
     reach = later.groupBy("_id", "_th", "seq").agg(F.max(F.col("seq") + F.col("d")).alias("_to"))
-    marked = lines_.join(reach, ["_id", "_th", "seq"], "left")
+    marked = lines_.join(dealt(reach), ["_id", "_th", "seq"], "left")
     marked = marked.withColumn("_till", F.max("_to").over(by.rowsBetween(Window.unboundedPreceding, 0))).where("seq < _till")
     start = F.when(F.lag("seq").over(by).isNull() | (F.col("seq") > F.lag("seq").over(by) + 1), 1).otherwise(0)
     marked = marked.withColumn("_start", start).withColumn("_run", F.sum("_start").over(by.rowsBetween(Window.unboundedPreceding, 0)))
@@ -140,14 +140,14 @@ def left(text: Column) -> Column:
 
 def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row a document: doc_id, n_lines, n_removed, kept_sha256 (of the lines left, joined by line ends)."""
-    rows = keyed(docs).select("_id", "_th", "text").join(deleted(docs, min_words), ["_id", "_th"], "left").withColumn("_left", left(F.col("text")))
+    rows = keyed(docs).select("_id", "_th", "text").join(dealt(deleted(docs, min_words)), ["_id", "_th"], "left").withColumn("_left", left(F.col("text")))
     n = F.when(F.col("text") == "", F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long")
     return rows.select(real_id("_id"), n.alias("n_lines"), F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n")) - F.size("_left")).cast("long").alias("n_removed"), F.sha2(F.array_join("_left", "\n"), 256).alias("kept_sha256"))
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """`docs` with the later copies of repeated line runs deleted from the text."""
-    rows = mark(docs).join(deleted(docs, min_words), ["_id", "_th"], "left")
+    rows = mark(docs).join(dealt(deleted(docs, min_words)), ["_id", "_th"], "left")
     kind = docs.schema["text"].dataType
     text = F.when(F.col("gone").isNull(), F.col("_row.text")).otherwise(F.array_join(left(F.col("_row.text").cast("string")), "\n").cast(kind))
     return rows.withColumn("_text", text).select(*(F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

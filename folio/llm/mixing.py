@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import NO_ID, WORD, text_of
+from folio.llm.common import NO_ID, WORD, dealt, text_of
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -281,7 +281,7 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORD
     whole = docs.withColumns({"_id": F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), "_th": row_hash(docs)})
     # Rows of one key are equal in all columns, so any of them is the first.
     whole = whole.groupBy("_id", "_th").agg(F.first(F.struct(*(whole[f"`{c}`"] for c in columns))).alias("_doc"))
-    out = parts.join(whole, ["_id", "_th"]).select("_doc", "_size", "_parts", "_id", "_th")
+    out = parts.join(dealt(whole), ["_id", "_th"]).select("_doc", "_size", "_parts", "_id", "_th")
     words = F.regexp_extract_all(F.coalesce(F.col("_doc.text"), F.lit("")), F.lit(WORD), F.lit(0))
     full = F.filter("_parts", lambda p: p["word_from"] == 0)
     taken = F.aggregate("_parts", F.lit(0).cast("long"), lambda a, p: a + p["word_to"] - p["word_from"])

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import checkpoint, keyed, real_id
+from folio.llm.common import checkpoint, dealt, keyed, real_id
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DICTIONARY = 500_000
@@ -461,9 +461,9 @@ def encoded(docs: DataFrame, model: str = MODEL, most: int = DICTIONARY, step=la
     gaps = gaps.select("_key", "k", F.col("_u").cast("string").alias("unit")).where("length(unit) > 0").repartition(tasks, "unit")
     # The maxima only keep all columns, so that the distinct units are read from the same exchange as the gaps.
     units = gaps.groupBy("unit").agg(F.max("_key").alias("_k"), F.max("k").alias("_n")).where((F.col("_k") >= -(2**63)) & (F.col("_n") >= 0)).select("unit")
-    answers = gaps.join(encoded_units(units, vocabulary), "unit").select("_key", F.concat(F.array("k"), "ids").alias("_a"))
+    answers = gaps.join(dealt(encoded_units(units, vocabulary)), "unit").select("_key", F.concat(F.array("k"), "ids").alias("_a"))
     answers = answers.repartition(tasks, "_key").groupBy("_key").agg(F.collect_set("_a").alias("found"))
-    return begun.join(answers, "_key", "left").select("parts", "found").mapInArrow(last, f"_id long, {columns}").select("_id", *names)
+    return begun.join(dealt(answers), "_key", "left").select("parts", "found").mapInArrow(last, f"_id long, {columns}").select("_id", *names)
 
 
 def piece_report(docs: DataFrame, model: str = MODEL) -> DataFrame:
