@@ -141,3 +141,24 @@ def test_values_have_their_types_again(spark):
     r = rows_.where("field_path = 'placed'").first()
     assert str(r.as_date) == "2026-03-01" and r.as_int is None and r.as_decimal is None
     assert rows_.where("field_path = 'paid'").first().as_boolean is True and rows_.where("field_path = 'number'").first().as_int == 5
+
+
+def test_payloads_are_read_in_bounded_work(spark):
+    """A place's value is taken once, whatever is asked of it: the plan has some calls a declared field, not hundreds."""
+    df = spark.createDataFrame([(1, "{}")], "document_id int, payload string")
+    plan = C.conformed(df, ORDER)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("extended"))
+    plan = plan[plan.index("== Physical Plan") :]
+    assert 0 < plan.count("variant_get") < 100, plan.count("variant_get")
+
+
+def test_odd_payloads_are_refused_where_they_are_wrong(spark):
+    one = '{"value":1,"claimed_text":null}'
+    cases = {
+        '\n {"number":%s}' % one: ("number", None), '{"number":{"value":1}}': ("number", "missing_key"), '{"number":[1]}': ("number", "wrong_shape"), '{"number":{"value":1,"claimed_text":3}}': ("number", "wrong_shape"),
+        '{"number":null}': ("number", "wrong_shape"), "{}": ("number", "missing_field"), '{"a":1,"a":2}': ("", "not_an_object"), '"{"': ("", "not_an_object"), '{"marks":{}}': ("marks", "wrong_shape"),
+        '{"marks":%s}' % one: ("marks", "scalar_for_group"), '{"marks":[1]}': ("marks[0].rank", "missing_field"), '{"buyer":null}': ("buyer", "wrong_shape"),
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "document_id int, payload string")
+    got = {(r.document_id, r.field_path): r.problem for r in C.conformed(df, ORDER).collect()}
+    for i, (path, problem) in enumerate(cases.values()):
+        assert got[i, path] == problem, (i, path)
