@@ -151,6 +151,12 @@ def test_payloads_are_read_in_bounded_work(spark):
     assert 0 < plan.count("variant_get") < 100, plan.count("variant_get")
 
 
+def test_trees_are_dealt_once(spark):
+    df = spark.createDataFrame([(1, "{}")], "document_id int, payload string")
+    plan = T.rebuilt(C.conformed(df, DEEP), DEEP)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_odd_payloads_are_refused_where_they_are_wrong(spark):
     one = '{"value":1,"claimed_text":null}'
     cases = {
