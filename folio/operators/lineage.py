@@ -17,6 +17,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{named or tempfile.mkdtemp(prefix='folio-')}/{name}-{uuid.uuid4().hex}"
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """`df` as one side of a join that deals both by their keys, for tables that grow with the input.
+
+    Spark takes rows made by an explode for as large as what they were made from, and may send such a table whole through the driver.
+    """
+    return df.hint("merge")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir.
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.operators.lineage import dealt
 
 #: Keys of a manifest's documents, of their origins, of alignment keys and of labels, with their values' types; those that must stand.
 DOCUMENT_KEYS = {"document_id": str, "blob_sha256": str, "tier": str, "origin": dict, "schema_identity": str, "schema_hash": str, "path": str, "declared_label_count": int}
@@ -167,7 +168,7 @@ def documents(files: DataFrame) -> DataFrame:
 def labels(files: DataFrame) -> DataFrame:
     """Labels with the documents that they belong to, by file name or, for restricted ones, by content: set_path, document_id, schema_identity, declared, field_path, expectation, value, value_kind, ok."""
     given = files.where("kind <> 'manifest'").select("set_path", (F.col("kind") == "restricted").alias("_bundle"), F.explode("labels").alias("_l")).select("set_path", "_bundle", "_l.*")
-    return given.join(_owners(files), ["set_path", "_bundle", "name"]).drop("_bundle", "name")
+    return given.join(dealt(_owners(files)), ["set_path", "_bundle", "name"]).drop("_bundle", "name")
 
 
 def _owners(files: DataFrame) -> DataFrame:
@@ -206,14 +207,14 @@ def refusals(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     # A file beside the manifest for a restricted document is not read, so it is no stranger.
     read = files.where("kind = 'manifest' AND NOT exists(refusals, x -> x.problem IN ('not_json', 'not_an_object', 'not_a_list'))").select("set_path")
     owners = _owners(files).select("set_path", "_bundle", "name").unionByName(docs.where("tier = 'restricted'").select("set_path", F.lit(False).alias("_bundle"), F.replace("document_id", F.lit(":"), F.lit("_")).alias("name")))
-    lost = named.unionByName(blobs).join(read, "set_path", "left_semi").join(owners, ["set_path", "_bundle", "name"], "left_anti")
+    lost = named.unionByName(blobs).join(dealt(read), "set_path", "left_semi").join(dealt(owners), ["set_path", "_bundle", "name"], "left_anti")
     given = labels(files)
     short = given.where("declared IS NOT NULL").groupBy("set_path", "document_id", "declared").count().where("count <> declared")
     well = given.where("ok")
     again = well.groupBy("set_path", "document_id", "field_path").count().where("count > 1")
     keys = files.where("kind = 'manifest'").select("set_path", F.explode("entry_keys").alias("_k")).select("set_path", "_k.*")
     entry = path.startswith(F.concat("group_path", F.lit("["))) & path.endswith(F.concat(F.lit("."), F.col("key_field")))
-    same = well.join(keys.distinct(), "set_path").where(entry).groupBy("set_path", "document_id", "group_path", "key_field", "value_kind", "value").count().where("count > 1")
+    same = well.join(dealt(keys.distinct()), "set_path").where(entry).groupBy("set_path", "document_id", "group_path", "key_field", "value_kind", "value").count().where("count > 1")
     key_path = F.concat_ws(".", "group_path", "key_field")
     out = (
         own.unionByName(row(twice, doc, none, "repeated_document"))
@@ -227,11 +228,11 @@ def refusals(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     known = facts.select("schema_identity").distinct()
     typed = well.withColumn("path", T.strip_indices(path)).join(known, "schema_identity", "left_semi").join(facts.select("schema_identity", "path", "type"), ["schema_identity", "path"], "left")
     unfit = typed.where((F.col("expectation") == "value") & F.col("type").isNotNull() & ~carried(F.col("value"), F.col("value_kind"), F.col("type")))
-    asked = keys.distinct().join(good.select("set_path", "schema_identity").distinct(), "set_path").join(known, "schema_identity", "left_semi").withColumn("path", key_path)
+    asked = keys.distinct().join(dealt(good.select("set_path", "schema_identity").distinct()), "set_path").join(known, "schema_identity", "left_semi").withColumn("path", key_path)
     odd = asked.join(facts.where("type <> 'group'").select("schema_identity", "path"), ["schema_identity", "path"], "left_anti")
     return out.unionByName(row(typed.where("type IS NULL"), doc, path, "unresolved_path").distinct()).unionByName(row(unfit, doc, path, "value_not_carried").distinct()).unionByName(row(odd, none, F.col("path"), "key_not_scalar").distinct())
 
 
 def accepted(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """The files of sets without any refusal: a set is taken whole or not at all."""
-    return files.join(refusals(files, facts).select("set_path").distinct(), "set_path", "left_anti")
+    return files.join(dealt(refusals(files, facts).select("set_path").distinct()), "set_path", "left_anti")

@@ -93,3 +93,15 @@ def test_folders_of_sets(spark, tmp_path):
 def test_no_sets(spark):
     none = L.parsed(spark.createDataFrame([], "path string, content string, labels int"))
     assert L.refusals(none).count() == 0 and L.accepted(none).count() == 0
+
+
+def test_what_grows_with_the_sets_is_dealt_by_key(spark):
+    """Only the declared fields of schemas are sent whole: no table of files, documents or labels."""
+    from folio.plans import labelled as P
+
+    sf = "/root/testdata/sf0.001"
+    got = P.parsed(spark, sf)
+    for df in (L.refusals(got, P.facts(spark)), L.labels(L.accepted(got, P.facts(spark))), P.labelled_documents(spark, sf)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        joins = [x for x in plan.splitlines() if "BroadcastHashJoin" in x or "BroadcastNestedLoopJoin" in x]
+        assert all("[schema_identity" in x for x in joins), joins
