@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.catalogue import query
-from folio.operators.lineage import checkpoint
+from folio.operators.lineage import checkpoint, dealt
 from folio.plans.conforming import SCHEMA
 from folio.plans.tables import table
 from folio.sources import labelled as L
@@ -80,4 +80,4 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of the sets without an error, with how many labels each declares and has."""
     good = L.accepted(parsed(spark, sf_dir), facts(spark))
     given = L.labels(good).groupBy("set_path", "document_id").agg(F.count("*").alias("n_labels"))
-    return L.documents(good).select("set_path", "document_id", "tier", "declared").join(given, ["set_path", "document_id"])
+    return L.documents(good).select("set_path", "document_id", "tier", "declared").join(dealt(given), ["set_path", "document_id"])
