@@ -5,7 +5,11 @@ Ten words are a line and five lines a page of 1000 x 100, whose words stand 100
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.catalogue import query
@@ -19,25 +23,27 @@ w AS (SELECT k, kind, i, i // 50 AS page, (i % 50) // 10 AS line, i % 10 AS plac
 n AS (SELECT k, kind, len(words) AS n, list_sum([length(x) + 1 FOR x IN words])::BIGINT - 1 AS chars FROM texts)"""
 
 
+#: Words of a line, and of a page.
+LINE_WORDS, PAGE_WORDS = 10, 50
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every word of every document with its line and page: document_id, kind, i, page, line, place, start, word."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("_w"))
-    flat = docs.select("document_id", (F.col("document_id") % 17).alias("kind"), F.posexplode("_w").alias("i", "word"))
-    before = Window.partitionBy("document_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    at = lambda sql: F.expr(sql)
-    return flat.select("document_id", "kind", "i", at("i div 50").alias("page"), at("i % 50 div 10").alias("line"), at("i % 10").alias("place"), F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)).alias("start"), "word")
+    """Each document's words as a list: document_id, kind, _w. A payload is made within its row, so no word is shuffled."""
+    listed = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 17).alias("kind"), listed.alias("_w"))
 
 
-def gathered(rows: DataFrame, by: list[str], order: str, value: Column, name: str) -> DataFrame:
-    """A group's values as one list in order, beside its kind."""
-    got = rows.groupBy(*by, "kind").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), value.alias("_v")))).alias("_all"))
-    return got.withColumn(name, F.transform("_all", lambda x: x["_v"])).drop("_all")
+def cut(n: Column, size: int, make: Callable[[Column], Column]) -> Column:
+    """What is made of the places 0, size, 2 * size ... before n, or null if there is none."""
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(size)), make))
 
 
-def answers(spark: SparkSession, sf_dir: str, pages: DataFrame, payload: Column) -> DataFrame:
-    """A payload for each document, those without words included."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 17).alias("kind"))
-    return docs.join(pages.drop("kind"), "document_id", "left").select("document_id", payload.alias("payload"))
+def starts(lengths: pa.ListArray) -> pa.ListArray:
+    """Where each word begins in its text, words standing a space apart."""
+    each, ends = lengths.flatten().to_numpy() + 1, lengths.offsets.to_numpy().astype(np.int32)
+    ends = ends - ends[0]
+    before = np.concatenate(([0], np.cumsum(each, dtype=np.int64)))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array((before[:-1] - np.repeat(before[ends[:-1]], np.diff(ends))).astype(np.int32)))
 
 
 def span(start: Column, length: Column) -> Column:
@@ -45,31 +51,47 @@ def span(start: Column, length: Column) -> Column:
 
 
 def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, y, kind = F.col("place") * 100.0, F.col("line") * 20.0, F.col("kind")
+    kind, n = F.col("kind"), F.size("_w")
+
+    @F.arrow_udf("array<int>")
+    def begun(lengths: pa.Array) -> pa.Array:
+        return starts(lengths)
+
+    docs = words(spark, sf_dir)
+    docs = docs.withColumn("_s", begun(F.transform("_w", lambda w: F.length(w))))
+
     # Kind 3: every word begins where the text does. Kind 5: every word stands a page's width to the right.
-    x = F.when(kind == 5, x + 1100).otherwise(x)
-    start = F.when(kind == 3, 0).otherwise(F.col("start"))
-    word = F.struct(F.col("word").alias("content"), F.array(x, y, x + 90, y, x + 90, y + 10, x, y + 10).alias("polygon"), F.lit(0.5).alias("confidence"), span(start, F.length("word")).alias("span"))
-    lines = gathered(words(spark, sf_dir), ["document_id", "page", "line"], "i", word, "words")
-    first, last = F.element_at("words", 1)["span"], F.element_at("words", -1)["span"]
-    lines = lines.withColumn("span", span(first["offset"], last["offset"] + last["length"] - first["offset"]))
-    text = F.array_join(F.transform("words", lambda w: w["content"]), " ")
-    of = gathered(lines, ["document_id", "page"], "line", F.struct(F.array(F.col("span")).alias("spans"), text.alias("content"), F.col("words").alias("words")), "lines")
-    page = F.struct(
-        (F.col("page") * 2 + 1).alias("pageNumber"), F.lit(1000.0).alias("width"), F.lit(100.0).alias("height"), F.flatten(F.transform("lines", lambda a: a["words"])).alias("words"),
-        F.transform("lines", lambda a: F.struct(a["content"].alias("content"), a["spans"].alias("spans"))).alias("lines"), F.array(F.element_at("lines", 1)["spans"][0]).alias("spans"),
-    )
-    pages = gathered(of, ["document_id"], "page", page, "pages")
-    content = F.array_join(F.transform("pages", lambda p: F.array_join(F.transform(p["lines"], lambda a: a["content"]), " ")), " ")
+    def start(i: Column) -> Column:
+        return F.when(kind == 3, 0).otherwise(F.get("_s", i))
+
+    def word(text: Column, i: Column, at: Column) -> Column:
+        x, y = i % LINE_WORDS * 100.0, F.floor(i / LINE_WORDS) * 20.0
+        x = F.when(kind == 5, x + 1100).otherwise(x)
+        return F.struct(text.alias("content"), F.array(x, y, x + 90, y, x + 90, y + 10, x, y + 10).alias("polygon"), F.lit(0.5).alias("confidence"), span(start(at + i), F.length(text)).alias("span"))
+
+    def line_span(at: Column, end: Column) -> Column:
+        return span(start(at), start(end - 1) + F.length(F.get("_w", end - 1)) - start(at))
+
+    def line(at: Column) -> Column:
+        end = F.least(at + LINE_WORDS, n)
+        return F.struct(F.array_join(F.slice("_w", at + 1, F.lit(LINE_WORDS)), " ").alias("content"), F.array(line_span(at, end)).alias("spans"))
+
+    def page(at: Column) -> Column:
+        return F.struct(
+            (at / PAGE_WORDS * 2 + 1).cast("int").alias("pageNumber"), F.lit(1000.0).alias("width"), F.lit(100.0).alias("height"), F.transform(F.slice("_w", at + 1, F.lit(PAGE_WORDS)), lambda w, i: word(w, i, at)).alias("words"),
+            cut(F.least(n - at, F.lit(PAGE_WORDS)), LINE_WORDS, lambda i: line(at + i)).alias("lines"), F.array(line_span(at, F.least(at + LINE_WORDS, n))).alias("spans"),
+        )
+
     # Each document has a table on its last page, a wide cell over a row of two. Kinds 8, 9, 10: it, or its second cell, has no span, or its page isn't there.
     place = F.array(span(F.lit(0), F.lit(1)))
     none = F.filter(place, lambda _: F.lit(False))
     cell = lambda r, c, wide, spans: F.struct(F.lit(r).alias("rowIndex"), F.lit(c).alias("columnIndex"), F.lit(wide).alias("columnSpan"), F.concat(F.lit("c"), F.col("document_id").cast("string")).alias("content"), spans.alias("spans"))
     cells = F.array(cell(0, 0, 2, place), cell(1, 0, None, F.when(kind == 9, none).otherwise(place)), cell(1, 1, None, place))
-    region = F.struct(F.when(kind == 10, 2).otherwise(F.element_at("pages", -1)["pageNumber"]).alias("pageNumber"))
-    tables = F.when(F.col("pages").isNotNull(), F.array(F.struct(F.array(region).alias("boundingRegions"), F.when(kind == 8, none).otherwise(place).alias("spans"), cells.alias("cells"))))
+    region = F.struct(F.when(kind == 10, 2).otherwise(F.floor((n - 1) / PAGE_WORDS) * 2 + 1).alias("pageNumber"))
+    tables = F.when(n > 0, F.array(F.struct(F.array(region).alias("boundingRegions"), F.when(kind == 8, none).otherwise(place).alias("spans"), cells.alias("cells"))))
     # Kind 7: the text without its pages.
-    return answers(spark, sf_dir, pages, F.to_json(F.struct(content.alias("content"), F.when(kind != 7, F.col("pages")).alias("pages"), F.when(kind != 7, tables).alias("tables"))))
+    content = F.when(n > 0, F.array_join("_w", " "))
+    return docs.select("document_id", F.to_json(F.struct(content.alias("content"), F.when(kind != 7, cut(n, PAGE_WORDS, page)).alias("pages"), F.when(kind != 7, tables).alias("tables"))).alias("payload"))
 
 
 BAD_LAYOUT = "kind IN (3, 5, 7, 8, 9, 10)"
@@ -107,24 +129,38 @@ def layout_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.layout_refusals(layouts(spark, sf_dir))
 
 
+#: Words of a paragraph: two lines.
+PARAGRAPH_WORDS = 20
+
+
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two lines a paragraph; the first ends by a break, the second with its paragraph. Odd documents have boxes in shares."""
-    kind, x, y = F.col("kind"), F.col("place") * 100.0, F.col("line") * 20.0
-    x = F.when(kind == 5, x + 1100).otherwise(x)
+    kind, n = F.col("kind"), F.size("_w")
     # A zero coordinate is left out, as the service does.
     some = lambda c: F.when(c != 0, c)
-    corners = lambda sx, sy: F.array(F.struct(some(x / sx).alias("x"), some(y / sy).alias("y")), F.struct(((x + 90) / sx).alias("x"), ((y + 10) / sy).alias("y")))
     odd = F.col("document_id") % 2 == 1
-    box = F.struct(F.when(~odd & (kind != 6), corners(1.0, 1.0)).alias("vertices"), F.when(odd & (kind != 6), corners(1000.0, 100.0)).alias("normalizedVertices"))
-    end = F.when((F.col("place") == 9) & (F.col("line") % 2 == 0), F.lit("EOL_SURE_SPACE")).otherwise(F.lit("SPACE"))
-    last = F.struct(F.struct(end.alias("type")).alias("detectedBreak"))
-    symbols = F.transform(F.split("word", ""), lambda c, i: F.struct(c.alias("text"), F.when(i == F.length("word") - 1, last).alias("property")))
-    word = F.struct(F.lit(0.25).alias("confidence"), box.alias("boundingBox"), symbols.alias("symbols"))
-    paragraphs = gathered(words(spark, sf_dir).withColumn("part", F.expr("line div 2")), ["document_id", "page", "part"], "i", word, "words")
-    blocks = gathered(paragraphs, ["document_id", "page"], "part", F.struct(F.array(F.struct(F.col("words"))).alias("paragraphs")), "blocks")
-    pages = gathered(blocks, ["document_id"], "page", F.struct(F.lit(1000.0).alias("width"), F.lit(100.0).alias("height"), F.col("blocks")), "pages")
+
+    def word(text: Column, i: Column) -> Column:
+        x, y = i % LINE_WORDS * 100.0, F.floor(i / LINE_WORDS) * 20.0
+        x = F.when(kind == 5, x + 1100).otherwise(x)
+        corners = lambda sx, sy: F.array(F.struct(some(x / sx).alias("x"), some(y / sy).alias("y")), F.struct(((x + 90) / sx).alias("x"), ((y + 10) / sy).alias("y")))
+        box = F.struct(F.when(~odd & (kind != 6), corners(1.0, 1.0)).alias("vertices"), F.when(odd & (kind != 6), corners(1000.0, 100.0)).alias("normalizedVertices"))
+        end = F.when(i % PARAGRAPH_WORDS == LINE_WORDS - 1, F.lit("EOL_SURE_SPACE")).otherwise(F.lit("SPACE"))
+        last = F.struct(F.struct(end.alias("type")).alias("detectedBreak"))
+        symbols = F.transform(F.split(text, ""), lambda c, k: F.struct(c.alias("text"), F.when(k == F.length(text) - 1, last).alias("property")))
+        return F.struct(F.lit(0.25).alias("confidence"), box.alias("boundingBox"), symbols.alias("symbols"))
+
+    def block(at: Column, i: Column) -> Column:
+        """The block of a page's words from i on; the page begins at word `at`."""
+        own = F.slice("_w", at + i + 1, F.least(F.lit(PARAGRAPH_WORDS), PAGE_WORDS - i))
+        return F.struct(F.array(F.struct(F.transform(own, lambda w, k: word(w, i + k)).alias("words"))).alias("paragraphs"))
+
+    def page(at: Column) -> Column:
+        return F.struct(F.lit(1000.0).alias("width"), F.lit(100.0).alias("height"), cut(F.least(n - at, F.lit(PAGE_WORDS)), PARAGRAPH_WORDS, lambda i: block(at, i)).alias("blocks"))
+
     code = F.when(kind == 9, 16).when(kind == 10, 8).when(kind == 11, 3).when(kind == 12, 2)
-    return answers(spark, sf_dir, pages, F.to_json(F.struct(F.struct(F.col("pages")).alias("fullTextAnnotation"), F.when(code.isNotNull(), F.struct(code.alias("code"), F.lit("refused").alias("message"))).alias("error"))))
+    answer = F.struct(F.struct(cut(n, PAGE_WORDS, page).alias("pages")).alias("fullTextAnnotation"), F.when(code.isNotNull(), F.struct(code.alias("code"), F.lit("refused").alias("message"))).alias("error"))
+    return words(spark, sf_dir).select("document_id", F.to_json(answer).alias("payload"))
 
 
 @query("annotated_words", f"""

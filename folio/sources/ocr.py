@@ -155,14 +155,25 @@ def vision_tokens(rows: DataFrame, whole: bool = False) -> DataFrame:
     """Words of a text annotation: a line ends with a word that breaks it and with its paragraph. With `whole`, a refused answer gives none."""
     got = parsed(rows, VISION)
     page = (got.where(vision_reason().isNull()) if whole else got).select("document_id", F.posexplode("_r.fullTextAnnotation.pages").alias("page_index", "_p"))
-    block = page.select("document_id", "page_index", "_p.width", "_p.height", F.posexplode("_p.blocks").alias("_b", "_x")).select("*", F.posexplode("_x.paragraphs").alias("_g", "_y"))
-    word = block.select("document_id", "page_index", "width", "height", "_b", "_g", F.size("_y.words").alias("_n"), F.posexplode("_y.words").alias("_i", "_w"))
-    breaks = F.element_at("_w.symbols", -1)["property"]["detectedBreak"]["type"].isin(*LINE_ENDS) | (F.col("_i") == F.col("_n") - 1)
-    by = Window.partitionBy("document_id", "page_index").orderBy("_b", "_g", "_i")
-    ends = F.coalesce(F.sum(F.when(breaks, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    flat = lambda lists: F.flatten(F.filter(lists, lambda x: x.isNotNull()))
+
+    def ended(words: Column) -> Column:
+        """A paragraph's words, each with whether its line ends there."""
+        breaks = lambda w: F.coalesce(F.get(w["symbols"], F.size(w["symbols"]) - 1)["property"]["detectedBreak"]["type"].isin(*LINE_ENDS), F.lit(False))
+        return F.transform(words, lambda w, i: F.struct(w.alias("w"), (breaks(w) | (i == F.size(words) - 1)).alias("ends")))
+
+    # A page's words stand in one list that is cut where lines end, so a page is walked once and nothing is shuffled. Generated rows keep lists from being made again.
+    listed = flat(F.transform("_p.blocks", lambda b: flat(F.transform(b["paragraphs"], lambda g: ended(g["words"])))))
+    page = page.select("document_id", "page_index", F.explode(F.array(F.struct("_p.width", "_p.height", listed.alias("words")))).alias("_x")).select("document_id", "page_index", "_x.*")
+    stops = F.filter(F.transform("words", lambda x, i: F.when(x["ends"], i)), lambda i: i.isNotNull())
+    page = page.select("document_id", "page_index", F.explode(F.array(F.struct("width", "height", "words", stops.alias("stops")))).alias("_x")).select("document_id", "page_index", "_x.*")
+    begin = lambda k: F.coalesce(F.get("stops", k - 1) + 1, F.lit(0))
+    lines = F.transform("stops", lambda stop, k: F.struct(begin(k).alias("first"), F.slice("words", begin(k) + 1, stop - begin(k) + 1).alias("words")))
+    line = page.select("document_id", "page_index", "width", "height", F.posexplode(lines).alias("line", "_l"))
+    word = line.select("document_id", "page_index", "width", "height", "line", F.col("_l.first").alias("_first"), F.posexplode(F.transform("_l.words", lambda x: x["w"])).alias("_i", "_w"))
     box = vision_box(F.col("_w"), F.col("width"), F.col("height"))
     text = F.array_join(F.transform("_w.symbols", lambda s: s["text"]), "")
-    return word.select("document_id", "page_index", ends.alias("line"), (F.row_number().over(by) - 1).alias("ord"), text.alias("word"), *(c.alias(n) for n, c in box.items()), F.col("_w.confidence").alias("confidence"))
+    return word.select("document_id", "page_index", F.col("line").cast("long").alias("line"), (F.col("_first") + F.col("_i")).alias("ord"), text.alias("word"), *(c.alias(n) for n, c in box.items()), F.col("_w.confidence").alias("confidence"))
 
 
 def vision_reason() -> Column:
